@@ -23,18 +23,38 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op6_minhash_near_dedup"] = op6_minhash_near_dedup
 ORACLES["op6_minhash_near_dedup"] = r"""
 with recursive w as (
-  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') ws
+  select doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') ws
   from documents
 ), s as (
   select doc_id, case when len(ws) = 0 then [] when len(ws) = 1 then [ws[1]]
-    else list_distinct(list_transform(range(1, len(ws)), i -> ws[i] || ' ' || ws[i + 1])) end sh
+    else list_distinct(list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) end sh
   from w
 ), n as (select doc_id, len(sh)::bigint n from s),
 e as (select doc_id, unnest(sh) g from s),
 common as (select a.doc_id a, b.doc_id b, count(*) c from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
 link as (select c.a, c.b from common c join n x on x.doc_id = c.a join n y on y.doc_id = c.b where 100 * c.c >= 80 * (x.n + y.n - c.c)),
 edge2 as (select a, b from link union all select b, a from link),
-reach(id, at) as (select doc_id, doc_id from documents union select r.id, b.b from reach r join edge2 b on b.a = r.at)
-select n.doc_id, n.n n_shingles, min(r.at)::bigint component_id, min(r.at) = n.doc_id kept
+reach(id, node) as (select doc_id, doc_id from documents union select r.id, b.b from reach r join edge2 b on b.a = r.node)
+select n.doc_id, n.n n_shingles, min(r.node)::bigint component_id, min(r.node) = n.doc_id kept
 from n join reach r on r.id = n.doc_id group by n.doc_id, n.n
 """
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import personal_data
+
+    return personal_data(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op2_pii"] = op2_pii
+
+
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .tokenfiles import encode_round_trip
+
+    return encode_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+
+
+QUERIES["op5_token_files"] = op5_token_files
