@@ -1,10 +1,10 @@
 """Connected components and the exact resolution of candidate buckets, in DataFrame operations only.
 
 A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so
-``connect_buckets`` works in rounds: every bucket takes one pivot, compares it with the members that are not yet in its
-component, and merges what is linked. A compared pivot leaves its bucket, because every pair it belongs to is then settled.
-Buckets whose members all share a component leave as well. The pairs still open after ``rounds`` rounds, only between
-different components, are written out and compared one by one; so no link between different components is lost.
+``connect_buckets`` works in rounds: every bucket takes one pivot and compares it with the members that do not yet share its label; what is
+linked takes the pivot's label. A compared pivot leaves its bucket, because every pair it belongs to is then settled. Buckets whose members
+all share a label leave as well. The pairs still open after ``rounds`` rounds, only between different labels, are written out and compared
+one by one; so no link between different components is lost. The links then go through one run of connected components.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and u is not null and v is not null").distinct())
     before = None
+    if e.isEmpty():
+        return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -43,18 +45,18 @@ def connect_buckets(
     verify: Callable[[DataFrame], DataFrame],
     payload: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    rounds: int = 3,
+    rounds: int = 2,
 ) -> DataFrame:
     """Components of ids that meet in a bucket and are linked.
 
     members: ``(key, id, *payload)``, each id at most once in a bucket; verify: distinct candidate pairs ``(a, b, *payload of a and b
     as a_x, b_x)`` with a < b -> the linked ones ``(a, b)``; near: a cheap condition on the payloads of two members, tested inside the join.
-    Returns ``(id, comp)`` of all ids that have a link.
+    Returns ``(id, comp)`` of all ids that have a link, comp being the smallest id of the component.
     """
     sides = lambda mine, other: F.lit(True) if near is None else near(mine, other)
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     active = checkpoint(members.join(crowded, "key").withColumn("comp", F.col("id")))
-    links, labels = None, None
+    links = None
     held = ["id", "comp", *payload]
 
     def pairs(m: str, p: str) -> list[Column]:
@@ -65,7 +67,7 @@ def connect_buckets(
     for step in range(rounds + 1):
         if step < rounds:
             chosen = active.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("rank"), *held)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            pivots = checkpoint(chosen.filter("lo < hi").select("key", *(F.col(f"p.{c}").alias(c) for c in held)))
+            pivots = chosen.filter("lo < hi").select("key", *(F.col(f"p.{c}").alias(c) for c in held))
         else:
             open_keys = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
             pivots = active.join(open_keys, "key", "left_semi")
@@ -77,10 +79,12 @@ def connect_buckets(
         links = found if links is None else links.union(found)
         if step == rounds:
             break
-        labels = connected_components(links)
-        p = pivots.select("key", F.col("id").alias("gone"))
-        rest = active.drop("comp").join(p, "key").filter("id <> gone").drop("gone").join(labels, "id", "left")
-        active = checkpoint(rest.select("key", "id", *payload, F.coalesce("comp", "id").alias("comp")))
+        first = F.xxhash64("a") <= F.xxhash64("b")  # the pivot is the end of lower rank
+        linked = found.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("to"))
+        label = linked.groupBy("id").agg(F.min_by("to", F.xxhash64("to")).alias("to"))
+        gone = pivots.select("key", F.col("id").alias("gone"), F.col("comp").alias("gone_comp"))
+        rest = active.join(gone, "key").filter("id <> gone").join(label, "id", "left")
+        active = checkpoint(rest.select("key", "id", *payload, F.coalesce("to", "comp").alias("comp")))
         if active.isEmpty():
             break
     return connected_components(links)

@@ -119,7 +119,8 @@ def _sets(k: int):
 
 def _estimate(a: str, b: str):
     """Share of equal registers, less those expected to be equal by chance."""
-    same = sum((F.substring(a, 2 * i + 1, 2) == F.substring(b, 2 * i + 1, 2)).cast("int") for i in range(BUCKETS)) / F.lit(float(BUCKETS))
+    at = F.sequence(F.lit(0), F.lit(BUCKETS - 1))
+    same = F.size(F.filter(at, lambda i: F.col(a).substr(2 * i + 1, F.lit(2)) == F.col(b).substr(2 * i + 1, F.lit(2)))) / F.lit(float(BUCKETS))
     ratio = F.least("a_n", "b_n") / F.greatest("a_n", "b_n")
     chance = F.lit(0.169919487159739093975315012348630288992889 * 2.0**-MANTISSA) * 4 * ratio / F.pow(1 + ratio, 2)
     return (same - chance) / (1 - chance)

@@ -58,3 +58,45 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op5_token_files"] = op5_token_files
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_report
+
+    return mix_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op8_mixing"] = op8_mixing
+ORACLES["op8_mixing"] = r"""
+with d as (
+  select doc_id, coalesce('s' || source, 'n') k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, md5(coalesce(doc_id::varchar, '')) h from documents
+), s as (
+  select k, sum(size)::double source_size, sum(size)::double * 2 most, [3.0, 1.0, 2.0][(row_number() over (order by k = 'n', k) - 1) % 3 + 1]::double w from d group by k
+), lv as (
+  select *, (1.5 * sum(source_size) over () - coalesce(sum(most) over up, 0)) / (sum(w) over () - coalesce(sum(w) over up, 0)) l
+  from s window up as (order by most / w, k rows between unbounded preceding and 1 preceding)
+), t as (
+  select k, source_size, least(most, coalesce(w * max(case when most > l * w then l end) over (), most)) target from lv
+), b as (
+  select k, substr(h, 1, 3) blk, sum(size) words from d group by 1, 2
+), p as (
+  select b.*, t.source_size, t.target, case when t.source_size > 0 then floor(t.target / t.source_size) else 0 end passes,
+    coalesce(sum(words) over (partition by k order by md5('0|' || k || '|' || blk), blk rows between unbounded preceding and 1 preceding), 0) before_words
+  from b join t using (k)
+), f as (
+  select d.doc_id, d.size, p.source_size, p.target, p.passes, p.words, p.target - p.passes * p.source_size - p.before_words short,
+    coalesce(sum(d.size) over (partition by d.k, p.blk order by substr(h, 4), d.size rows between unbounded preceding and 1 preceding), 0) ahead
+  from d join p on p.k = d.k and p.blk = substr(d.h, 1, 3)
+)
+select doc_id, size, source_size::bigint source_size, target,
+  (size * (passes + case when short <= 0 then 0 when short >= words then 1 when ahead + size / 2 <= short then 1 else 0 end))::bigint taken from f
+"""
+
+
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lines import line_report
+
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op1_line_dedup"] = op1_line_dedup
