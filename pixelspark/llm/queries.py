@@ -100,3 +100,23 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_line_dedup"] = op1_line_dedup
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .topk import exact_top_k
+
+    return exact_top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
+QUERIES["op9_exact_top_k"] = op9_exact_top_k
+ORACLES["op9_exact_top_k"] = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) e from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint score from v q join v c on q.vec_id % 100 = 0 and q.vec_id <> c.vec_id
+), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
+select query_id, rank, vec_id, score from r where rank <= 10
+"""
