@@ -120,3 +120,12 @@ with v as (
 ), r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import find_leaks
+
+    return find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES["op10_decontaminate"] = op10_decontaminate
