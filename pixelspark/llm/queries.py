@@ -147,3 +147,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_language_id"] = op7_language_id
+
+
+def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hmm import language_model_scores
+
+    return language_model_scores(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["op4_hmm_scores"] = op4_hmm_scores
