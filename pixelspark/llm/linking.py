@@ -1,21 +1,23 @@
 """Connected components and the exact resolution of candidate buckets, in DataFrame operations only.
 
 A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so
-``connect_buckets`` works in rounds: every bucket takes one pivot and compares it with the members that do not yet share its label; what is
-linked takes the pivot's label. A compared pivot leaves its bucket, because every pair it belongs to is then settled. Buckets whose members
-all share a label leave as well. The pairs still open after ``rounds`` rounds, only between different labels, are written out and compared
-one by one; so no link between different components is lost. The links then go through one run of connected components.
+``connect_buckets`` works in rounds: every bucket takes ``PIVOTS`` members as pivots and compares them with all members that are not yet in their
+component; what is linked joins components. Compared pivots leave their bucket, because every pair they belong to is then settled. Buckets
+whose members all share a component leave as well. The pairs still open after ``rounds`` rounds, only between different components, are written
+out and compared one by one; so no link between different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint
 
+PIVOTS = 8
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(id, comp)``, comp being the smallest id reachable; alternating large-star and small-star steps.
@@ -45,7 +47,7 @@ def connect_buckets(
     verify: Callable[[DataFrame], DataFrame],
     payload: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    rounds: int = 2,
+    rounds: int = 3,
 ) -> DataFrame:
     """Components of ids that meet in a bucket and are linked.
 
@@ -54,37 +56,27 @@ def connect_buckets(
     Returns ``(id, comp)`` of all ids that have a link, comp being the smallest id of the component.
     """
     sides = lambda mine, other: F.lit(True) if near is None else near(mine, other)
-    crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    active = checkpoint(members.join(crowded, "key").withColumn("comp", F.col("id")))
+    several = lambda df, column: df.groupBy("key").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo < hi").select("key")
+    active = members.join(several(members, "id"), "key", "left_semi").withColumn("comp", F.col("id"))
+    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
     links = None
-    held = ["id", "comp", *payload]
 
-    def pairs(m: str, p: str) -> list[Column]:
-        first = F.col(f"{m}.id") < F.col(f"{p}.id")
-        pick = lambda c, yes: F.when(first == F.lit(yes), F.col(f"{m}.{c}")).otherwise(F.col(f"{p}.{c}"))
-        return [pick("id", True).alias("a"), pick("id", False).alias("b"), *(pick(c, yes).alias(f"{s}_{c}") for c in payload for s, yes in (("a", True), ("b", False)))]
+    def pairs(last_round: bool) -> DataFrame:
+        m, p = active.alias("m"), (active if last_round else active.filter(F.col("rank") <= PIVOTS)).alias("p")
+        on = (F.col("m.key") == F.col("p.key")) & (F.col("m.comp") != F.col("p.comp")) & (F.col("m.rank") > F.col("p.rank")) & sides(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"p.{c}"))
+        first = F.col("m.id") < F.col("p.id")
+        pick = lambda c, yes: F.when(first == F.lit(yes), F.col(f"m.{c}")).otherwise(F.col(f"p.{c}"))
+        return m.join(p, on).select(pick("id", True).alias("a"), pick("id", False).alias("b"), *(pick(c, yes).alias(f"{s}_{c}") for c in payload for s, yes in (("a", True), ("b", False)))).distinct()
 
     for step in range(rounds + 1):
-        if step < rounds:
-            chosen = active.groupBy("key").agg(F.min(F.struct(F.xxhash64("id").alias("rank"), *held)).alias("p"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-            pivots = chosen.filter("lo < hi").select("key", *(F.col(f"p.{c}").alias(c) for c in held))
-        else:
-            open_keys = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
-            pivots = active.join(open_keys, "key", "left_semi")
-        m, p = active.alias("m"), pivots.alias("p")
-        on = (F.col("m.key") == F.col("p.key")) & (F.col("m.comp") != F.col("p.comp")) & sides(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"p.{c}"))
-        if step == rounds:
-            on = on & (F.col("m.id") < F.col("p.id"))
-        found = checkpoint(verify(m.join(p, on).select(*pairs("m", "p")).distinct()).select("a", "b"))
+        active = checkpoint(active.withColumn("rank", F.row_number().over(order)))
+        found = checkpoint(verify(pairs(step == rounds)).select("a", "b"))
         links = found if links is None else links.union(found)
-        if step == rounds:
+        rest = active.filter(F.col("rank") > PIVOTS).drop("comp", "rank")
+        if step == rounds or rest.isEmpty():
             break
-        first = F.xxhash64("a") <= F.xxhash64("b")  # the pivot is the end of lower rank
-        linked = found.select(F.when(first, F.col("b")).otherwise(F.col("a")).alias("id"), F.when(first, F.col("a")).otherwise(F.col("b")).alias("to"))
-        label = linked.groupBy("id").agg(F.min_by("to", F.xxhash64("to")).alias("to"))
-        gone = pivots.select("key", F.col("id").alias("gone"), F.col("comp").alias("gone_comp"))
-        rest = active.join(gone, "key").filter("id <> gone").join(label, "id", "left")
-        active = checkpoint(rest.select("key", "id", *payload, F.coalesce("to", "comp").alias("comp")))
+        rest = checkpoint(rest.join(connected_components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        active = rest.join(several(rest, "comp"), "key", "left_semi").select("key", "id", *payload, "comp")
         if active.isEmpty():
             break
     return connected_components(links)

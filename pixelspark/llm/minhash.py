@@ -159,3 +159,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     out = all_rows.drop("sketch").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one document, the one of smallest id, of each group of near duplicates; all their columns.
+
+    Repeated rows of a kept document all stay; documents without words are no one's duplicate and stay, as do documents without an id.
+    """
+    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
