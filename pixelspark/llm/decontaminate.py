@@ -10,7 +10,6 @@ The benchmark is dealt by hash into slices of about ``SLICE_MB``; a slice is wha
 
 from __future__ import annotations
 
-import re
 import string
 from collections.abc import Iterator
 
@@ -19,23 +18,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
-Q, SLICE_MB = 6, 8
+Q, SLICE_MB = 8, 8
 #: Bytes of text looked at together; longer texts are cut into stretches that overlap by more than any match.
 STRETCH = 1 << 20
-_MASK = np.uint64((1 << 8 * Q) - 1)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = string.punctuation.encode()
-_GAP = re.compile(rb"[\x00-\x20\x7f]+")
+_BLANKS = bytes(32 if i < 33 or i == 127 else i for i in range(256))
 
 
 def normalised(text: str | None) -> bytes:
-    return _GAP.sub(b" ", (text or "").lower().encode("utf-8", "surrogatepass").translate(None, _PUNCTUATION)).strip()
+    return b" ".join((text or "").lower().encode("utf-8", "surrogatepass").translate(_BLANKS, _PUNCTUATION).split())
 
 
 def _grams(data: bytes) -> np.ndarray:
-    """The q-gram at every position of ``data``, as an integer; the last ones reach into zeros."""
+    """The q-gram (eight bytes) at every position of ``data``, as an integer; the last ones reach into zeros."""
     padded = data + bytes(8)
-    return np.ndarray((len(data),), "<u8", padded, strides=(1,)) & _MASK
+    return np.ndarray((len(data),), "<u8", padded, strides=(1,))
 
 
 class Index:
@@ -50,9 +48,10 @@ class Index:
         self.bound = self.m + 1 - Q - self.k * Q
         self.short = [j for j, n in enumerate(self.items) if len(n) < Q]
         grams, at, of = [], [], []
+        self.own: list[np.ndarray] = []
         for j, n in enumerate(self.items):
-            if len(n) >= Q:
-                g = _grams(n)[: len(n) - Q + 1]
+            self.own.append(g := _grams(n)[: max(0, len(n) - Q + 1)])
+            if len(g):
                 grams.append(g)
                 at.append(np.arange(len(g)))
                 of.append(np.full(len(g), j))
@@ -116,6 +115,8 @@ class Index:
         for j, b in zip(item[hit].tolist(), band[hit].tolist(), strict=True):
             m, k = int(self.m[j]), int(self.k[j])
             a, z = b * (k + 1) - k, (b + 2) * (k + 1) + m + k
+            if np.isin(self.own[j], grams[max(0, a) : z]).sum() < self.bound[j]:  # repeats in the text count once for each place of the item
+                continue
             for s in range(max(0, int(np.searchsorted(starts, a, "right")) - 1), len(piece)):
                 if starts[s] >= z:
                     break
@@ -160,7 +161,7 @@ def _slices(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[R
         yield b.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == i).collect()  # about SLICE_MB
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.12, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``doc_id, item_id, distance, start, end``: one row for each document and each benchmark item that it holds with at most ``rate`` edits a byte.
 
     start and end count bytes of the normalised text. Null and empty texts and items match nothing. Repeated rows of either table give repeated rows, null ids stay
@@ -184,7 +185,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.12, id_col
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.12, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all their columns. Narrow: no shuffle."""
     text_at = docs.columns.index(text_col)
     for rows in _slices(benchmark, item_col, item_text_col):

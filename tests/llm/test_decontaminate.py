@@ -36,7 +36,7 @@ def _case(seed):
 def test_all_leaks_are_found_and_no_other(spark):
     for seed in range(12):
         docs, items = _case(seed)
-        index = dc.Index(items, 0.12)
+        index = dc.Index(items, 0.1)
         texts = [dc.normalised(t) for _, t in docs]
         got = {(t, index.ids[j]): d for t, j, d, *_ in index.matches(texts)}
         want = {}
@@ -58,7 +58,7 @@ def test_all_leaks_are_found_and_no_other(spark):
 def test_long_texts_are_cut_without_loss(monkeypatch):
     monkeypatch.setattr(dc, "STRETCH", 500)
     item = "the quick brown fox jumps over the lazy dog near the river bank"
-    index = dc.Index([(1, item)], 0.12)
+    index = dc.Index([(1, item)], 0.1)
     for at in range(380, 560, 7):
         text = ("z" * at + " " + item.replace("lazy", "lzay") + " " + "y" * 900).encode()
         assert [(t, d) for t, _, d, *_ in index.matches([text])] == [(0, 2)]
