@@ -56,29 +56,61 @@ def _uniform(*names) -> Column:
     return (n + 0.5) / F.lit(2.0**48)
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _ln_factorial(x: Column) -> Column:
     """Stirling's series at x + 8, brought back by seven factors."""
-    z = x.cast("double") + 8.0
-    low = F.lit(1.0)
-    for i in range(1, 8):
-        low = low * (x.cast("double") + float(i))
-    return (z - 0.5) * F.ln(z) - z + F.lit(0.5 * math.log(2 * math.pi)) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) - F.ln(low)
+
+    def series(z: Column) -> Column:
+        low = z - 1.0
+        for i in range(2, 8):
+            low = low * (z - float(i))
+        return (z - 0.5) * F.ln(z) - z + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z) + 0.5 * math.log(2 * math.pi) - F.ln(low)
+
+    return _let(x.cast("double") + 8.0, series)
 
 
 def hypergeometric(good: Column, total: Column, drawn: Column, u: Column) -> Column:
     """How many of ``good`` among ``total`` are in a uniform draw of ``drawn``: inversion over nine standard deviations (all that a double can tell apart)."""
-    g, t, d = (c.cast("double") for c in (good, total, drawn))
-    mean = F.when(t > 0, d * g / t).otherwise(0.0)
-    reach = F.when(t > 1, 9 * F.sqrt(F.greatest(F.lit(0.0), mean * (1 - g / t) * (t - d) / (t - 1)))).otherwise(0.0) + 9
-    low = F.greatest(F.lit(0.0), d - (t - g), F.floor(mean - reach).cast("double")).cast("long")
-    high = F.least(g, d, F.ceil(mean + reach).cast("double")).cast("long")
-    mode = F.least(F.greatest(F.floor((d + 1) * (g + 1) / (t + 2)), low), high)
-    weight = lambda k: -(_ln_factorial(k) + _ln_factorial(good - k) + _ln_factorial(drawn - k) + _ln_factorial(total - good - drawn + k))
-    mass = F.transform(F.sequence(low, high), lambda k: F.exp(weight(k) - weight(mode)))
-    level = u * F.aggregate(mass, F.lit(0.0), lambda a, x: a + x)
-    state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("below"))
-    step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["below"] + F.when(s["sum"] + x < level, 1).otherwise(0)).cast("long").alias("below"))
-    return F.least(low + F.aggregate(mass, state, step, lambda s: s["below"]), high)
+    given = F.struct(good.cast("double").alias("g"), total.cast("double").alias("t"), drawn.cast("double").alias("d"), u.alias("u"))
+
+    def spread(p: Column) -> Column:
+        mean = F.when(p["t"] > 0, p["d"] * p["g"] / p["t"]).otherwise(0.0)
+        variance = F.when(p["t"] > 1, p["d"] * p["g"] / p["t"] * (1 - p["g"] / p["t"]) * (p["t"] - p["d"]) / (p["t"] - 1)).otherwise(0.0)
+        return _let(F.struct(mean.alias("mean"), (9 * F.sqrt(F.greatest(F.lit(0.0), variance)) + 9).alias("reach")), lambda m: _let(F.struct(
+            F.greatest(F.lit(0.0), p["d"] - (p["t"] - p["g"]), F.floor(m["mean"] - m["reach"]).cast("double")).alias("low"), F.least(p["g"], p["d"], F.ceil(m["mean"] + m["reach"]).cast("double")).alias("high"),
+        ), lambda r: chosen(p, r)))
+
+    def weight(p: Column, k: Column) -> Column:
+        return -(_ln_factorial(k) + _ln_factorial(p["g"] - k) + _ln_factorial(p["d"] - k) + _ln_factorial(p["t"] - p["g"] - p["d"] + k))
+
+    def chosen(p: Column, r: Column) -> Column:
+        mode = F.least(F.greatest(F.floor((p["d"] + 1) * (p["g"] + 1) / (p["t"] + 2)).cast("double"), r["low"]), r["high"])
+        mass = _let(weight(p, mode), lambda top: F.transform(F.sequence(r["low"].cast("long"), r["high"].cast("long")), lambda k: F.exp(weight(p, k) - top)))
+        return _let(mass, lambda w: _let(p["u"] * F.aggregate(w, F.lit(0.0), lambda a, x: a + x), lambda level: F.least(r["low"] + below(w, level), r["high"]).cast("long")))
+
+    def below(w: Column, level: Column) -> Column:
+        state = F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n"))
+        step = lambda s, x: F.struct((s["sum"] + x).alias("sum"), (s["n"] + F.when(s["sum"] + x < level, 1).otherwise(0)).cast("long").alias("n"))
+        return F.aggregate(w, state, step, lambda s: s["n"])
+
+    return _let(given, spread)
+
+
+def _splitter(level: int, seed: int, kind: str):
+    """Takes a source's share of the half from what is left of the node and of the half."""
+
+    def step(s: Column, x: Column) -> Column:
+        def put(k: Column) -> Column:
+            out = F.concat(s["out"], F.array(F.struct(x["_key"].alias("_key"), k.alias("q"))))
+            return F.struct((s["left"] - x["q"]).alias("left"), (s["draw"] - k).alias("draw"), out.alias("out")).cast(kind)
+
+        return _let(hypergeometric(x["q"], s["left"], s["draw"], _uniform(seed, level, F.col("shard"), x["_key"])), put)
+
+    return step
 
 
 def split_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
@@ -87,13 +119,10 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int = 0) -> DataFrame:
     total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda s, x: s + x["q"])
     for level in range(depth):
         nodes = nodes.withColumn("all", total(F.col("have")))
-        start = F.struct(F.col("all").alias("left"), F.floor(F.col("all") / 2).alias("draw"), F.array().cast("array<struct<_key:string,q:bigint>>").alias("out"))
-
-        def step(s: Column, x: Column, level: int = level) -> Column:
-            k = hypergeometric(x["q"], s["left"], s["draw"], _uniform(seed, level, F.col("shard"), x["_key"]))
-            put = F.concat(s["out"], F.array(F.struct(x["_key"].alias("_key"), k.alias("q"))))
-            return F.struct((s["left"] - x["q"]).alias("left"), (s["draw"] - k).alias("draw"), put.alias("out"))
+        kind = "struct<left:bigint,draw:bigint,out:array<struct<_key:string,q:bigint>>>"
+        start = F.struct(F.col("all").alias("left"), F.floor(F.col("all") / 2).alias("draw"), F.array().cast("array<struct<_key:string,q:bigint>>").alias("out")).cast(kind)
 
+        step = _splitter(level, seed, kind)
         nodes = nodes.withColumn("one", F.aggregate("have", start, step, lambda s: s["out"]))
         other = F.zip_with("have", "one", lambda a, b: F.struct(a["_key"].alias("_key"), (a["q"] - b["q"]).alias("q")))
         halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("one").alias("have")), F.struct((F.col("shard") * 2 + 1).alias("shard"), other.alias("have")))
