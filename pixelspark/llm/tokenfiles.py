@@ -7,7 +7,8 @@ XXH64 of the decompressed bytes) per frame, then the frame count, a descriptor b
 then decompresses only the frames that are asked for.
 
 Texts are encoded by the tokenizers library. The byte-level pre-tokenizer never lets a piece span a single space between two other
-characters, so a text is cut there and each distinct cut is encoded once per worker; the ids are those of the whole text.
+characters, so a text is cut there (and at line ends where no white characters meet), and each distinct cut is encoded once per worker; the ids are those
+of the whole text.
 """
 
 from __future__ import annotations
@@ -36,9 +37,9 @@ _DOUBLE = re.compile(r"\s\s")
 
 
 class Encoder:
-    """Texts -> ids as bytes; remembers at most ``LIMIT`` cuts and starts anew beyond that."""
+    """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that."""
 
-    LIMIT = 500_000
+    LIMIT = 1_000_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -55,18 +56,46 @@ class Encoder:
             cuts = [self._cut(t) if t else [] for t in texts[at : at + 256]]
             if len(self.known) > self.LIMIT:
                 self.known.clear()
-            new = list(set().union(*cuts).difference(self.known))
-            for lo in range(0, len(new), 20_000):
-                part = new[lo : lo + 20_000]
-                for cut, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                    self.known[cut] = np.array(e.ids, self.dtype).tobytes()
+            self._learn(set().union(*cuts).difference(self.known))
             for c in cuts:
                 yield b"".join(map(self.known.__getitem__, c)) + self.end
 
+    def _learn(self, new: set[str]) -> None:
+        # a mark behind a letter or digit is a piece of its own
+        marked = [u for u in new if u[-1] in ".,!?" and u[-2:-1].isalnum()]
+        plain = list((new.difference(marked) | {u[:-1] for u in marked} | {u[-1] for u in marked}).difference(self.known))
+        for lo in range(0, len(plain), 20_000):
+            part = plain[lo : lo + 20_000]
+            for cut, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
+                self.known[cut] = np.array(e.ids, self.dtype).tobytes()
+        for u in marked:
+            self.known[u] = self.known[u[:-1]] + self.known[u[-1]]
+
     @staticmethod
     def _cut(text: str) -> list[str]:
-        parts = _CUT.split(text) if _DOUBLE.search(text) else text.split(" ")
-        return [parts[0], *(" " + p for p in parts[1:])]
+        if _DOUBLE.search(text):
+            parts = _CUT.split(text)
+            return [parts[0], *(" " + p for p in parts[1:])]
+        # no two white characters meet: a line end is a piece of its own, and so a cut on both sides
+        out: list[str] = []
+        for i, line in enumerate(text.split("\n")):
+            if i:
+                out.append("\n")
+            if line:
+                words = line.split(" ")
+                out.append(words[0])
+                out += [" " + w for w in words[1:]]
+        return [u for u in out if u] if "" in out else out
+
+
+_encoders: dict[tuple, Encoder] = {}
+
+
+def _encoder(path: str, end_id: int | None) -> Encoder:
+    """One for each worker process, which keeps it from task to task."""
+    if (path, end_id) not in _encoders:
+        _encoders[path, end_id] = Encoder(path, end_id)
+    return _encoders[path, end_id]
 
 
 def _filesystem(uri: str):
@@ -167,9 +196,9 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     n = max(1, -(-d.count() // docs_per_file))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, piece, writer, done = None, TaskContext.get().partitionId(), 0, None, []
+        part, piece, writer, done = TaskContext.get().partitionId(), 0, None, []
         for batch in batches:
-            encoder = encoder or Encoder(tokenizer_path, end_id)
+            encoder = _encoder(tokenizer_path, end_id)
             for doc_id, raw in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text").to_pylist()), strict=True):
                 if writer is None:
                     path = f"{out_dir}/ids-{part:06d}-{piece:04d}.zst"
