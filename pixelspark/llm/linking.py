@@ -1,10 +1,11 @@
 """Connected components and the exact resolution of candidate buckets, in DataFrame operations only.
 
 A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so
-``connect_buckets`` works in rounds: every bucket takes ``PIVOTS`` members as pivots and compares them with all members that are not yet in their
+``connect_buckets`` works in rounds: every bucket takes a few members as pivots and compares them with all members that are not yet in their
 component; what is linked joins components. Compared pivots leave their bucket, because every pair they belong to is then settled. Buckets
-whose members all share a component leave as well. The pairs still open after ``rounds`` rounds, only between different components, are written
-out and compared one by one; so no link between different components is lost.
+whose members all share a component leave as well. The pairs still open after the rounds, only between different components, are written
+out and compared one by one; so no link between different components is lost. The first round looks at every eighth bucket only: most copies meet in
+several buckets, and one comparison then spares all others.
 """
 
 from __future__ import annotations
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-PIVOTS = 8
+#: For each round: one in so many buckets takes part, with so many pivots.
+ROUNDS = ((8, 1), (1, 2), (1, 8))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def connect_buckets(
     verify: Callable[[DataFrame], DataFrame],
     payload: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    rounds: int = 3,
+    rounds: tuple[tuple[int, int], ...] = ROUNDS,
 ) -> DataFrame:
     """Components of ids that meet in a bucket and are linked.
 
@@ -61,19 +63,21 @@ def connect_buckets(
     order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
     links = None
 
-    def pairs(last_round: bool) -> DataFrame:
-        m, p = active.alias("m"), (active if last_round else active.filter(F.col("rank") <= PIVOTS)).alias("p")
+    def pairs(pivot: Column) -> DataFrame:
+        m, p = active.alias("m"), active.filter(pivot).alias("p")
         on = (F.col("m.key") == F.col("p.key")) & (F.col("m.comp") != F.col("p.comp")) & (F.col("m.rank") > F.col("p.rank")) & sides(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"p.{c}"))
         first = F.col("m.id") < F.col("p.id")
         pick = lambda c, yes: F.when(first == F.lit(yes), F.col(f"m.{c}")).otherwise(F.col(f"p.{c}"))
         return m.join(p, on).select(pick("id", True).alias("a"), pick("id", False).alias("b"), *(pick(c, yes).alias(f"{s}_{c}") for c in payload for s, yes in (("a", True), ("b", False)))).distinct()
 
-    for step in range(rounds + 1):
+    for share, pivots in (*rounds, (1, None)):
         active = checkpoint(active.withColumn("rank", F.row_number().over(order)))
-        found = checkpoint(verify(pairs(step == rounds)).select("a", "b"))
+        last = pivots is None
+        pivot = F.lit(True) if last else (F.pmod("key", F.lit(share)) == 0) & (F.col("rank") <= pivots)
+        found = checkpoint(verify(pairs(pivot)).select("a", "b"))
         links = found if links is None else links.union(found)
-        rest = active.filter(F.col("rank") > PIVOTS).drop("comp", "rank")
-        if step == rounds or rest.isEmpty():
+        rest = active.filter(~pivot).drop("comp", "rank")
+        if last or rest.isEmpty():
             break
         rest = checkpoint(rest.join(connected_components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
         active = rest.join(several(rest, "comp"), "key", "left_semi").select("key", "id", *payload, "comp")
