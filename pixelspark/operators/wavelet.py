@@ -14,7 +14,7 @@ from ..functions.color import unzigzag, zigzag
 from .metrics import CELL, shapes
 
 #: Fixed values of the archive: big-endian magic, width, height, levels, CRC-32 of the pixels.
-MAGIC, HEADER = b"IWV1", struct.Struct(">4sIIBI")
+MAGIC, HEADER = b"IWV1", ">4sIIBI"
 MAX_PIXELS = 4_000_000
 
 
@@ -100,16 +100,16 @@ def wavelet_compress(pixels: DataFrame, levels: int = 4, effort: int = 9) -> Dat
     from .channels import color_difference, quantize, split_channels
 
     coeffs = haar_forward(split_channels(color_difference(pixels)), levels).select(*CELL, zigzag(F.col("v")).alias("z"))
-    wide = coeffs.groupBy("image_id", "y", "x").pivot("channel", ["R", "G", "B"]).agg(F.first("z"))
+    wide = coeffs.groupBy("image_id", "y", "x").pivot("channel", ["R", "G", "B"]).agg(F.first("z")).withColumnsRenamed({c: f"z{c}" for c in "RGB"})
     both = wide.join(quantize(pixels), ["image_id", "y", "x"])
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["y", "x"])
         h, w = int(g["y"].max()) + 1, int(g["x"].max()) + 1
         crc = pixel_crc(g[["r", "g", "b"]].to_numpy())
-        z = g[["R", "G", "B"]].to_numpy(np.int64)
+        z = g[["zR", "zG", "zB"]].to_numpy(np.int64)
         planes = b"".join((z >> 8 * p & 255).astype(np.uint8).tobytes() for p in range(4))
-        archive = HEADER.pack(MAGIC, w, h, levels, crc) + zlib.compress(planes, effort)
+        archive = struct.pack(HEADER, MAGIC, w, h, levels, crc) + zlib.compress(planes, effort)
         return pd.DataFrame({"image_id": [g["image_id"].iloc[0]], "height": [h], "width": [w], "levels": [levels], "crc": [crc], "archive": [archive], "raw_bytes": [h * w * 3], "archive_bytes": [len(archive)]})
 
     return both.groupBy("image_id").applyInPandas(pack, "image_id long, height int, width int, levels int, crc long, archive binary, raw_bytes long, archive_bytes long")
@@ -118,16 +118,16 @@ def wavelet_compress(pixels: DataFrame, levels: int = 4, effort: int = 9) -> Dat
 def _unpacked(archive: bytes) -> tuple[np.ndarray, int, int, str | None]:
     """``(zigzag values (H, W, 3), levels, crc, error)``."""
     none = np.zeros((0, 0, 3), np.int64)
-    if len(archive) < HEADER.size:
+    if len(archive) < struct.calcsize(HEADER):
         return none, 0, 0, "truncated header"
-    magic, w, h, levels, crc = HEADER.unpack_from(archive)
+    magic, w, h, levels, crc = struct.unpack_from(HEADER, archive)
     if magic != MAGIC:
         return none, 0, 0, "wrong magic"
     if not (w and h and w * h <= MAX_PIXELS and 1 <= levels <= 8):
         return none, 0, 0, "bad dimensions"
     z = zlib.decompressobj()
     try:
-        data = z.decompress(archive[HEADER.size :], w * h * 12 + 1)
+        data = z.decompress(archive[struct.calcsize(HEADER) :], w * h * 12 + 1)
     except zlib.error:
         return none, 0, 0, "damaged stream"
     if len(data) != w * h * 12 or not z.eof or z.unused_data:

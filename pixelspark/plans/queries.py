@@ -42,7 +42,7 @@ def query(sql: str | None = None):
     def register(f):
         QUERIES[f.__name__] = f
         if sql is not None:
-            ORACLES[f.__name__] = "with " + sql if not sql.lstrip().startswith("with") else sql
+            ORACLES[f.__name__] = sql if sql.startswith("select") else "with " + sql
         return f
 
     return register
@@ -241,13 +241,13 @@ def _shown(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("psnr", F.least("psnr", F.lit(1e9))), "mean_abs", "mse", "psnr")
 
 
-@query(f"{S1} select image_id, {CMP} from (select image_id, v - case when image_id % 5 = 0 then v else v // 4 * 4 end d from s1) group by image_id")
+@query(f"{S1} select image_id, {CMP} from (select image_id, v - case when image_id % 5 = 0 then v else floor(v / 4) * 4 end d from s1) group by image_id")
 def j1_compare_images(spark, d):
     s = ev_samples(spark, d)
     return _shown(me.compare_images(s, s.withColumn("v", F.when(F.col("image_id") % 5 == 0, F.col("v")).otherwise(F.floor(F.col("v") / 4) * 4))))
 
 
-@query(f"{S3} select image_id, {CMP} from (select image_id, v - v // 8 * 8 d from s3) group by image_id")
+@query(f"{S3} select image_id, {CMP} from (select image_id, v - floor(v / 8) * 8 d from s3) group by image_id")
 def j1_compare_scanlines(spark, d):
     s = fx.document_scanlines(spark, d)
     return _shown(me.compare_scanlines(s, s.withColumn("v", F.transform("v", lambda x: (F.floor(x / 8) * 8).cast("double")))))
@@ -521,9 +521,9 @@ DFT = S2 + """, f as (select image_id, channel, ky::int ky, kx::int kx, sum(v*co
 PAIRS = DFT + """, hp as (select image_id, channel, ky*8+kx idx, case when ky*8+kx = ((8-ky)%8)*8+(8-kx)%8 then 1 else 2 end weight, (re*re+im*im)/64 en from f where ky*8+kx <= ((8-ky)%8)*8+(8-kx)%8), pe as (select *, en*weight e from hp)"""
 
 
-@query(f"{PAIRS} select image_id, channel, idx, row_number() over (partition by image_id, channel order by idx <> 0, round(e, 3) desc, idx) place, round(e, 3) + 0.0 e from pe")
+@query(f"{PAIRS} select image_id, channel, idx, row_number() over (partition by image_id, channel order by idx <> 0, round(e, 6) desc, idx)::int place, round(e, 6) + 0.0 e from pe")
 def k1_rank_pairs(spark, d):
-    pairs = fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d)).withColumn("e", r("e", 3))
+    pairs = fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d)).withColumn("e", r("e", 6))
     return fr.rank_pairs(pairs).select("image_id", "channel", "idx", "place", "e")
 
 

@@ -21,8 +21,13 @@ def _folder(spark: SparkSession) -> str:
 
 
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    schema = spark.read.parquet(f"{d}/{name}.parquet").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parquet")
+    path = f"{d}/{name}.parquet"
+    table = spark.read.parquet(path)
+    one = table.select(F.input_file_name().alias("f")).first()
+    stream = spark.readStream.schema(table.schema)
+    if one is not None and one.f.endswith(f"/{name}.parquet"):  # a stream reads folders, and the table is a single file
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return stream.parquet(path)
 
 
 def _event_samples(spark: SparkSession, d: str) -> DataFrame:
