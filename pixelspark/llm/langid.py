@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, PLACES, WIDTH, EMBED, FILTERS, EPOCHS, BATCH, STEP = 1500, 3, 128, 6, {2: 8, 3: 12, 4: 16}, 6, 128, 0.01
+PER_LANG, PLACES, WIDTH, EMBED, FILTERS, EPOCHS, BATCH, STEP = 1000, 3, 128, 6, {2: 8, 3: 12, 4: 16}, 6, 128, 0.01
 _SPAN = max(FILTERS)
 _LETTER = re.compile(r"[^\W\d_]")
 
