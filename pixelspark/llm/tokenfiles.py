@@ -39,7 +39,7 @@ _DOUBLE = re.compile(r"\s\s")
 class Encoder:
     """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that."""
 
-    LIMIT = 1_000_000
+    LIMIT = 800_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
