@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, words
@@ -86,18 +86,20 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("bits", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            n, sig, regs = [], [], []
+            n, sig, regs, bits = [], [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, cache)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary())], schema=schema)
+                r = sketch(s) if len(s) else None
+                regs.append(None if r is None else r.tobytes())
+                bits.append(None if r is None else int.from_bytes(np.packbits(r[:64] & 1).tobytes(), "little", signed=True))
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary()), pa.array(bits, pa.int64())], schema=schema)
 
     return run
 
@@ -134,12 +136,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     with the same ids. An empty table gives no rows. Other columns of ``docs`` are not used, whatever their names.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_rows = materialize(d.mapInArrow(_sketches(k), "doc_id long, n_shingles long, sig binary, sketch binary"), "sketches")
+    all_rows = materialize(d.mapInArrow(_sketches(k), "doc_id long, n_shingles long, sig binary, sketch binary, bits long"), "sketches")
     groups = all_rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
     reps = all_rows.filter("doc_id is not null").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "representatives")
+    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bits"), "representatives")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BUCKETS // ROWS)))
-    members = reps.select(F.explode(bands).alias("key"), "id")
+    members = reps.select(F.explode(bands).alias("key"), "id", "n", "bits")
     crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
     members = materialize(members.join(crowded, "key", "left_semi"), "bands")
     wanted = members.select(F.col("id").alias("doc_id")).distinct()
@@ -148,15 +150,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b")
+        likely = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
         likely = likely.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).filter(_estimate("a_sketch", "b_sketch") >= percent / 100 - margin).select("a", "b")
         full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return full.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
-    labels = connect_buckets(members, verify)
+    unlike = (1 - percent / 100) / 2  # the lowest bits of unequal registers differ half the time
+
+    def near(m, p) -> Column:
+        """One bit of half the registers, within five standard errors too: sifts most chance meetings inside the join."""
+        limit = 64 * unlike + 5 * F.sqrt(F.lit(64 * 64 * unlike * (1 - unlike)) / F.least(m("n"), p("n"), F.lit(64)))
+        return F.bit_count(m("bits").bitwiseXOR(p("bits"))) <= limit
+
+    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near)
     by_sig = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
-    out = all_rows.drop("sketch").join(by_sig, "sig", "left")
+    out = all_rows.drop("sketch", "bits").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
