@@ -482,8 +482,7 @@ def w12_scratch_mask(spark, d):
 
 @query()
 def w13_white_stripe_mask(spark, d):
-    wide = im.to_samples(fx.document_scanlines(spark, d)).filter("channel = 'G'").select("image_id", "y", "x", F.col("v").cast("int").alias("v"))
-    return mo.white_stripe_mask(wide, 20)
+    return mo.white_stripe_mask(gray(spark, d), 20)
 
 
 @query(f"{SCRATCH}, wn as (select image_id, wy, wx, count(*) n from sm, range(0, 12) a(wy), range(0, 12) b(wx) where y between wy and wy+4 and x between wx and wx+4 group by all), k as (select *, row_number() over (partition by image_id order by n desc, wy, wx) k from wn) select image_id, wy::int y, wx::int x, n n_set from k where k = 1")
