@@ -3,8 +3,8 @@
 A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so
 ``connect_buckets`` works in rounds: every bucket takes a few members as pivots and compares them with all members that are not yet in their
 component; what is linked joins components. Compared pivots leave their bucket, because every pair they belong to is then settled. Buckets
-whose members all share a component leave as well. The pairs still open after the rounds, only between different components, are written
-out and compared one by one; so no link between different components is lost. The first round looks at every eighth bucket only: most copies meet in
+whose members all share a component leave as well. The pairs still open after the rounds, only between different components, are listed
+and compared one by one, by ``settle`` where a caller knows a shorter list; so no link between different components is lost. The first round looks at every eighth bucket only: most copies meet in
 several buckets, and one comparison then spares all others.
 """
 
@@ -50,11 +50,13 @@ def connect_buckets(
     payload: tuple[str, ...] = (),
     near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
     rounds: tuple[tuple[int, int], ...] = ROUNDS,
+    settle: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Components of ids that meet in a bucket and are linked.
 
     members: ``(key, id, *payload)``, each id at most once in a bucket; verify: distinct candidate pairs ``(a, b, *payload of a and b
-    as a_x, b_x)`` with a < b -> the linked ones ``(a, b)``; near: a cheap condition on the payloads of two members, tested inside the join.
+    as a_x, b_x)`` with a < b -> the linked ones ``(a, b)``; near: a cheap condition on the payloads of two members, tested inside the join; settle: ``(id, comp)`` of what the rounds leave open -> pairs
+``(a, b)`` among them, a < b, that hold every link between two components.
     Returns ``(id, comp)`` of all ids that have a link, comp being the smallest id of the component.
     """
     sides = lambda mine, other: F.lit(True) if near is None else near(mine, other)
@@ -71,6 +73,10 @@ def connect_buckets(
         return m.join(p, on).select(pick("id", True).alias("a"), pick("id", False).alias("b"), *(pick(c, yes).alias(f"{s}_{c}") for c in payload for s, yes in (("a", True), ("b", False)))).distinct()
 
     for share, pivots in (*rounds, (1, None)):
+        if pivots is None and settle is not None:
+            found = checkpoint(verify(settle(checkpoint(active.select("id", "comp").distinct()))).select("a", "b"))
+            links = found if links is None else links.union(found)
+            break
         active = checkpoint(active.withColumn("rank", F.row_number().over(order)))
         last = pivots is None
         pivot = F.lit(True) if last else (F.pmod("key", F.lit(share)) == 0) & (F.col("rank") <= pivots)

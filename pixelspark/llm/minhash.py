@@ -6,7 +6,8 @@ borrow from a fixed, pseudo-random order of buckets, so short texts have full sk
 candidate buckets; a candidate's Jaccard estimate, corrected for registers that collide by chance, must come within
 five standard errors of the threshold, and the full sets then decide.
 
-Copies (equal sets) fold into the smallest doc_id first and never meet as pairs.
+Copies (equal sets) fold into the smallest doc_id first and never meet as pairs. What shares a bucket and is still in different components after a few
+rounds of comparisons meets again by its rarest shingles: two sets this similar have their first common shingle, rarest first, near the front of both.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words
@@ -163,7 +164,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         limit = 64 * unlike + 5 * F.sqrt(F.lit(64 * 64 * unlike * (1 - unlike)) / F.least(m("n"), p("n"), F.lit(64)))
         return F.bit_count(m("bits").bitwiseXOR(p("bits"))) <= limit
 
-    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near)
+    def settle(open_ids: DataFrame) -> DataFrame:
+        """Pairs whose first common shingle, rarest first, leaves room for the overlap they need; shingles of one open set only count as places."""
+        each = open_ids.join(sets.select(F.col("doc_id").alias("id"), "hashes"), "id").select("id", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("g"))
+        often = each.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+        own = Window.partitionBy("id")
+        ranked = each.join(often, "g").withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("c", "g")) + 1)
+        front = materialize(ranked.filter(F.col("left") * 100 >= F.col("n") * percent).select("g", "id", "comp", "n", "left"), "fronts")
+        x, y = front.alias("x"), front.alias("y")
+        room = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
+        on = (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & room
+        return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+
+    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near, settle=settle)
     by_sig = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     out = all_rows.drop("sketch", "bits").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")

@@ -70,3 +70,12 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(100, 140)] + [(1, 2), (2, 2), (5, 1), (None, 3), (9, 8), (8, 9)]
     got = {r.id: r.comp for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: 100 for i in range(100, 141)} | {1: 1, 2: 1, 5: 1, 8: 8, 9: 8}
+
+
+def test_settling_alone_finds_every_link(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(minhash, "connect_buckets", partial(minhash.connect_buckets, rounds=()))
+    rows = corpus(3)
+    got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect())
+    assert got == sorted((d, c) for d, _, c in brute(rows, 2, 80))
