@@ -85,7 +85,9 @@ def connect_buckets(
         rest = active.filter(~pivot).drop("comp", "rank")
         if last or rest.isEmpty():
             break
-        rest = checkpoint(rest.join(connected_components(links), "id", "left").withColumn("comp", F.coalesce("comp", "id")))
+        labels = connected_components(links)
+        links = labels.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))  # stars, so that the next components take few steps
+        rest = checkpoint(rest.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
         active = rest.join(several(rest, "comp"), "key", "left_semi").select("key", "id", *payload, "comp")
         if active.isEmpty():
             break

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, words
-from .linking import connect_buckets
+from .linking import ROUNDS, connect_buckets
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -176,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
         on = (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & room
         return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
 
-    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near, settle=settle)
+    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near, rounds=ROUNDS[:2], settle=settle)
     by_sig = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
     out = all_rows.drop("sketch", "bits").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")

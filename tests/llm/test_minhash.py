@@ -73,9 +73,7 @@ def test_connected_components(spark):
 
 
 def test_settling_alone_finds_every_link(spark, monkeypatch):
-    from functools import partial
-
-    monkeypatch.setattr(minhash, "connect_buckets", partial(minhash.connect_buckets, rounds=()))
+    monkeypatch.setattr(minhash, "ROUNDS", ())
     rows = corpus(3)
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect())
     assert got == sorted((d, c) for d, _, c in brute(rows, 2, 80))
