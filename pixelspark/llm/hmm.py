@@ -1,12 +1,12 @@
 """Hidden Markov language model.
 
-Tokens are a text's words and one end. The ``OWN`` most frequent training tokens emit as themselves; all others emit through one of ``SHARED`` classes, named by a hash of
-their last two bytes, and inside a class a word has the probability (c + 1) / (N_class + V_class + 1). Latent states are trained by Baum-Welch over all
-training texts: every task sums its expected counts, the sums are added across partitions, and only these sums (one row a class) reach the driver,
-where the parameters are re-estimated. The score of a text is its exact log10 likelihood by the scaled forward recursion.
+Tokens are a text's words and one end. Every training word has emissions of its own. Latent states are trained by Baum-Welch over all training texts: every task
+sums its expected counts by word and state, and the sums are added across partitions. Those of the ``KNOWN`` most frequent words reach the driver and go to every task;
+those of all rarer words stay a distributed table, which is joined to the texts that hold them in each round. Each word's counts get one token, shared among the states as all tokens
+are, so that the states' mean is (c + 1) / (N + V + 1). Only a word never seen in training is smoothed by a class, named by a hash of its last two bytes: it has 1 / (N + V + 1), weighted by
+how far the state's share of its class exceeds the state's share of all tokens. The score of a text is its exact log10 likelihood by the scaled forward recursion.
 
-Counts of all words stay distributed. Tasks hold those of the ``KNOWN`` most frequent words; the counts of rarer words are joined. Sequences run together, longest first,
-so that a step of the recursion is one product of small matrices for all of them.
+Counts of all words stay distributed as well. Sequences run together, longest first, so that a step of the recursion is one product of small matrices for all of them.
 """
 
 from __future__ import annotations
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, words
 
-OWN, SHARED, KNOWN, STATES, ROUNDS = 4096, 64, 200_000, 8, 3
+SHARED, KNOWN, STATES, ROUNDS = 64, 200_000, 8, 3
+#: Different disturbances that words start with.
+STARTS = 4096
 #: Tokens that a task works on together.
 TOGETHER = 1_000_000
 #: The end token; no word is empty.
@@ -62,51 +64,29 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """Frequent words with their class and log10(c + 1), and the classes' shares of the training tokens."""
-
-    def __init__(self, top: list[tuple[bytes, int]], classes: dict[int, tuple[int, int]], own: int = OWN):
-        """top: the most frequent words with counts, most frequent first; classes: class -> tokens and distinct words of *all* words whose last bytes hash to it."""
-        tokens, distinct = np.zeros(SHARED, np.int64), np.zeros(SHARED, np.int64)
-        for k, (n, v) in classes.items():
-            tokens[k], distinct[k] = n, v
-        first = [END, *(w for w, _ in top if w != END)][: own + 1]
-        place = {w: i for i, w in enumerate(first)}
-        own_counts = np.zeros(len(first))
-        self.cls = np.zeros(len(top) + 1, np.uint16)
-        self.log = np.zeros(len(top) + 1)
-        self.number: dict[bytes, int] = {}
-        for i, (w, c) in enumerate(top):
-            self.number[w], self.log[i] = i, log10(c + 1)
-            if w in place:
-                own_counts[place[w]] = c
-                k = _shared_class(w)
-                tokens[k] -= c
-                distinct[k] -= 1
-                self.cls[i] = place[w]
-            else:
-                self.cls[i] = len(first) + _shared_class(w)
-        if END not in self.number:
-            self.number[END] = len(top)
-        self.first_shared = len(first)
-        self.inside = np.log10(tokens + distinct + 1.0)
-        self.totals = np.concatenate([own_counts, tokens]) + 1.0
-
-    def code(self, tokens: list[bytes]) -> tuple[np.ndarray, int, float, float, list[tuple[bytes, int]]]:
-        """Classes; how many tokens are known here; their sum of log10(c + 1); the log10 of all shares inside classes but for log10(c + 1) of words unknown here; those words with their numbers."""
+    """The most frequent words, the end among them, with their numbers, counts and log10(c + 1)."""
+
+    def __init__(self, top: list[tuple[bytes, int]]):
+        top = top if any(w == END for w, _ in top) else [*top, (END, 0)]
+        self.words = [w for w, _ in top]
+        self.number = {w: i for i, w in enumerate(self.words)}
+        self.counts = np.array([c for _, c in top], np.float64)
+        self.log = np.log10(self.counts + 1)
+
+    def code(self, tokens: list[bytes]) -> tuple[np.ndarray, int, float, list[tuple[bytes, int]]]:
+        """Symbols, a word unknown here being its place in the last list after all known ones; tokens known here; their sum of log10(c + 1); unknown words with their numbers."""
         n = np.fromiter((self.number.get(t, -1) for t in tokens), np.int64, len(tokens))
-        known = n >= 0
-        cls, log = self.cls[n], np.where(known, self.log[n], 0.0)
-        rare = Counter(tokens[i] for i in np.flatnonzero(~known))
+        unknown = np.flatnonzero(n < 0)
+        rare = sorted(Counter(tokens[i] for i in unknown).items())
+        known = n[n >= 0]
         if rare:
-            cls[~known] = [self.first_shared + _shared_class(tokens[i]) for i in np.flatnonzero(~known)]
-        shared = cls >= self.first_shared
-        inside = log[shared].sum() - self.inside[cls[shared].astype(np.int64) - self.first_shared].sum()
-        seen = int((known & ~((n == len(self.log) - 1))).sum())
-        return cls, seen, float(log.sum()), float(inside), sorted(rare.items())
+            place = {w: len(self.words) + i for i, (w, _) in enumerate(rare)}
+            n[unknown] = [place[tokens[i]] for i in unknown]
+        return n, int((self.counts[known] > 0).sum()), float(self.log[known].sum()), rare
 
 
 def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs(row, doc_id, held_out, text)`` -> the same without text, with ``n_tokens, n_known, log_known, inside, classes, rare``."""
+    """``docs(row, doc_id, held_out, text)`` -> the same without text, with ``n_tokens, n_known, log_known, symbols, rare``."""
     rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,12 +94,12 @@ def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             for at in range(0, len(whole), 1000):
                 batch = whole.slice(at, 1000)
                 found = [vocabulary.code([*words(t.as_py()), END]) for t in batch.column("text")]
-                columns = [pa.array([len(f[0]) for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found]), pa.array([f[3] for f in found])]
-                columns += [pa.array([f[0].astype("<u2").tobytes() for f in found], pa.binary()), pa.array([[{"word": w, "n": n} for w, n in f[4]] for f in found], rare_type)]
+                columns = [pa.array([len(f[0]) for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found])]
+                columns += [pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([[{"word": w, "n": n} for w, n in f[3]] for f in found], rare_type)]
                 keep = ["row", "doc_id", "held_out"]
-                yield pa.record_batch([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_tokens", "n_known", "log_known", "inside", "classes", "rare"])
+                yield pa.record_batch([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_tokens", "n_known", "log_known", "symbols", "rare"])
 
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, inside double, classes binary, rare array<struct<word:binary,n:bigint>>")
+    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, symbols binary, rare array<struct<word:binary,n:bigint>>")
 
 
 class Packed:
@@ -148,13 +128,6 @@ class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    @classmethod
-    def first(cls, totals: np.ndarray, states: int = STATES, seed: int = 0) -> Hmm:
-        """Symbol shares, disturbed differently in each state."""
-        r = np.random.default_rng(seed)
-        emit = totals[:, None] * r.gamma(2.0, 1.0, (len(totals), states))
-        return cls(np.full(states, 1 / states), r.dirichlet(np.full(states, 2.0), states) * 0.3 + np.eye(states) * 0.7, emit / emit.sum(axis=0))
-
     def forward(self, p: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward probabilities and scales at each place; log10 likelihood of each sequence in the given order."""
         emit, move = self.emit.astype(np.float32)[p.symbol], self.move.astype(np.float32)
@@ -189,47 +162,115 @@ class Hmm:
         emits = np.stack([np.bincount(p.symbol, gamma[:, k], symbols) for k in range(gamma.shape[1])], axis=1)
         return gamma[:first].sum(axis=0, dtype=np.float64), moves.astype(np.float64), emits
 
-    @classmethod
-    def estimated(cls, starts: np.ndarray, moves: np.ndarray, emits: np.ndarray, totals: np.ndarray) -> Hmm:
-        """From summed expected counts; each distribution is smoothed by one token's worth of a flat one, or of the symbols' overall shares."""
-        k = len(starts)
-        start, move = starts + 1 / k, moves + 1 / k
-        emit = emits + (totals / totals.sum())[:, None]
-        return cls(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
+
+class Emissions:
+    """What turns a word's summed counts by state into its emissions, and the emissions of words never seen."""
+
+    def __init__(self, by_class: np.ndarray, distinct: int):
+        """by_class: expected counts of all training words by the class of their last bytes and state."""
+        states = by_class.sum(axis=0)
+        n = states.sum()
+        self.share = (states + 1 / len(states)) / (n + 1)
+        self.norm = states + self.share * (distinct + 1)
+        lift = (by_class + self.share) / (by_class.sum(axis=1, keepdims=True) + 1) / self.share
+        self.unseen = lift / (n + distinct + 1)
+
+    def of(self, counts: np.ndarray) -> np.ndarray:
+        return (counts + self.share) / self.norm
+
+    def of_words(self, found: list[bytes], counts: np.ndarray) -> np.ndarray:
+        """Negative counts mark words never seen."""
+        out = self.of(counts)
+        for i in np.flatnonzero(counts[:, 0] < 0):
+            out[i] = self.unseen[_shared_class(found[i])]
+        return out
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of rows with at most about ``TOGETHER`` tokens, and their class sequences."""
+def _first_shares(states: int, seed: int = 0) -> np.ndarray:
+    g = np.random.default_rng(seed).gamma(2.0, 1.0, (STARTS, states))
+    return g / g.sum(axis=1, keepdims=True)
+
+
+def _together(batches: Iterator[pa.RecordBatch], known: int, states: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.Array, np.ndarray]]:
+    """Slices of rows with at most about ``TOGETHER`` tokens; their symbols, each text's rare words after those of the texts before; these words and their counts by state."""
     for batch in batches:
-        ends = np.cumsum([len(c) // 2 for c in batch.column("classes").to_pylist()])
+        ends = np.cumsum([len(c) // 4 for c in batch.column("symbols").to_pylist()])
         a = 0
         while a < len(batch):
             b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOGETHER, "right")))
             part = batch.slice(a, b - a)
-            yield part, [np.frombuffer(c, "<u2") for c in part.column("classes").to_pylist()]
+            more, sequences, before = part.column("extra"), [], 0
+            for c, n in zip(part.column("symbols").to_pylist(), more.value_lengths().to_pylist(), strict=True):
+                x = np.frombuffer(c, "<u4").astype(np.int64)
+                sequences.append(np.where(x >= known, x + before, x))
+                before += n or 0
+            flat = more.flatten()
+            found, counts = flat.field("word"), np.stack([flat.field(f"s{k}").to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
+            yield part, sequences, found, counts
             a = b
 
 
-def baum_welch(coded: DataFrame, totals: np.ndarray, states: int = STATES, rounds: int = ROUNDS) -> Hmm:
-    """Train on ``coded(classes)``. Each round is one pass; counts are added across partitions by class."""
-    model, symbols = Hmm.first(totals, states), len(totals)
-    for _ in range(rounds):
-
-        def run(batches: Iterator[pa.RecordBatch], model: Hmm = model) -> Iterator[pa.RecordBatch]:
+def _with_rare(coded: DataFrame, rare: DataFrame, table: DataFrame, states: int) -> DataFrame:
+    """``coded`` with ``extra``: the rare words of each row in order, with their counts by state from ``table(word, s0, ...)``, -1 where it has none."""
+    names = [f"s{k}" for k in range(states)]
+    extra = rare.join(table, "word", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names)))).alias("extra"))
+    fields = ",".join(f"{c}:double" for c in names)
+    return coded.join(extra, "row", "left").withColumn("extra", F.coalesce("extra", F.expr(f"cast(array() as array<struct<word:binary,{fields}>>)")))
+
+
+def _by_class(table: DataFrame, known: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
+    """Counts by class and state of the known words and of the distributed ``table``."""
+    out = np.zeros((SHARED, known.shape[1]))
+    np.add.at(out, [_shared_class(w) for w in vocabulary.words], known)
+    names = [f"s{k}" for k in range(known.shape[1])]
+    sums = table.groupBy((F.crc32(F.substring("word", -2, 2)) % SHARED).alias("class")).agg(*(F.sum(c).alias(c) for c in names)).toPandas()
+    out[sums["class"]] += sums[names].to_numpy()
+    return out
+
+
+def baum_welch(coded: DataFrame, rare: DataFrame, counts: DataFrame, vocabulary: Vocabulary, distinct: int, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, DataFrame, Emissions]:
+    """Train on ``coded(row, symbols)`` and its ``rare(row, word)``; counts: training counts of words outside the vocabulary. -> the model with the known words' emissions, the rare words' counts by
+    state, and what makes emissions of them. Each round is one pass; counts are added across partitions by word."""
+    names, symbols = [f"s{k}" for k in range(states)], len(vocabulary.words)
+    shares = _first_shares(states)
+    start = counts.sparkSession.createDataFrame([(i, *map(float, x)) for i, x in enumerate(shares)], ", ".join(["place long", *(f"{c} double" for c in names)]))
+    table = counts.withColumn("place", F.crc32("word") % STARTS).join(F.broadcast(start), "place").select("word", *((F.col("c") * F.col(c)).alias(c) for c in names))
+    known = vocabulary.counts[:, None] * shares[[zlib.crc32(w) % STARTS for w in vocabulary.words]]
+    r = np.random.default_rng(1)
+    starts, moves = np.full(states, 1 / states), r.dirichlet(np.full(states, 2.0), states) * 0.3 + np.eye(states) * 0.7
+    for n in range(rounds + 1):
+        emissions = Emissions(_by_class(table, known, vocabulary), distinct)
+        model = Hmm(starts, moves, emissions.of(known))
+        if n == rounds:
+            return model, table, emissions
+
+        def run(batches: Iterator[pa.RecordBatch], model: Hmm = model, emissions: Emissions = emissions) -> Iterator[pa.RecordBatch]:
             total = None
-            for _, sequences in _together(batches):
-                got = model.expected(Packed(sequences), symbols)
+
+            def out(places: np.ndarray, found: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
+                return pa.record_batch([pa.array(places, pa.int32()), found, *(pa.array(rows[:, k]) for k in range(states))], names=["place", "word", *names])
+
+            for _, sequences, found, counts in _together(batches, symbols, states):
+                here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_words(found.to_pylist(), counts)]))
+                begin, move, emit = here.expected(Packed(sequences), len(here.emit))
+                got = begin, move, emit[:symbols]
                 total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+                if len(found):
+                    yield out(np.full(len(found), -1), found, emit[symbols:])
             if total is not None:
-                rows = np.concatenate([total[2], total[1], total[0][None]])  # a row for each symbol, then each state's moves, then the starts
-                yield pa.record_batch([pa.array(np.arange(len(rows)), pa.int32()), *(pa.array(rows[:, k]) for k in range(states))], names=["place", *(f"s{k}" for k in range(states))])
-
-        fields = ", ".join(f"s{k} double" for k in range(states))
-        sums = coded.select("classes").mapInArrow(run, f"place int, {fields}").groupBy("place").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in range(states))).toPandas()
+                rows = np.concatenate([total[2], total[1], total[0][None]])  # a row for each known word, then each state's moves, then the starts
+                some = np.flatnonzero(rows.any(axis=1))
+                yield out(some, pa.nulls(len(some), pa.binary()), rows[some])
+
+        joined = _with_rare(coded.select("row", "symbols"), rare, table, states)
+        sums = joined.mapInArrow(run, "place int, word binary, " + ", ".join(f"{c} double" for c in names)).groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in names))
+        sums = materialize(sums, "expected-counts")
+        table = sums.filter("place = -1").drop("place")
+        few = sums.filter("place >= 0").drop("word").toPandas()  # no more than the known words
         rows = np.zeros((symbols + states + 1, states))
-        rows[sums["place"]] = sums[[f"s{k}" for k in range(states)]]
-        model = Hmm.estimated(rows[-1], rows[symbols:-1], rows[:symbols], totals)
-    return model
+        rows[few["place"]] = few[names]
+        known, moves, starts = rows[:symbols], rows[symbols:-1] + 1 / states, rows[-1] + 1 / states
+        starts, moves = starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True)
 
 
 def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", states: int = STATES, rounds: int = ROUNDS, known: int = KNOWN) -> DataFrame:
@@ -241,24 +282,26 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out_rows(F.col("doc_id")))
     counts = materialize(token_counts(d.filter("not held_out")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    shared = F.crc32(F.substring("word", -2, 2)) % SHARED
-    classes = {int(r.k): (r.n, r.v) for r in counts.groupBy(shared.alias("k")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()}
     top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]  # at most ``known`` words
-    vocabulary = Vocabulary(top, classes)
+    vocabulary = Vocabulary(top)
     coded = materialize(code_texts(d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text"), vocabulary), "coded")
-    model = baum_welch(coded.filter("not held_out"), vocabulary.totals, states, rounds)
+    rare = coded.select("row", "held_out", F.explode("rare").alias("r")).select("row", "held_out", "r.word", "r.n")
+    coded = coded.drop("rare")
+    outside = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in vocabulary.words], "word binary")), "word", "left_anti")
+    model, table, emissions = baum_welch(coded.filter("not held_out"), rare.filter("not held_out").select("row", "word"), outside, vocabulary, distinct, states, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sequences in _together(batches):
-            keep = [n for n in part.schema.names if n != "classes"]
-            yield pa.record_batch([*(part.column(c) for c in keep), pa.array(model.forward(Packed(sequences))[2])], names=[*keep, "likelihood"])
-
-    scored = coded.drop("rare").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, inside double, likelihood double")
-    rare = coded.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
-    out = scored.join(rare, "row", "left")
+        for part, sequences, found, by_state in _together(batches, len(vocabulary.words), states):
+            here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_words(found.to_pylist(), by_state)]))
+            keep = [n for n in part.schema.names if n not in ("symbols", "extra")]
+            yield pa.record_batch([*(part.column(c) for c in keep), pa.array(here.forward(Packed(sequences))[2])], names=[*keep, "score"])
+
+    scored = _with_rare(coded, rare.select("row", "word"), table, states).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, score double")
+    seen = rare.select("row", "word", "n").join(counts, "word")
+    seen = seen.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
+    out = scored.join(seen, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("log_known") + more - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"), (F.col("likelihood") + F.col("inside") + more).alias("score"),
+        (F.col("log_known") + more - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"), "score",
     )

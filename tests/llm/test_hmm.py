@@ -49,3 +49,14 @@ def test_scores(spark):
     held = [x for x in got if x.held_out]
     assert sum(x.score for x in held) > sum(x.base_score for x in held) and all(x.score < 0 for x in got)
     assert hmm.language_model_scores(df.limit(0)).count() == 0
+
+
+def test_every_training_word_has_its_own_emissions(spark):
+    r = np.random.default_rng(5)
+    # the two languages share the endings of their words, so only the words themselves tell them apart
+    rows = [(i, " ".join(f"{'pq'[i % 2]}{j}zz" for j in r.integers(0, 150, 25))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    few, all_known = ({x.doc_id: x for x in hmm.language_model_scores(df, known=n).collect()} for n in (20, 1000))
+    assert all(abs(few[i].score - all_known[i].score) < 1e-3 for i, _ in rows)
+    held = [x for x in few.values() if x.held_out]
+    assert sum(x.score - x.base_score for x in held) > 0.1 * sum(x.n_tokens for x in held)
