@@ -12,9 +12,12 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); a temporary one where the setting is absent, as in tests."""
+    """The folder that driver and executors share (``spark.checkpoint.dir``). Where it is unset, a temporary one in local mode, as in tests, and an error on a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -34,12 +37,31 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the folders of materialized tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        base = shared_dir(spark)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if base.split(":", 1)[-1].lstrip("/") in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Reliable checkpoint of a small intermediate table in the shared folder."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words(text: str | None) -> list[bytes]:
     """Words of a text, A-Z lower-cased, split at ASCII white space only."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

@@ -1,94 +1,75 @@
 """Connected components and the exact resolution of candidate buckets, in DataFrame operations only.
 
-A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so
-``connect_buckets`` works in rounds: every bucket takes a few members as pivots and compares them with all members that are not yet in their
-component; what is linked joins components. Compared pivots leave their bucket, because every pair they belong to is then settled. Buckets
-whose members all share a component leave as well. The pairs still open after the rounds, only between different components, are listed
-and compared one by one, by ``settle`` where a caller knows a shorter list; so no link between different components is lost. The first round looks at every eighth bucket only: most copies meet in
-several buckets, and one comparison then spares all others.
+A *bucket* holds ids that may be linked pairwise. Writing out all pairs of a bucket grows with the square of its size, so ``connect_buckets`` first
+compares every bucket's members with one of them only, its centre: the member whose buckets are the most crowded, as what is close to the middle of a
+group of copies shares more buckets than what strayed from it. What is linked joins components, and a bucket whose members all share a component
+needs no further comparison. Only ids of buckets that hold several components stay open; ``settle`` names the pairs that may still be linked among them, and all of these are
+compared. No link between different components is lost.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
+from .common import checkpoint, discard, materialize
 
-#: For each round: one in so many buckets takes part, with so many pivots.
-ROUNDS = ((8, 1), (1, 2), (1, 8))
+#: Edges in one partition of a table of edges.
+EDGES = 200_000
+
+
+def _packed(df: DataFrame, rows: int) -> DataFrame:
+    return checkpoint(df.coalesce(1 + rows // EDGES))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(a, b)`` -> ``(id, comp)``, comp being the smallest id reachable; alternating large-star and small-star steps.
 
-    Ids without an edge do not appear. Self-loops, repeated edges and nulls are ignored. An empty input gives no rows.
+    Ids without an edge do not appear. Self-loops, repeated edges and nulls are ignored. An empty input gives no rows. The steps end when every id hangs on
+    one smaller id that hangs on none, which is looked up exactly.
     """
     e = checkpoint(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v and u is not null and v is not null").distinct())
-    before = None
-    if e.isEmpty():
-        return e.select(F.col("u").alias("id"), F.col("v").alias("comp"))
+    rows = e.count()
+    e = _packed(e, rows) if rows else e
     while True:
+        ends = e.select(F.col("u").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select(F.col("v").alias("id"), F.lit(0), F.lit(1)))
+        if ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 or up = 1 and down = 1").isEmpty():
+            break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        e = checkpoint(small)
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.max(F.xxhash64("v", "u"))).first()
-        if now == before:
-            break
-        before = now
+        e = _packed(large.join(low, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), rows)
     return e.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(e.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
-def connect_buckets(
-    members: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    payload: tuple[str, ...] = (),
-    near: Callable[[Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
-    rounds: tuple[tuple[int, int], ...] = ROUNDS,
-    settle: Callable[[DataFrame], DataFrame] | None = None,
-) -> DataFrame:
+def ordered(a: Column, b: Column) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
+def connect_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame], settle: Callable[[DataFrame, DataFrame], DataFrame], near: Callable[[str, str], Column] | None = None, payload: tuple[str, ...] = ()) -> DataFrame:
     """Components of ids that meet in a bucket and are linked.
 
-    members: ``(key, id, *payload)``, each id at most once in a bucket; verify: distinct candidate pairs ``(a, b, *payload of a and b
-    as a_x, b_x)`` with a < b -> the linked ones ``(a, b)``; near: a cheap condition on the payloads of two members, tested inside the join; settle: ``(id, comp)`` of what the rounds leave open -> pairs
-``(a, b)`` among them, a < b, that hold every link between two components.
+    members: ``(key, id, *payload)``, each id at most once in a bucket; verify: distinct candidate pairs ``(a, b)`` with a < b -> the linked ones; near: a condition on the
+    payloads of two aliases that every link meets, tested inside joins; settle: ``(id, comp)`` of what is open and the crowded members -> the linked pairs ``(a, b)`` among
+    ids of different components, all of them at least.
     Returns ``(id, comp)`` of all ids that have a link, comp being the smallest id of the component.
     """
-    sides = lambda mine, other: F.lit(True) if near is None else near(mine, other)
-    several = lambda df, column: df.groupBy("key").agg(F.min(column).alias("lo"), F.max(column).alias("hi")).filter("lo < hi").select("key")
-    active = members.join(several(members, "id"), "key", "left_semi").withColumn("comp", F.col("id"))
-    order = Window.partitionBy("key").orderBy(F.xxhash64("id"), "id")
-    links = None
-
-    def pairs(pivot: Column) -> DataFrame:
-        m, p = active.alias("m"), active.filter(pivot).alias("p")
-        on = (F.col("m.key") == F.col("p.key")) & (F.col("m.comp") != F.col("p.comp")) & (F.col("m.rank") > F.col("p.rank")) & sides(lambda c: F.col(f"m.{c}"), lambda c: F.col(f"p.{c}"))
-        first = F.col("m.id") < F.col("p.id")
-        pick = lambda c, yes: F.when(first == F.lit(yes), F.col(f"m.{c}")).otherwise(F.col(f"p.{c}"))
-        return m.join(p, on).select(pick("id", True).alias("a"), pick("id", False).alias("b"), *(pick(c, yes).alias(f"{s}_{c}") for c in payload for s, yes in (("a", True), ("b", False)))).distinct()
-
-    for share, pivots in (*rounds, (1, None)):
-        if pivots is None and settle is not None:
-            found = checkpoint(verify(settle(checkpoint(active.select("id", "comp").distinct()))).select("a", "b"))
-            links = found if links is None else links.union(found)
-            break
-        active = checkpoint(active.withColumn("rank", F.row_number().over(order)))
-        last = pivots is None
-        pivot = F.lit(True) if last else (F.pmod("key", F.lit(share)) == 0) & (F.col("rank") <= pivots)
-        found = checkpoint(verify(pairs(pivot)).select("a", "b"))
-        links = found if links is None else links.union(found)
-        rest = active.filter(~pivot).drop("comp", "rank")
-        if last or rest.isEmpty():
-            break
-        labels = connected_components(links)
-        links = labels.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))  # stars, so that the next components take few steps
-        rest = checkpoint(rest.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id")))
-        active = rest.join(several(rest, "comp"), "key", "left_semi").select("key", "id", *payload, "comp")
-        if active.isEmpty():
-            break
-    return connected_components(links)
+    sizes = members.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    crowded = materialize(members.join(sizes, "key"), "crowded")
+    weighed = crowded.drop("size").join(crowded.groupBy("id").agg(F.sum("size").alias("weight")), "id")
+    centres = weighed.groupBy("key").agg(F.max(F.struct("weight", "id", *payload)).alias("centre")).select("key", "centre.*")
+    m, c = weighed.alias("m"), centres.alias("c")
+    met = (F.col("m.key") == F.col("c.key")) & (F.col("m.id") != F.col("c.id")) & (F.lit(True) if near is None else near("m", "c"))
+    links = checkpoint(verify(m.join(c, met).select(*ordered(F.col("m.id"), F.col("c.id"))).distinct()).select("a", "b"))
+    labels = connected_components(links)
+    now = crowded.drop("size").join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key")
+    left = materialize(now.join(mixed, "key", "left_semi"), "open")
+    found = checkpoint(settle(left.select("id", "comp").distinct(), left).select("a", "b"))
+    if not found.isEmpty():
+        labels = connected_components(found.union(labels.filter("id <> comp").select(F.col("comp").alias("a"), F.col("id").alias("b"))))
+    discard(crowded, left)
+    return labels

@@ -3,11 +3,11 @@
 A document's set holds its distinct k-word shingles, each a 64-bit hash. The top bits of a hash name one of 128 buckets; each bucket
 keeps its smallest remainder as a register of 6 bits (leading zeros) and 10 bits (the mantissa behind the first one). Empty buckets
 borrow from a fixed, pseudo-random order of buckets, so short texts have full sketches too. Bands of four compressed registers are the
-candidate buckets; a candidate's Jaccard estimate, corrected for registers that collide by chance, must come within
+candidate buckets. Every member of a bucket is compared with its centre: the Jaccard estimate, corrected for registers that collide by chance, must come within
 five standard errors of the threshold, and the full sets then decide.
 
-Copies (equal sets) fold into the smallest doc_id first and never meet as pairs. What shares a bucket and is still in different components after a few
-rounds of comparisons meets again by its rarest shingles: two sets this similar have their first common shingle, rarest first, near the front of both.
+Copies (equal sets) fold into the smallest doc_id first and never meet as pairs. What shares a bucket and is still in different components
+meets again by its rarest shingles, without regard to estimates: two sets this similar have their first common shingle, rarest first, near the front of both.
 """
 
 from __future__ import annotations
@@ -17,13 +17,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words
-from .linking import ROUNDS, connect_buckets
+from .common import discard, free_name, materialize, words
+from .linking import connect_buckets, ordered
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
+#: Standard errors by which an estimate may fall short before full sets decide.
+MARGIN = 5.0
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -87,20 +89,18 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def _sketches(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary()), ("bits", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sig", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _WordHashes()
         for batch in batches:
-            n, sig, regs, bits = [], [], [], []
+            n, sig, regs = [], [], []
             for text in batch.column("text"):
                 s = shingle_set(text.as_py(), k, cache)
                 n.append(len(s))
                 sig.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
-                r = sketch(s) if len(s) else None
-                regs.append(None if r is None else r.tobytes())
-                bits.append(None if r is None else int.from_bytes(np.packbits(r[:64] & 1).tobytes(), "little", signed=True))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary()), pa.array(bits, pa.int64())], schema=schema)
+                regs.append(sketch(s).tobytes() if len(s) else None)
+            yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(regs, pa.binary())], schema=schema)
 
     return run
 
@@ -137,48 +137,62 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     with the same ids. An empty table gives no rows. Other columns of ``docs`` are not used, whatever their names.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_rows = materialize(d.mapInArrow(_sketches(k), "doc_id long, n_shingles long, sig binary, sketch binary, bits long"), "sketches")
-    groups = all_rows.filter("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("rep"))
-    reps = all_rows.filter("doc_id is not null").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    reps = materialize(reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bits"), "representatives")
+    all_rows = materialize(d.mapInArrow(_sketches(k), "doc_id long, n_shingles long, sig binary, sketch binary"), "sketches")
+    groups = all_rows.filter("sig is not null").groupBy("sig", "n_shingles", "sketch").agg(F.min("doc_id").alias("id")).filter("id is not null")
+    groups = materialize(groups.withColumnRenamed("n_shingles", "n"), "groups")
+    reps = groups.select("id", "n", "sketch")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sketch", 2 * ROWS * i + 1, 2 * ROWS)) for i in range(BUCKETS // ROWS)))
-    members = reps.select(F.explode(bands).alias("key"), "id", "n", "bits")
-    crowded = members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("key")
-    members = materialize(members.join(crowded, "key", "left_semi"), "bands")
-    wanted = members.select(F.col("id").alias("doc_id")).distinct()
-    sets = materialize(d.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, hashes array<long>"), "sets")
-    margin = F.lit(5.0) * F.sqrt(F.lit(percent / 100 * (1 - percent / 100)) / F.least("a_n", "b_n", F.lit(BUCKETS)))
+    margin = F.lit(MARGIN) * F.sqrt(F.lit(percent / 100 * (1 - percent / 100)) / F.least("a_n", "b_n", F.lit(BUCKETS)))
+    made = []
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
-        likely = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-        likely = likely.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).filter(_estimate("a_sketch", "b_sketch") >= percent / 100 - margin).select("a", "b")
-        full = likely.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
+    def full_sets(ids: DataFrame) -> DataFrame:
+        made.append(materialize(d.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, hashes array<long>"), "sets"))
+        return made[-1]
+
+    def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+        full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
         common = F.size(F.array_intersect("x", "y"))
         return full.filter(common * 100 >= (F.size("x") + F.size("y") - common) * percent).select("a", "b")
 
-    unlike = (1 - percent / 100) / 2  # the lowest bits of unequal registers differ half the time
-
-    def near(m, p) -> Column:
-        """One bit of half the registers, within five standard errors too: sifts most chance meetings inside the join."""
-        limit = 64 * unlike + 5 * F.sqrt(F.lit(64 * 64 * unlike * (1 - unlike)) / F.least(m("n"), p("n"), F.lit(64)))
-        return F.bit_count(m("bits").bitwiseXOR(p("bits"))) <= limit
-
-    def settle(open_ids: DataFrame) -> DataFrame:
-        """Pairs whose first common shingle, rarest first, leaves room for the overlap they need; shingles of one open set only count as places."""
-        each = open_ids.join(sets.select(F.col("doc_id").alias("id"), "hashes"), "id").select("id", "comp", F.size("hashes").alias("n"), F.explode("hashes").alias("g"))
-        often = each.groupBy("g").agg(F.count("*").alias("c")).filter("c > 1")
+    def verify(pairs: DataFrame) -> DataFrame:
+        side = lambda s: reps.select(F.col("id").alias(s), F.col("n").alias(f"{s}_n"), F.col("sketch").alias(f"{s}_sketch"))
+        likely = pairs.join(side("a"), "a").join(side("b"), "b")
+        likely = likely.filter(F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * percent).filter(_estimate("a_sketch", "b_sketch") >= percent / 100 - margin).select("a", "b")
+        likely = materialize(likely, "likely")
+        made.append(likely)
+        return linked(likely, full_sets(likely.select(F.explode(F.array("a", "b")).alias("id")).distinct()))
+
+    def settle(open_ids: DataFrame, _: DataFrame) -> DataFrame:
+        """All links between open documents of different components, whatever their sketches.
+
+        Shingles that documents of one component alone hold count as places only. The others are ranked, the rarest first; a link's first common shingle stands where the
+        rest of both documents has room for the overlap they need. The most held component's members of a shingle meet the others only, not one another.
+        A bitmap of a document's ranked shingles bounds the overlap from above before sets are fetched.
+        """
+        open_ids = materialize(open_ids.join(open_ids.groupBy("comp").agg(F.count("*").alias("peers")), "comp"), "open-ids")
+        sets = full_sets(open_ids)
+        each = open_ids.join(sets.select(F.col("doc_id").alias("id"), "hashes"), "id").select("id", "comp", "peers", F.size("hashes").alias("n"), F.explode("hashes").alias("g"))
+        often = each.groupBy("g").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g", "c")
         own = Window.partitionBy("id")
-        ranked = each.join(often, "g").withColumn("left", F.count("*").over(own) - F.row_number().over(own.orderBy("c", "g")) + 1)
-        front = materialize(ranked.filter(F.col("left") * 100 >= F.col("n") * percent).select("g", "id", "comp", "n", "left"), "fronts")
-        x, y = front.alias("x"), front.alias("y")
-        room = F.least("x.left", "y.left") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent
-        on = (F.col("x.g") == F.col("y.g")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.comp") != F.col("y.comp")) & room
-        return x.join(y, on).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-
-    labels = connect_buckets(members, verify, payload=("n", "bits"), near=near, rounds=ROUNDS[:2], settle=settle)
-    by_sig = groups.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("sig", F.coalesce("comp", "rep").alias("component_id"))
-    out = all_rows.drop("sketch", "bits").join(by_sig, "sig", "left")
+        bit = lambda w: F.when(F.col("g").bitwiseAND(F.lit(192)) == w * 64, F.expr("shiftleft(1L, cast(g & 63 as int))")).otherwise(F.lit(0))
+        ranked = each.join(often, "g").withColumn("total", F.count("*").over(own)).withColumn("left", F.col("total") - F.row_number().over(own.orderBy("c", "g")) + 1)
+        for w in range(4):
+            ranked = ranked.withColumn(f"m{w}", F.bit_or(bit(w)).over(own))
+        front = materialize(ranked.filter(F.col("left") * 100 >= F.col("n") * percent).drop("c"), "fronts")
+        leads = front.groupBy("g").agg(F.max(F.struct("peers", "comp")).alias("lead"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("g", F.col("lead.comp").alias("lead"))
+        x, y = front.join(leads, "g").filter("comp <> lead").alias("x"), front.alias("y")
+        lacks = lambda s, t: sum((F.bit_count(F.col(f"{s}.m{w}").bitwiseAND(F.bitwise_not(f"{t}.m{w}"))) for w in range(4)), F.lit(0))
+        most = F.least("x.left", "y.left", F.col("x.total") - lacks("x", "y"), F.col("y.total") - lacks("y", "x"))
+        once = (F.col("y.comp") == F.col("x.lead")) | (F.col("x.id") < F.col("y.id"))
+        on = (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & once & (most * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent)
+        pairs = materialize(x.join(y, on).select(*ordered(F.col("x.id"), F.col("y.id"))).distinct(), "rare-pairs")
+        made.extend([open_ids, front, pairs])
+        return linked(pairs, sets)
+
+    labels = connect_buckets(reps.select(F.explode(bands).alias("key"), "id"), verify, settle)
+    by_sig = groups.join(labels, "id", "left").select("sig", F.coalesce("comp", "id").alias("component_id"))
+    discard(*made)
+    out = all_rows.drop("sketch").join(by_sig, "sig", "left")
     component = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
@@ -188,5 +202,6 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
 
     Repeated rows of a kept document all stay; documents without words are no one's duplicate and stay, as do documents without an id.
     """
-    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col("_gone"), "left_anti")
+    gone = free_name(docs, "gone")
+    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")

@@ -73,7 +73,41 @@ def test_connected_components(spark):
 
 
 def test_settling_alone_finds_every_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "ROUNDS", ())
+    monkeypatch.setattr(minhash, "MARGIN", -100.0)  # no estimate reaches what that asks for, so comparisons with centres link nothing
     rows = corpus(3)
     got = sorted((r.doc_id, r.component_id) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect())
     assert got == sorted((d, c) for d, _, c in brute(rows, 2, 80))
+
+
+def test_columns_that_clash(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g", 5, "x"), (2, "a b c d e f g", 6, "y"), (3, None, 7, "z")], "doc_id long, text string, gone long, GONE_ string")
+    assert sorted((r.doc_id, r.gone) for r in minhash.keep_first(df).collect()) == [(1, 5), (3, 7)]
+
+
+def test_pairs_of_a_near_copy_group_stay_few(spark, monkeypatch):
+    """Near copies of one text, most of them beyond the threshold of each other: what is compared must not grow with the square of the group."""
+    r = random.Random(5)
+    base = [f"w{r.randrange(3000)}" for _ in range(100)]
+    rows = []
+    for _ in range(800):
+        copy = list(base)
+        for i in r.sample(range(100), r.randint(2, 9)):
+            copy[i] = f"w{r.randrange(3000)}"
+        rows.append(" ".join(copy))
+    counts, kept = [], minhash.materialize
+
+    def counting(df, name):
+        out = kept(df, name)
+        if name in ("likely", "rare-pairs"):
+            counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "materialize", counting)
+    made = []
+    for n in (400, 800):
+        counts.clear()
+        got = sorted((x.doc_id, x.component_id) for x in minhash.near_duplicates(spark.createDataFrame(list(enumerate(rows[:n])), "doc_id long, text string")).collect())
+        made.append(sum(counts))
+        if n == 400:
+            assert got == sorted((d, c) for d, _, c in brute(list(enumerate(rows[:n])), 5, 80))
+    assert made[1] <= 3 * made[0] + 100 and made[1] < 800 * 10
