@@ -7,22 +7,26 @@ XXH64 of the decompressed bytes) per frame, then the frame count, a descriptor b
 then decompresses only the frames that are asked for.
 
 Texts are encoded by the tokenizers library. The byte-level pre-tokenizer never lets a piece span a single space between two other
-characters, so a text is cut there (and at line ends where no white characters meet), and each distinct cut is encoded once per worker; the ids are those
-of the whole text.
+characters, so a text is cut there (and at line ends where no white characters meet). Arrow cuts many texts at once and numbers the distinct cuts, each of which is
+encoded once per worker; the ids, gathered by those numbers, are those of the whole text.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
+import sys
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -33,13 +37,22 @@ from .common import materialize, new_dir
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_DOUBLE = re.compile(r"\s\s")
+#: Two white characters that meet, or the character that marks cuts.
+_UNEVEN = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x01"
+#: A run of ASCII marks behind a Latin letter, at the end of a cut, is a piece of its own.
+_MARKED = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:-@\[-`{-~]+)", re.DOTALL)
+_LETTERS = re.compile(r" ?[A-Za-z]+")
 
 
 class Encoder:
-    """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that."""
+    """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that.
+
+    A tokenizer that is not a plain byte-level one gets whole texts.
+    """
 
     LIMIT = 800_000
+    #: Characters of text that are encoded together, or one longer text.
+    TOGETHER = 4_000_000
 
     def __init__(self, path: str, end_id: int | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,44 +61,66 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else np.dtype("<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        parts = json.loads(self.tokenizer.to_str())
+        level = parts["pre_tokenizer"] or {}
+        added = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or _LETTERS.fullmatch(t["content"]) for t in parts["added_tokens"])
+        self.cuts = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level["add_prefix_space"] and parts["normalizer"] is None and parts["truncation"] is None and parts["model"]["type"] == "BPE" and not added and sys.byteorder == "little"
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids with the end id, in order. A null text is empty."""
-        for at in range(0, len(texts), 256):
-            cuts = [self._cut(t) if t else [] for t in texts[at : at + 256]]
-            if len(self.known) > self.LIMIT:
-                self.known.clear()
-            self._learn(set().union(*cuts).difference(self.known))
-            for c in cuts:
-                yield b"".join(map(self.known.__getitem__, c)) + self.end
-
-    def _learn(self, new: set[str]) -> None:
-        # a mark behind a letter or digit is a piece of its own
-        marked = [u for u in new if u[-1] in ".,!?" and u[-2:-1].isalnum()]
-        plain = list((new.difference(marked) | {u[:-1] for u in marked} | {u[-1] for u in marked}).difference(self.known))
-        for lo in range(0, len(plain), 20_000):
-            part = plain[lo : lo + 20_000]
-            for cut, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                self.known[cut] = np.array(e.ids, self.dtype).tobytes()
-        for u in marked:
-            self.known[u] = self.known[u[:-1]] + self.known[u[-1]]
-
-    @staticmethod
-    def _cut(text: str) -> list[str]:
-        if _DOUBLE.search(text):
-            parts = _CUT.split(text)
-            return [parts[0], *(" " + p for p in parts[1:])]
-        # no two white characters meet: a line end is a piece of its own, and so a cut on both sides
-        out: list[str] = []
-        for i, line in enumerate(text.split("\n")):
-            if i:
-                out.append("\n")
-            if line:
-                words = line.split(" ")
-                out.append(words[0])
-                out += [" " + w for w in words[1:]]
-        return [u for u in out if u] if "" in out else out
+        part, size = [], 0
+        for t in texts:
+            part.append(t or "")
+            size += len(part[-1])
+            if size >= self.TOGETHER:
+                yield from self._encode(part)
+                part, size = [], 0
+        yield from self._encode(part)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        if not self.cuts:
+            return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        column = pa.array(texts, pa.large_string())
+        uneven = pc.match_substring_regex(column, _UNEVEN)
+        marked = pc.replace_substring(pc.replace_substring(pc.if_else(uneven, "", column), " ", "\x01 "), "\n", "\x01\n\x01")
+        pieces = pc.split_pattern(marked, "\x01")
+        coded = pieces.flatten().dictionary_encode()
+        if len(self.known) > self.LIMIT:
+            self.known.clear()
+        ids = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
+        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), self.dtype)
+        each = coded.indices.to_numpy()
+        counts = lengths[each]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        out = flat[np.arange(ends[-1]) + np.repeat(starts[each] - ends[:-1], counts)]
+        bounds = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        done = [out[a:b].tobytes() + self.end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
+            first, *rest = _CUT.split(texts[i])
+            done[i] = b"".join(self._ids([first, *(" " + x for x in rest)])) + self.end
+        return done
+
+    def _ids(self, cuts: list[str]) -> list[bytes]:
+        new = set(cuts).difference(self.known)
+        marked = [(u, *m.groups()) for u in new if (m := _MARKED.fullmatch(u))]
+        parts = (new.difference(u for u, _, _ in marked)).union(*((x, y) for _, x, y in marked)).difference(self.known)
+        rest = []
+        tokenize = self.tokenizer.model.tokenize
+        for u in parts:
+            if _LETTERS.fullmatch(u):  # one piece, whose byte-level form is itself but for the space
+                self.known[u] = array(self.code, [t.id for t in tokenize(u.replace(" ", "\u0120"))]).tobytes()
+            else:
+                rest.append(u)
+        for lo in range(0, len(rest), 20_000):
+            part = rest[lo : lo + 20_000]
+            for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[u] = array(self.code, e.ids).tobytes()
+        for u, x, y in marked:
+            self.known[u] = self.known[x] + self.known[y]
+        return list(map(self.known.__getitem__, cuts))
 
 
 _encoders: dict[tuple, Encoder] = {}
