@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: ASCII white space: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -54,6 +55,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``ids``, a narrow table that costs little to read, marked for broadcast if it has at most ``rows`` rows: spares the other side of a join its shuffle."""
+    return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, words
+from .common import discard, free_name, materialize, small, words
 from .linking import connect_buckets, ordered
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
@@ -146,8 +146,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     made = []
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        made.append(materialize(d.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "doc_id long, hashes array<long>"), "sets"))
-        return made[-1]
+        ids = materialize(ids.select(F.col("id").alias("doc_id")), "ids")
+        sets = materialize(d.join(small(ids), "doc_id", "left_semi").mapInArrow(_sets(k), "doc_id long, hashes array<long>").dropDuplicates(["doc_id"]), "sets")
+        made.extend([ids, sets])
+        return sets
 
     def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("hashes").alias("y")), "b")
@@ -203,5 +205,5 @@ def keep_first(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "do
     Repeated rows of a kept document all stay; documents without words are no one's duplicate and stay, as do documents without an id.
     """
     gone = free_name(docs, "gone")
-    found = near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(gone)).distinct()
-    return docs.join(found, F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
+    found = materialize(near_duplicates(docs, k, percent, id_col, text_col).filter("not kept").select(F.col("doc_id").alias(gone)).distinct(), "gone")
+    return docs.join(small(found), F.col(f"`{id_col}`").cast("long") == F.col(gone), "left_anti")
