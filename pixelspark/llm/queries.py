@@ -96,7 +96,7 @@ select doc_id, size, source_size::bigint source_size, target,
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import line_report
 
-    return line_report(_table(spark, sf_dir, "documents"), whole=True)
+    return line_report(_table(spark, sf_dir, "documents"), pairs=True)
 
 
 QUERIES["op1_line_dedup"] = op1_line_dedup
