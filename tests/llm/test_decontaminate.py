@@ -60,5 +60,27 @@ def test_long_texts_are_cut_without_loss(monkeypatch):
     item = "the quick brown fox jumps over the lazy dog near the river bank"
     index = dc.Index([(1, item)], 0.1)
     for at in range(380, 560, 7):
-        text = ("z" * at + " " + item.replace("lazy", "lzay") + " " + "y" * 900).encode()
+        text = "z" * at + " " + item.replace("lazy", "lzay") + " " + "y" * 900
         assert [(t, d) for t, _, d, *_ in index.matches([text])] == [(0, 2)]
+
+
+def test_short_items_have_their_whole_budget_of_edits_in_characters():
+    r = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyzéß中"
+    for m in [*range(1, 45), 81]:
+        for _ in range(6):
+            item = "".join(r.choice(letters) for _ in range(m))
+            x = list(item)
+            for p in r.sample(range(m), m // 10):
+                x[p] = r.choice(["", "Q", "é", x[p] + "ü"])
+            text = "some words " + "".join(x) + " more words"
+            assert [t for t, *_ in dc.Index([(1, item)], 0.1).matches([dc.normalised(text), dc.normalised("0123456789 " * 9)])] == [0], (m, item, text)
+    assert [d for _, _, d, *_ in dc.Index([(1, "the capital of france is paris")], 0.1).matches([dc.normalised("so: the kapital of frence is pariz!")])] == [3]
+
+
+def test_column_names_that_clash_and_long_texts(spark):
+    item = "which of these rivers flows through the largest number of countries"
+    d = spark.createDataFrame([(1, "x " * 400_000 + item, 5, "a"), (2, "x", 6, "b"), (2, None, None, None)], "doc_id long, text string, item_id long, distance string")
+    b = spark.createDataFrame([(7, item, 1), (7, item, 1)], "item_id long, text string, doc_id long")
+    assert [(r.doc_id, r.item_id, r.distance) for r in dc.find_leaks(d, b).collect()] == [(1, 7, 0), (1, 7, 0)]
+    assert sorted(map(str, dc.decontaminate(d, b).collect())) == sorted(map(str, d.filter("doc_id = 2").collect()))
