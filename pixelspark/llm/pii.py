@@ -2,7 +2,10 @@
 
 One Aho-Corasick pass over the whole text finds anchors: at-signs, plus signs, digits, ``://`` and identifier cues (``token``, ``iban`` ...).
 At each anchor a small deterministic parser expands to both sides and validates what it finds. Parsers of one kind never look
-behind the end of their last match, so matches of a kind are the leftmost ones and do not overlap; every parser is linear in what it consumes.
+behind the end of their last match, so matches of a kind are the leftmost ones and do not overlap; no stretch of text is scanned more than a few times.
+
+Cues count in any case and with a space, hyphen, underscore or nothing between their words. What follows must be valid: an IBAN by its remainder of 97, a social security number by its groups, keys,
+passwords, account and passport numbers by their length and by holding a digit.
 
 Kinds: ``email``, ``ip``, ``card``, ``phone`` (the base kinds) and, added by the method, ``url`` and ``account``.
 """
@@ -20,8 +23,11 @@ from pyspark.sql import functions as F
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
-#: Words after which an identifier may follow.
-CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key", "account", "acct", "iban", "ssn", "passport")
+#: Words after which an identifier may follow, and what it must be.
+CUES = {
+    "iban": "iban", "ssn": "ssn", "social security": "ssn", "account": "number", "acct": "number", "passport": "number",
+    **dict.fromkeys(("token", "secret", "password", "passwd", "api key", "access key", "private key", "bearer"), "secret"),
+}
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -30,7 +36,12 @@ _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s\"'<>|]+")
-_VALUE = re.compile(r"[ \t]{0,3}(?:is|no|nr|number)?[ \t]{0,3}[:=#]?[ \t]{0,3}[\"']?([A-Za-z0-9_-]{6,})")
+_LEAD = r"[ \t]{0,3}(?:is|no|nr|number)?[ \t.]{0,3}[:=#]?[ \t]{0,3}[\"']?"
+_VALUE = re.compile(_LEAD + r"([A-Za-z0-9_-]{6,})", re.IGNORECASE)
+_IBAN = re.compile(_LEAD + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.IGNORECASE)
+_SSN = re.compile(_LEAD + r"(([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4}))(?![0-9])", re.IGNORECASE)
+#: The longest account or passport number.
+LONGEST = 34
 _NOT_DIGIT = re.compile(r"[^0-9]")
 
 
@@ -46,19 +57,51 @@ def _automaton() -> ahocorasick.Automaton:
     for kind, keys in (("@", "@"), ("+", "+"), ("0", "0123456789"), ("url", ("://",))):
         for key in keys:
             a.add_word(key, (kind, len(key)))
-    for cue in CUES:
-        for form in {cue, cue.upper(), cue.capitalize()}:
-            a.add_word(form, ("cue", len(form)))
+    for cue, kind in CUES.items():
+        for gap in " _-", "":
+            for g in gap or ("",):
+                form = cue.replace(" ", g)
+                a.add_word(form, (kind, len(form)))
     a.make_automaton()
     return a
 
 
+def _lowered(text: str) -> str:
+    """Lower case, character by character."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _iban_end(found: str) -> int:
+    """Length of the longest valid number at the start of ``found`` that ends with a group of it; 0 if there is none."""
+    for end in range(len(found), 14, -1):
+        if (end == len(found) or found[end] == " ") and found[end - 1] != " ":
+            code = found[:end].replace(" ", "").upper()
+            if 15 <= len(code) <= LONGEST and int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1:
+                return end
+    return 0
+
+
+def _identifier(kind: str, text: str, at: int) -> tuple[int, int, int]:
+    """Span of a valid identifier behind a cue that ends at ``at``, empty if there is none, and the end of what holds none for any cue inside it."""
+    if kind == "iban" and (m := _IBAN.match(text, at)) and (end := _iban_end(m[1])):
+        rest = m.start(1) + end
+        if not text[rest : rest + 1].isalnum():
+            return m.start(1), rest, rest
+    if kind == "ssn" and (m := _SSN.match(text, at)) and m[2] not in ("000", "666") and m[2] < "900" and m[3] != "00" and m[4] != "0000":
+        return *m.span(1), m.end()
+    if kind in ("number", "secret") and (m := _VALUE.match(text, at)):
+        valid = any("0" <= c <= "9" for c in m[1]) and (kind == "secret" or len(m[1]) <= LONGEST)
+        return (*m.span(1), m.end()) if valid else (at, at, m.end())
+    return at, at, at
+
+
 def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tuple[int, int]]]:
     """Spans of each kind in ascending order; code points, end exclusive."""
     out: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
-    free = dict.fromkeys(KINDS, 0)
+    free, barren = dict.fromkeys(KINDS, 0), {"iban": 0, "ssn": 0, "number": 0, "secret": 0}
     ip_run = -2  # the last digit that belongs to a run in which no address starts
-    for last, (kind, length) in automaton.iter(text):
+    for last, (kind, length) in automaton.iter(_lowered(text)):
         p = last - length + 1
         if kind == "0":
             if p >= free["card"]:
@@ -100,9 +143,11 @@ def find_spans(text: str, automaton: ahocorasick.Automaton) -> dict[str, list[tu
                 if end > p + 3:
                     out["url"].append((at, end))
                 free["url"] = m.end()
-        elif p >= free["account"] and (m := _VALUE.match(text, last + 1)) and any("0" <= c <= "9" for c in m[1]):
-            out["account"].append(m.span(1))
-            free["account"] = m.end()
+        elif p >= free["account"] and last + 1 >= barren[kind]:
+            a, b, barren[kind] = _identifier(kind, text, last + 1)
+            if b > a:
+                out["account"].append((a, b))
+                free["account"] = b
     return out
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -36,10 +37,28 @@ def test_pieces_in_a_row(parts):
 
 
 def test_added_kinds():
-    text = 'see https://a.example/x?y=1. then token = "f4fddc3c96e5" IBAN: DE8937040044, account of none'
+    text = 'see https://a.example/x?y=1. then token = "f4fddc3c96e5" IBAN: DE89370400440532013000, account of none'
     got = pii.find_spans(text, AUTO)
     assert [text[a:b] for a, b in got["url"]] == ["https://a.example/x?y=1"]
-    assert [text[a:b] for a, b in got["account"]] == ["f4fddc3c96e5", "DE8937040044"]
+    assert [text[a:b] for a, b in got["account"]] == ["f4fddc3c96e5", "DE89370400440532013000"]
+
+
+def test_cues_in_any_form_and_validated_values():
+    found = lambda t: [t[a:b] for a, b in pii.find_spans(t, AUTO)["account"]]
+    for cue in ("API key: ", "Api_Key=", "apiKey: ", "api-key ", "Authorization: Bearer ", "PASSWORD is ", "access_key='", "aCCount No. "):
+        assert found(f"x {cue}ab12cd34ef z") == ["ab12cd34ef"], cue
+    assert found("IBAN DE89 3704 0044 0532 0130 00 and more") == ["DE89 3704 0044 0532 0130 00"]
+    assert found("IBAN: XX00000000, IBAN DE88 3704 0044 0532 0130 00") == []
+    assert found("SSN 123-45-6789, ssn: 000-12-3456, ssn 666-12-3456, ssn 987-65-4321, SSN: 123-00-4567") == ["123-45-6789"]
+    assert found("account " + "1" * 40) == [] and found("token nothing here") == []
+    assert found("\u0130 token ab12cd") == ["ab12cd"]  # a letter whose lower case is two characters
+
+
+def test_long_texts_take_time_in_proportion():
+    for text in ("token" * 200_000, "token " * 100_000, "iban de" * 100_000, "ssn 1" * 100_000, "a://" * 100_000, "1.2." * 100_000, "+1" * 100_000, "a@" * 100_000):
+        start = time.process_time()
+        pii.find_spans(text, AUTO)
+        assert time.process_time() - start < 10, text[:10]
 
 
 def test_table(spark):
