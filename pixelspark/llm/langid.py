@@ -16,9 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PER_LANG, PLACES, WIDTH, EMBED, FILTERS, EPOCHS, BATCH, STEP = 1000, 3, 128, 6, {2: 8, 3: 12, 4: 16}, 6, 128, 0.01
+PER_LANG, PLACES, WIDTH, EMBED, FILTERS, EPOCHS, BATCH, STEP = 1500, 3, 128, 6, {2: 8, 3: 12, 4: 16}, 6, 128, 0.01
 _SPAN = max(FILTERS)
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is of Unicode's categories L."""
+    return bool(_ASCII_LETTER.search(text)) or not text.isascii() and any(map(str.isalpha, text))
 
 
 def windows(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -62,32 +67,35 @@ class ByteConv:
         out = [np.maximum(self._pooled(x[a : a + part])[2] + self.p["shift"], 0) @ self.p["out"] + self.p["bias"] for a in range(0, len(x), part)]
         return np.concatenate(out) if out else np.zeros((0, len(self.langs)), np.float32)
 
+    def gradients(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean weighted cross-entropy of windows ``x`` with language numbers ``y``, by parameter."""
+        patches, response, top = self._pooled(x)
+        hidden = np.maximum(top + self.p["shift"], 0)
+        z = hidden @ self.p["out"] + self.p["bias"]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        z /= z.sum(axis=1, keepdims=True)
+        z[np.arange(len(y)), y] -= 1
+        z *= (weight[y] / len(y))[:, None]
+        g = {"out": hidden.T @ z, "bias": z.sum(axis=0)}
+        back = (z @ self.p["out"].T) * (hidden > 0)
+        g["shift"] = back.sum(axis=0)
+        at = response.argmax(axis=1)  # window, filter -> place
+        chosen = patches.reshape(len(x), -1, _SPAN * EMBED)[np.arange(len(x))[:, None], at]
+        g["conv"] = np.einsum("nfp,nf->pf", chosen, back) * self.mask
+        to = (back[:, :, None] * self.p["conv"].T[None]).reshape(len(x), back.shape[1], _SPAN, EMBED)
+        seen = x[np.arange(len(x))[:, None, None], at[:, :, None] + np.arange(_SPAN)]
+        g["embed"] = np.zeros((256, EMBED), back.dtype)
+        np.add.at(g["embed"], seen, to)
+        return g
+
     def fit(self, x: np.ndarray, y: np.ndarray, seed: int = 0) -> ByteConv:
         """Adam on cross-entropy, each language weighing the same."""
         r, m, v, t = np.random.default_rng(seed), {}, {}, 0
         weight = (len(y) / np.maximum(1, np.bincount(y, minlength=len(self.langs))) / len(self.langs)).astype(np.float32)
         for _ in range(EPOCHS):
             for rows in np.array_split(r.permutation(len(x)), -(-len(x) // BATCH)):
-                xb, yb = x[rows], y[rows]
-                patches, response, top = self._pooled(xb)
-                hidden = np.maximum(top + self.p["shift"], 0)
-                z = hidden @ self.p["out"] + self.p["bias"]
-                z = np.exp(z - z.max(axis=1, keepdims=True))
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(yb)), yb] -= 1
-                z *= (weight[yb] / len(yb))[:, None]
-                g = {"out": hidden.T @ z, "bias": z.sum(axis=0)}
-                back = (z @ self.p["out"].T) * (hidden > 0)
-                g["shift"] = back.sum(axis=0)
-                at = response.argmax(axis=1)  # window, filter -> place
-                chosen = patches.reshape(len(xb), -1, _SPAN * EMBED)[np.arange(len(xb))[:, None], at]
-                g["conv"] = np.einsum("nfp,nf->pf", chosen, back) * self.mask
-                to = (back[:, :, None] * self.p["conv"].T[None]).reshape(len(xb), back.shape[1], _SPAN, EMBED)
-                seen = xb[np.arange(len(xb))[:, None, None], at[:, :, None] + np.arange(_SPAN)]
-                g["embed"] = np.zeros((256, EMBED), np.float32)
-                np.add.at(g["embed"], seen, to)
                 t += 1
-                for k, d in g.items():
+                for k, d in self.gradients(x[rows], y[rows], weight).items():
                     m[k] = 0.9 * m.get(k, 0) + 0.1 * d
                     v[k] = 0.999 * v.get(k, 0) + 0.001 * d * d
                     self.p[k] = (self.p[k] - STEP * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
@@ -96,7 +104,7 @@ class ByteConv:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its probability; ``("und", 0.0)`` for a text that is null or has no letter."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        use = [i for i, t in enumerate(texts) if t and self.langs and _LETTER.search(t)]
+        use = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
         for at in range(0, len(use), 256):
             rows = use[at : at + 256]
             cut = [windows(texts[i]) for i in rows]
@@ -119,12 +127,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> ByteConv:
     size = F.greatest(F.length("text") - WIDTH, F.lit(0)) + 1
     place = lambda i: F.substring("text", F.pmod(F.xxhash64("doc_id", F.lit(i)), size).cast("int") + 1, WIDTH)
     d = docs.filter(~held_out_rows(F.col("doc_id"))).filter("lang is not null and length(text) > 0")
-    d = d.select("lang", F.array(*(place(i) for i in range(PLACES))).alias("parts"), F.xxhash64("doc_id").alias("rank"))
+    # a language's smallest hashes lie below a bound that follows from its count, so that no more than a few times ``per_lang`` rows of it meet in a task
+    often = d.groupBy("lang").agg(F.count("*").alias("c")).withColumnRenamed("lang", "of_lang")
+    rank = F.xxhash64("doc_id")
+    below = (rank / F.lit(2.0**64) + 0.5) * F.col("c") <= F.lit(2.0 * per_lang + 50)
+    d = d.join(F.broadcast(often), F.col("lang") == F.col("of_lang")).filter(below)  # a row for each language
+    d = d.select("lang", F.array(*(place(i) for i in range(PLACES))).alias("parts"), rank.alias("rank"))
     d = d.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "parts"))).filter(F.col("n") <= per_lang)
     rows = d.select("lang", "parts", "rank").orderBy("rank", "lang", "parts").collect()
     net = ByteConv(sorted({r.lang for r in rows}))
     number = {x: i for i, x in enumerate(net.langs)}
-    pairs = [(windows(p)[0][0], number[r.lang]) for r in rows for p in r.parts if _LETTER.search(p)]
+    pairs = [(windows(p)[0][0], number[r.lang]) for r in rows for p in r.parts if has_letter(p)]
     return net.fit(np.stack([x for x, _ in pairs]), np.array([y for _, y in pairs])) if pairs else net
 
 
