@@ -99,13 +99,13 @@ def _gated(pixels: DataFrame, mask: DataFrame, limit: float, reason: str) -> tup
 def remove_scratches(pixels: DataFrame, threshold: int = 30, size: int = 11, dark: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(pixels, mask, rejected)``: images with more than a tenth of their pixels marked are rejected."""
     q = quantize(pixels)
-    good, mask, bad = _gated(q, scratch_mask(to_gray8(q), threshold, size, dark), 0.1, "too many scratch candidates")
+    good, mask, bad = _gated(q, scratch_mask(to_gray8(q), threshold, size, dark), 0.1, "scratch mask covers over 10 percent")
     return inpaint(good, mask), mask, bad
 
 
 def remove_stripes(pixels: DataFrame, threshold: int = 5, strength: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
     q = quantize(pixels)
-    good, mask, bad = _gated(q, white_stripe_mask(to_gray8(q), threshold), 0.35, "too many stripe candidates")
+    good, mask, bad = _gated(q, white_stripe_mask(to_gray8(q), threshold), 0.35, "stripe mask covers over 35 percent")
     both = good.join(inpaint(good, mask).withColumnsRenamed({c: f"n{c}" for c in "rgb"}), PIXEL)
     return both.select(*PIXEL, *(quantized((1 - strength) * F.col(c) + strength * F.col(f"n{c}")).alias(c) for c in "rgb")), mask, bad
 

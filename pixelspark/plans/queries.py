@@ -267,9 +267,9 @@ def j3_kernel_terms(spark, d):
 
 @query(f"{S3}, sh as (select image_id, max(y)+1 h, max(x)+1 w from s3 group by 1), z as (select *, least(1.0::double, 16.0/greatest(h, w)) k from sh), t as (select image_id, h, w, greatest(1, round_even(h*k, 0)::int) th, greatest(1, round_even(w*k, 0)::int) tw from z), "
        "c as (select s3.*, h, w, th, tw, unnest(range(y*th//h, ((y+1)*th-1)//h+1)) ty, x*tw//w a, ((x+1)*tw-1)//w b from s3 join t using (image_id)), e as (select *, unnest(range(a, b+1)) tx from c), "
-       "f as (select *, (least((y+1)*th, (ty+1)*h)-greatest(y*th, ty*h))*(least((x+1)*tw, (tx+1)*w)-greatest(x*tw, tx*w)) wt from e) select image_id, channel, ty::int y, tx::int x, round(sum(v*wt)/sum(wt), 4) v from f group by all")
+       "f as (select *, (least((y+1)*th, (ty+1)*h)-greatest(y*th, ty*h))*(least((x+1)*tw, (tx+1)*w)-greatest(x*tw, tx*w)) wt from e) select image_id, channel, ty::int y, tx::int x, floor(sum(v*wt)/sum(wt)*10000 + 0.5)/10000 v from f group by all")
 def j4_area_resize(spark, d):
-    return rounded(me.area_resize(im.to_samples(fx.document_scanlines(spark, d)), 16), "v")
+    return me.area_resize(im.to_samples(fx.document_scanlines(spark, d)), 16).withColumn("v", F.floor(F.col("v") * 10000 + 0.5) / 10000)
 
 
 @query("select doc_id image_id, sha256(text || '|blur:5') job_key from documents where sha256(text || '|blur:5') not in (select sha256(text || '|blur:5') from documents where doc_id % 3 = 0)")
@@ -702,7 +702,7 @@ def r1_inpaint(spark, d):
 
 @query()
 def r2_remove_scratches(spark, d):
-    return re_.remove_scratches(ch.merge_channels(emb(spark, d)), 30, 5)[0]
+    return re_.remove_scratches(ch.merge_channels(emb(spark, d)), 60, 3)[0]
 
 
 @query()
