@@ -2,7 +2,7 @@
 
 Each source's documents are dealt by hash into at most ``BLOCKS`` blocks. A source whose target exceeds its size is passed over once or twice
 whole; for the rest of its target, blocks are taken in a pseudo-random order until the target is met, the last block document by document. What is taken
-makes each source's exact quota of blocks. A splitting tree deals the quotas to 2^depth output shards: each node halves its blocks, the halves' shares of the
+makes each source's exact quota of blocks. A splitting tree deals the quotas to 2^depth output shards, ``LEAST_SHARDS`` or more: each node halves its blocks, the halves' shares of the
 sources being a multivariate hypergeometric draw (a chain of univariate draws by inversion). A source's blocks, in a second pseudo-random order, are then cut by the
 leaves' quotas, so shards hold disjoint blocks and each shard is a uniform sample without replacement; rows are shuffled inside their shard.
 
@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, materialize
 
 BLOCKS = 4096
+#: Output shards there are at least, and words of one where there are more.
+LEAST_SHARDS, SHARD_WORDS = 64, 4_000_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -145,7 +147,7 @@ def _plan(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...],
     runs = (F.col("passes") + F.col("extra").cast("long")).cast("int")
     units = b.filter(runs > 0).select("_key", "_block", "cut", "passes", F.explode(F.sequence(F.lit(0), runs - 1)).alias("pass")).withColumn("cut", F.when(F.col("pass") == F.col("passes"), F.col("cut"))).drop("passes")
     wanted = b.groupBy().agg(F.sum(F.col("words") * F.col("passes") + F.when(F.col("extra"), F.coalesce("cut", "words")).otherwise(0)).alias("n")).first()["n"] or 0
-    depth = max(0, math.ceil(math.log2(max(1, wanted / words_per_shard))))
+    depth = math.ceil(math.log2(max(LEAST_SHARDS, wanted / words_per_shard)))
     leaves = split_quotas(units.groupBy("_key").agg(F.count("*").alias("q")), depth, seed)
     ends = Window.partitionBy("_key").orderBy("shard")
     leaves = leaves.withColumn("to", F.sum("q").over(ends)).filter("q > 0").select("_key", "shard", F.explode(F.sequence(F.col("to") - F.col("q") + 1, F.col("to"))).alias("place"))
@@ -154,13 +156,17 @@ def _plan(sizes: DataFrame, share: float, cap: float, weights: tuple[int, ...],
     return b, checkpoint(units.join(leaves, ["_key", "place"]).select("_key", "_block", "pass", "shard", "cut"))
 
 
-def _chosen(rows: DataFrame) -> Column:
-    """Whether a row of a partial block is among those taken: rows in hash order up to the cut, the row at the cut if more than half of it fits."""
+def _with_chosen(rows: DataFrame, times: DataFrame) -> DataFrame:
+    """``rows(_key, _block, _order, size, ...)`` joined to ``times(_key, _block, cut, ...)``, and whether a row of a partial block is among those taken: rows in hash order up to the cut, the row at the
+    cut if more than half of it fits. A source has one partial block at most, so few rows are sorted."""
+    times = checkpoint(times)
     order = Window.partitionBy("_key", "_block").orderBy("_order", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("cut")
+    chosen = F.coalesce(F.sum("size").over(order), F.lit(0)) + F.col("size") / 2 <= F.col("cut")
+    partial = rows.join(times.filter("cut is not null"), ["_key", "_block"]).withColumn("chosen", chosen)
+    return rows.join(times.filter("cut is null"), ["_key", "_block"]).withColumn("chosen", F.lit(False)).unionByName(partial)
 
 
-def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: ``doc_id, size, source_size, target, taken``.
 
     Null, empty and white-space texts have size 0 and taken 0; a null source is a source of its own, ordered last. Repeated rows are counted as often as they occur.
@@ -171,19 +177,18 @@ def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     blocks, placed = _plan(sizes, share, cap, weights, seed, words_per_shard)
     times = placed.groupBy("_key", "_block").agg(F.sum(F.col("cut").isNull().cast("long")).alias("whole"), F.max("cut").alias("cut"))
     times = blocks.select("_key", "_block", "source_size", "target").join(times, ["_key", "_block"], "left")
-    out = sizes.join(times, ["_key", "_block"]).withColumn("chosen", _chosen(sizes))
-    taken = F.col("size") * (F.coalesce("whole", F.lit(0)) + F.coalesce(F.col("chosen").cast("long"), F.lit(0)))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    taken = F.col("size") * (F.coalesce("whole", F.lit(0)) + F.col("chosen").cast("long"))
+    return _with_chosen(sizes, times).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
 
 
-def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = 16_000_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mixture itself: the rows of ``docs``, as often as they are taken, with their columns and no others, laid out shard by shard, each shard in pseudo-random order. Rows without words are never taken."""
     shown = docs.columns
     d = docs.select(F.struct(*(F.col(f"`{c}`") for c in shown)).alias("_row"), *_keyed(docs, id_col, source_col), word_count(F.col(text_col)).alias("size"))
     blocks, placed = _plan(d.select("_key", "_block", "size"), share, cap, weights, seed, words_per_shard)
     cuts = blocks.groupBy("_key", "_block").agg(F.max("cut").alias("cut"))
     runs = placed.groupBy("_key", "_block").agg(F.collect_list(F.struct("pass", "shard", F.col("cut").isNotNull().alias("part"))).alias("runs"))  # at most three entries
-    rows = d.join(cuts.join(runs, ["_key", "_block"]), ["_key", "_block"]).withColumn("chosen", _chosen(d)).filter("size > 0")
+    rows = _with_chosen(d, cuts.join(runs, ["_key", "_block"])).filter("size > 0")
     rows = rows.select("_row", "chosen", "_order", F.explode("runs").alias("r")).filter("not r.part or chosen")
     mixed = F.xxhash64(F.lit(seed), "_order", "r.pass")
     return rows.repartition(F.col("r.shard")).sortWithinPartitions(F.col("r.shard"), mixed, "_order").select("_row.*")

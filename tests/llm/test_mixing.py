@@ -74,3 +74,22 @@ def test_mix_and_report_agree(spark):
         want[r.doc_id] += r.taken
     assert words == Counter({k: v for k, v in want.items() if v})
     assert mixing.mix_report(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+def test_the_tree_splits_small_tables_into_disjoint_blocks(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", "w " * (1 + i * 37 % 23)) for i in range(600)], "doc_id long, source string, text string")
+    d = df.select(*mixing._keyed(df, "doc_id", "source"), mixing.word_count("text").alias("size"))
+    blocks, placed = mixing._plan(d, 1.5, 2.0, mixing.WEIGHTS, 0, mixing.SHARD_WORDS)
+    units = placed.collect()
+    assert len({u.shard for u in units}) > 32 and all(0 <= u.shard < mixing.LEAST_SHARDS for u in units)
+    assert len({(u["_key"], u["_block"], u["pass"]) for u in units}) == len(units)  # no unit is in two shards
+    for b in blocks.collect():
+        assert sum((u["_key"], u["_block"]) == (b["_key"], b["_block"]) for u in units) == b.passes + b.extra
+    per = Counter(u.shard for u in units)
+    assert max(per.values()) - min(per.get(k, 0) for k in range(mixing.LEAST_SHARDS)) <= 1
+
+
+def test_long_texts_and_no_words(spark):
+    df = spark.createDataFrame([(1, "a", "w " * 300_000), (2, "a", "w"), (3, "b", None)], "doc_id long, source string, text string")
+    got = {r.doc_id: r for r in mixing.mix_report(df).collect()}
+    assert got[1]["size"] == 300_000 and got[3].taken == 0 and got[3].target == 0 and sum(r.taken for r in got.values()) <= 2 * 300_001
