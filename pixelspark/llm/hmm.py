@@ -64,10 +64,9 @@ def token_counts(docs: DataFrame) -> DataFrame:
 
 
 class Vocabulary:
-    """The most frequent words, the end among them, with their numbers, counts and log10(c + 1)."""
+    """The end token, which every text needs, and the most frequent words, with their numbers, counts and log10(c + 1)."""
 
     def __init__(self, top: list[tuple[bytes, int]]):
-        top = top if any(w == END for w, _ in top) else [*top, (END, 0)]
         self.words = [w for w, _ in top]
         self.number = {w: i for i, w in enumerate(self.words)}
         self.counts = np.array([c for _, c in top], np.float64)
@@ -282,7 +281,10 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out_rows(F.col("doc_id")))
     counts = materialize(token_counts(d.filter("not held_out")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(bytes(r.word), r.c) for r in counts.orderBy(F.desc("c"), "word").limit(known).collect()]  # at most ``known`` words
+    is_end = F.col("word") == F.lit(END)
+    ends = counts.filter(is_end).first()
+    top = [(bytes(r.word), r.c) for r in counts.filter(~is_end).orderBy(F.desc("c"), "word").limit(known).collect()]  # at most ``known`` words
+    top.append((END, ends.c if ends else 0))
     vocabulary = Vocabulary(top)
     coded = materialize(code_texts(d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text"), vocabulary), "coded")
     rare = coded.select("row", "held_out", F.explode("rare").alias("r")).select("row", "held_out", "r.word", "r.n")

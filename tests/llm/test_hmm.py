@@ -60,3 +60,16 @@ def test_every_training_word_has_its_own_emissions(spark):
     assert all(abs(few[i].score - all_known[i].score) < 1e-3 for i, _ in rows)
     held = [x for x in few.values() if x.held_out]
     assert sum(x.score - x.base_score for x in held) > 0.1 * sum(x.n_tokens for x in held)
+
+
+def test_the_end_counts_though_other_words_are_more_frequent(spark):
+    rows = [(i, "a b c d a b c d a b c d e") for i in range(40)] + [(40, "z " * 50_000), (41, "a"), (41, "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {x.doc_id: x for x in hmm.language_model_scores(df, known=2, rounds=1).collect()}
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    count = Counter(w for i, t in rows if not out(i) for w in [*hmm.words(t), b""])
+    n, v = sum(count.values()), len(count)
+    for i, t in rows:
+        w = [*hmm.words(t), b""]
+        assert got[i].n_known == sum(count[x] > 0 for x in w) and abs(got[i].base_score - sum(log10((count[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
+        assert np.isfinite(got[i].score)
