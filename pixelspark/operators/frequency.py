@@ -10,41 +10,41 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized
 from .metrics import CELL, compare_images, shapes
+from .planes import lines_of, map_groups, repeated, scanline_array
 
 BIN = ["image_id", "channel", "ky", "kx"]
 
 
-def _plane(group: pd.DataFrame) -> np.ndarray:
-    return np.stack(group.sort_values("y")["v"].to_numpy())
-
-
 def fft2(scanlines: DataFrame, norm: str | None = None) -> DataFrame:
     """2-D DFT of each plane, DC at (0, 0); ``norm`` as in NumPy (None or "ortho")."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        s = np.fft.fft2(_plane(group), norm=norm)
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        s = np.fft.fft2(lines_of(group), norm=norm)
         ky, kx = np.indices(s.shape, dtype=np.int32)
-        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "channel": group["channel"].iloc[0], "ky": ky.ravel(), "kx": kx.ravel(), "re": s.real.ravel(), "im": s.imag.ravel()})
+        columns = [repeated(group, "image_id", s.size), repeated(group, "channel", s.size), *(pa.array(x.ravel()) for x in (ky, kx, s.real, s.imag))]
+        return [pa.record_batch(columns, names=[*BIN, "re", "im"])]
 
-    return scanlines.select("image_id", "channel", "y", "v").groupBy("image_id", "channel").applyInPandas(run, "image_id long, channel string, ky int, kx int, re double, im double")
+    return map_groups(scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>")), CELL[:2], ["y"], run, "image_id long, channel string, ky int, kx int, re double, im double")
 
 
 def ifft2(spectrum: DataFrame, shape: DataFrame, norm: str | None = None) -> DataFrame:
     """Real part of the inverse as scanlines. Bins that are absent count as zero; ``shape(image_id, height, width)`` gives the plane."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        s = np.zeros((int(group["height"].iloc[0]), int(group["width"].iloc[0])), complex)
-        s[group["ky"].to_numpy(), group["kx"].to_numpy()] = group["re"].to_numpy() + 1j * group["im"].to_numpy()
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        column = lambda c: group.column(c).to_numpy(zero_copy_only=False)
+        s = np.zeros((group.column("height")[0].as_py(), group.column("width")[0].as_py()), complex)
+        s[column("ky"), column("kx")] = column("re") + 1j * column("im")
         v = np.fft.ifft2(s, norm=norm).real
-        return pd.DataFrame({"image_id": group["image_id"].iloc[0], "channel": group["channel"].iloc[0], "y": np.arange(len(v), dtype=np.int32), "v": list(v)})
+        return [pa.record_batch([repeated(group, "image_id", len(v)), repeated(group, "channel", len(v)), pa.array(np.arange(len(v), dtype=np.int32)), scanline_array(v)], names=["image_id", "channel", "y", "v"])]
 
     d = spectrum.join(shape.select("image_id", "height", "width"), "image_id").select(*BIN, "re", "im", "height", "width")
-    return d.groupBy("image_id", "channel").applyInPandas(run, "image_id long, channel string, y int, v array<double>")
+    return map_groups(d, CELL[:2], [], run, "image_id long, channel string, y int, v array<double>")
 
 
 def magnitude(spectrum: DataFrame, log: bool = True) -> DataFrame:

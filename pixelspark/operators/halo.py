@@ -8,11 +8,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import reflected
+from .planes import lines_of, map_groups, repeated, scanline_array
 
 #: How NumPy names the two borders.
 PAD = {"reflect": "reflect", "replicate": "edge"}
@@ -50,29 +51,35 @@ def halo_map(scanlines: DataFrame, fn: Callable[[np.ndarray], np.ndarray], radiu
     first_band, last_band = F.greatest(F.lit(0), F.floor((F.col("p") - radius) / band)), F.least(last, F.floor((F.col("p") + radius) / band))
     rows = rows.withColumn("band", F.explode(F.sequence(first_band.cast("int"), last_band.cast("int"))))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        at = int(group["band"].iloc[0]) * band
-        n = min(band, int(group["height"].iloc[0]) - at)
-        planes = []
-        names = list(joint) if joint else [group["channel"].iloc[0]]
-        for name in names:
-            own = (group if not joint else group[group["channel"] == name]).sort_values("p")
-            own = own[(own["p"] >= at - radius) & (own["p"] < at + n + radius)]
-            planes.append(padded_columns(np.stack(own["v"].to_numpy()), radius, border))
-        out = np.asarray(fn(np.stack(planes) if joint else planes[0]), np.float64)
-        out = out if joint else out[None]
-        parts = [pd.DataFrame({"image_id": group["image_id"].iloc[0], "channel": name, "y": np.arange(at, at + n, dtype=np.int32), "v": list(p)}) for name, p in zip(names, out, strict=True)]
-        return pd.concat(parts)
-
-    return rows.select("image_id", "channel", "height", "band", "p", "v").groupBy(*keys, "band").applyInPandas(run, "image_id long, channel string, y int, v array<double>")
+    names = list(joint) if joint else None
+
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        at = group.column("band")[0].as_py() * band
+        n = min(band, group.column("height")[0].as_py() - at)
+        p, v = group.column("p").to_numpy(), lines_of(group)
+        inside = (p >= at - radius) & (p < at + n + radius)
+        if names:
+            channel = np.array(group.column("channel").to_pylist(), object)
+            blocks = [padded_columns(v[inside & (channel == name)], radius, border) for name in names]
+        else:
+            blocks = [padded_columns(v[inside], radius, border)]
+        out = np.asarray(fn(np.stack(blocks) if names else blocks[0]), np.float64)
+        made = []
+        for i, plane in enumerate(out if names else out[None]):
+            channel = pa.repeat(names[i], n) if names else repeated(group, "channel", n)
+            made.append(pa.record_batch([repeated(group, "image_id", n), channel, pa.array(np.arange(at, at + n, dtype=np.int32)), scanline_array(plane)], names=["image_id", "channel", "y", "v"]))
+        return made
+
+    rows = rows.select("image_id", "channel", "height", "band", "p", F.col("v").cast("array<double>"))
+    return map_groups(rows, [*keys, "band"], ["channel", "p"], run, "image_id long, channel string, y int, v array<double>")
 
 
 def apply_channels(scanlines: DataFrame, fn: Callable[..., np.ndarray], **kw) -> DataFrame:
     """A user's single-plane function on each whole plane (an image has at most four million pixels); see ``halo_map`` for functions of a bounded neighbourhood."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.sort_values("y")
-        out = np.asarray(fn(np.stack(g["v"].to_numpy()), **kw), np.float64)
-        return pd.DataFrame({"image_id": g["image_id"].iloc[0], "channel": g["channel"].iloc[0], "y": np.arange(len(out), dtype=np.int32), "v": list(out)})
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        out = np.asarray(fn(lines_of(group), **kw), np.float64)
+        columns = [repeated(group, "image_id", len(out)), repeated(group, "channel", len(out)), pa.array(np.arange(len(out), dtype=np.int32)), scanline_array(out)]
+        return [pa.record_batch(columns, names=["image_id", "channel", "y", "v"])]
 
-    return scanlines.select("image_id", "channel", "y", "v").groupBy("image_id", "channel").applyInPandas(run, "image_id long, channel string, y int, v array<double>")
+    return map_groups(scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>")), ["image_id", "channel"], ["y"], run, "image_id long, channel string, y int, v array<double>")
