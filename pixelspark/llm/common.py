@@ -60,6 +60,13 @@ def small(ids: DataFrame, rows: int = 1_000_000) -> DataFrame:
     return F.broadcast(ids) if ids.limit(rows + 1).count() <= rows else ids
 
 
+def small_batches(spark: SparkSession, size: str = "8m") -> None:
+    """Bound by bytes what Spark hands to Python at once, as texts may be long; a bound below is left as it is."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "67108864b") == "67108864b":
+        spark.conf.set(key, size)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, with underscores behind it until no column of ``df`` is called so."""
     taken = {c.lower() for c in df.columns}

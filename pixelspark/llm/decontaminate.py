@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 Q, SLICE_MB = 8, 8
 #: Characters of text looked at together; longer texts are cut into stretches that overlap by more than any match.
 STRETCH = 1 << 20
@@ -179,6 +181,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col:
     start and end count characters of the normalised text. Null and empty texts and items match nothing. Repeated rows of either table give repeated rows, null ids stay
     null, an empty table gives no rows; other columns are not used. Narrow in the documents: no shuffle.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     out = None
     for rows in _slices(benchmark, item_col, item_text_col):
@@ -199,6 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; all their columns. Narrow: no shuffle."""
+    small_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col)
     for rows in _slices(benchmark, item_col, item_text_col):
         items = [(r.item_id, r.text) for r in rows]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, words
+from .common import materialize, small_batches, words
 
 SHARED, KNOWN, STATES, ROUNDS = 64, 200_000, 8, 3
 #: Different disturbances that words start with.
@@ -278,6 +278,7 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Null, empty and white-space texts are the end token alone. Repeated rows are counted, and scored, as often as they occur; null ids are never held out. Without training
     texts every count is 0. An empty table gives no rows; other columns are not used.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out_rows(F.col("doc_id")))
     counts = materialize(token_counts(d.filter("not held_out")), "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()

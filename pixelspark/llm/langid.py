@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 PER_LANG, PLACES, WIDTH, EMBED, FILTERS, EPOCHS, BATCH, STEP = 1500, 3, 128, 6, {2: 8, 3: 12, 4: 16}, 6, 128, 0.01
 _SPAN = max(FILTERS)
 _ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -147,6 +149,7 @@ def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     Null, empty and letterless texts are ``und`` with score 0, as are all texts if no language can be learned. Repeated rows give repeated rows, null ids are never
     held out, an empty table gives no rows; other columns are not used. Narrow but for the training sample.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     net = fit(d, per_lang)
 

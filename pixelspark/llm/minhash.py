@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, free_name, materialize, small, words
+from .common import discard, free_name, materialize, small, small_batches, words
 from .linking import connect_buckets, ordered
 
 BUCKETS, ROWS, MANTISSA = 128, 4, 10
@@ -136,6 +136,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str
     Null, empty and white-space texts have n_shingles 0 and are linked with nothing (component_id = doc_id). A repeated row is a copy of itself
     with the same ids. An empty table gives no rows. Other columns of ``docs`` are not used, whatever their names.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     all_rows = materialize(d.mapInArrow(_sketches(k), "doc_id long, n_shingles long, sig binary, sketch binary"), "sketches")
     groups = all_rows.filter("sig is not null").groupBy("sig", "n_shingles", "sketch").agg(F.min("doc_id").alias("id")).filter("id is not null")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "url", "account")
 #: Words after which an identifier may follow, and what it must be.
@@ -176,12 +178,14 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A null or empty text has no spans: counts 0, ``spans`` empty, the hash of the empty string. Repeated rows give repeated rows, null ids
     stay null, an empty table gives no rows; further columns of ``docs`` are not used, whatever their names. Narrow: no shuffle.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return d.mapInArrow(_run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with every span of the text replaced by its kind in angle brackets; overlapping spans are merged, the earliest kind naming them. Null texts stay null."""
+    small_batches(docs.sparkSession)
     text_at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 SAMPLE, BINS, TREES, DEPTH, RATE, L2, LEAST = 20_000, 64, 120, 4, 0.1, 1.0, 8
 
 _KINDS = np.zeros(256, np.int64)  # letter, upper case, digit, space, line end, other white, sentence marks, other punctuation, control, beyond ASCII
@@ -150,6 +152,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
     Null and empty texts are scored by the statistics 0. Without labels of both kinds every score is the smoothed share of label 1. Repeated rows give repeated rows
     (and weigh as often in fitting), null ids are never held out nor labelled, an empty table gives no rows; other columns are not used.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     trees = fit(d, labels, sample=sample)
 
@@ -164,6 +167,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, i
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> DataFrame:
     """``docs`` without those that score below ``threshold``; all their columns. Narrow: the texts are never shuffled."""
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     trees = fit(d, labels, sample=sample)
     at = docs.columns.index(text_col)

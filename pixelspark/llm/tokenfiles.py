@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, new_dir
+from .common import materialize, new_dir, small_batches
 
 INDEX_MAGIC, SEEK_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -227,6 +227,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
     Documents are dealt by ranges of id, one sorted range a task; a range fills one file, or further pieces once ``max_file_mb`` are written.
     Null ids come first; rows with equal ids are ordered by text. An empty table writes no file.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     n = max(1, -(-d.count() // docs_per_file))
 
