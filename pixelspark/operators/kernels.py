@@ -100,5 +100,5 @@ def frequency_response(spark: SparkSession, weights: DataFrame, n: int = 512) ->
     """``filter, k, magnitude`` of 1-D kernels ``filter, i, w`` padded with zeros to n, for k = 0 .. n / 2."""
     k = spark.range(n // 2 + 1).select(F.col("id").cast("int").alias("k"))
     turn = 2 * math.pi / n * (F.col("k") * F.col("i") % n)
-    sums = F.broadcast(weights).join(k).groupBy("filter", "k").agg(F.sum(F.col("w") * F.cos(turn)).alias("re"), F.sum(F.col("w") * F.sin(turn)).alias("im"))  # a kernel has a few dozen weights
+    sums = weights.join(F.broadcast(k)).groupBy("filter", "k").agg(F.sum(F.col("w") * F.cos(turn)).alias("re"), F.sum(F.col("w") * F.sin(turn)).alias("im"))  # k has n / 2 + 1 rows
     return sums.select("filter", "k", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("magnitude"))

@@ -136,33 +136,41 @@ def _unpacked(archive: bytes) -> tuple[np.ndarray, int, int, str | None]:
     return sum(planes[p] << 8 * p for p in range(4)), levels, crc, None
 
 
-def wavelet_decompress(archives: DataFrame, levels: int = 4) -> tuple[DataFrame, DataFrame]:
-    """``(pixels, quarantine)`` of ``image_id, archive``: exact pixels of sound archives of that many levels; ``image_id, error`` of the others (a CRC that differs included)."""
+def wavelet_decompress(archives: DataFrame, levels: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(pixels, quarantine)`` of ``image_id, archive``: exact pixels of sound archives; ``image_id, error`` of the others (a CRC that differs included).
+
+    An archive's header holds its number of levels; with ``levels``, archives of any other number are among the others.
+    """
 
     def unpack(batches):
         for pdf in batches:
             for image_id, archive in zip(pdf["image_id"], pdf["archive"], strict=True):
                 z, found, crc, error = _unpacked(bytes(archive))
-                if error is None and found != levels:
+                if error is None and levels is not None and found != levels:
                     error = "another number of levels"
                 if error:
-                    yield pd.DataFrame({"image_id": [image_id], "channel": [None], "y": [None], "x": [None], "z": [None], "crc": [None], "error": [error]})
+                    yield pd.DataFrame({"image_id": [image_id], "channel": [None], "y": [None], "x": [None], "z": [None], "crc": [None], "levels": [None], "error": [error]})
                     continue
                 y, x = np.indices(z.shape[:2], dtype=np.int32)
                 for c, name in enumerate("RGB"):
-                    yield pd.DataFrame({"image_id": image_id, "channel": name, "y": y.ravel(), "x": x.ravel(), "z": z[:, :, c].ravel(), "crc": crc, "error": None})
+                    yield pd.DataFrame({"image_id": image_id, "channel": name, "y": y.ravel(), "x": x.ravel(), "z": z[:, :, c].ravel(), "crc": crc, "levels": found, "error": None})
 
-    rows = archives.select("image_id", "archive").mapInPandas(unpack, "image_id long, channel string, y int, x int, z long, crc long, error string")
+    rows = archives.select("image_id", "archive").mapInPandas(unpack, "image_id long, channel string, y int, x int, z long, crc long, levels int, error string")
     good = rows.filter("error is null")
-    samples = haar_inverse(good.select(*CELL, unzigzag(F.col("z")).alias("v")), levels)
+    coeffs = good.select(*CELL, "levels", unzigzag(F.col("z")).alias("v"))
+    counts = [levels] if levels is not None else sorted(r.levels for r in good.select("levels").distinct().collect()) or [1]  # at most eight numbers
+    samples = None
+    for n in counts:
+        part = haar_inverse(coeffs.filter(F.col("levels") == n).drop("levels"), n)
+        samples = part if samples is None else samples.unionByName(part)
     p = samples.groupBy("image_id", "y", "x").pivot("channel", ["R", "G", "B"]).agg(F.first("v"))
     pixels = p.select("image_id", "y", "x", (F.col("R") + F.col("G")).cast("int").alias("r"), F.col("G").cast("int").alias("g"), (F.col("B") + F.col("G")).cast("int").alias("b"))
-    byte = lambda c: F.unhex(F.lpad(F.hex(F.col(c).bitwiseAND(F.lit(255))), 2, "0"))
+    byte = lambda c: F.lpad(F.hex(F.col(c).bitwiseAND(F.lit(255))), 2, "0")
+    joined = lambda rows, part: F.array_join(F.transform(rows, lambda e: e[part]), "")
     cells = pixels.select("image_id", "y", "x", F.concat(byte("r"), byte("g"), byte("b")).alias("cell"), F.least("r", "g", "b").alias("lo"), F.greatest("r", "g", "b").alias("hi"))
     lines = cells.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "cell"))).alias("cells"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    row = F.aggregate("cells", F.lit(b""), lambda a, e: F.concat(a, e["cell"]))
-    whole = lines.select("image_id", "y", row.alias("row"), "lo", "hi").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "row"))).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    found = F.crc32(F.aggregate("rows", F.lit(b""), lambda a, e: F.concat(a, e["row"])))
+    whole = lines.select("image_id", "y", joined("cells", "cell").alias("row"), "lo", "hi").groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("y", "row"))).alias("rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    found = F.crc32(F.unhex(joined("rows", "row")))
     sums = whole.select("image_id", found.alias("found"), "lo", "hi").join(good.groupBy("image_id").agg(F.first("crc").alias("crc")), "image_id")
     broken = sums.filter("found <> crc or lo < 0 or hi > 255").select("image_id", F.lit("checksum differs").alias("error"))
     bad = rows.filter("error is not null").select("image_id", "error").unionByName(broken)

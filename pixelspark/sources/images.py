@@ -94,11 +94,11 @@ def validate_images(pixels: DataFrame, low: float | None = None, high: float | N
 def encode_bmp(pixels: DataFrame) -> DataFrame:
     """``image_id, bmp``: 24-bit BMP, rows from the bottom, padded to four bytes, behind a header of 54 bytes. Values are clipped and truncated."""
     shown = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c))).cast("int")
-    byte = lambda c: F.unhex(F.lpad(F.hex(shown(c)), 2, "0"))
+    byte = lambda c: F.lpad(F.hex(shown(c)), 2, "0")
     cell = pixels.select("image_id", "y", "x", F.concat(byte("b"), byte("g"), byte("r")).alias("cell"))
-    joined = lambda column, order, part: F.aggregate(F.array_sort(F.collect_list(F.struct(order, column))), F.lit(b""), lambda a, e: F.concat(a, e[part]))
-    rows = cell.groupBy("image_id", "y").agg(joined("cell", "x", "cell").alias("row"), F.count("*").alias("width"))
-    rows = rows.select("image_id", (-F.col("y")).alias("up"), "width", F.concat("row", F.when(F.col("width") % 4 == 0, F.lit(b"")).when(F.col("width") % 4 == 1, F.lit(bytes(1))).when(F.col("width") % 4 == 2, F.lit(bytes(2))).otherwise(F.lit(bytes(3)))).alias("row"))
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "cell"))), lambda e: e["cell"]), "")
+    rows = cell.groupBy("image_id", "y").agg(row.alias("row"), F.count("*").alias("width"))
+    rows = rows.select("image_id", (-F.col("y")).alias("up"), "width", F.unhex(F.concat("row", F.repeat(F.lit("00"), (F.col("width") % 4).cast("int")))).alias("row"))
     body = rows.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("up", "row"))).alias("rows"), F.max("width").cast("int").alias("width"), F.count("*").cast("int").alias("height"))
 
     @F.pandas_udf("binary")

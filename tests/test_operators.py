@@ -200,3 +200,37 @@ def test_sources_and_sinks(spark, tmp_path):
 
 def test_crc_of_spark_and_zlib_agree(spark):
     assert spark.range(1).select(F.crc32(F.lit(b"pixels")).alias("c")).first().c == zlib.crc32(b"pixels")
+
+
+def test_archives_of_any_number_of_levels_decode_together(spark):
+    _, pixels = images(spark, 1, [(5, 7)])
+    two = [wa.wavelet_compress(pixels.withColumn("image_id", F.col("image_id") * 10 + n), n).select("image_id", "archive").collect() for n in (1, 2)]
+    archives = spark.createDataFrame([(r.image_id, r.archive) for rows in two for r in rows], "image_id long, archive binary")
+    back, bad = wa.wavelet_decompress(archives)
+    want = sorted((r.y, r.x, r.r, r.g, r.b) for r in ch.quantize(pixels.filter("image_id = 0")).collect())
+    for n in (1, 2):
+        assert sorted((r.y, r.x, r.r, r.g, r.b) for r in back.filter(F.col("image_id") == n).collect()) == want
+    assert bad.count() == 0 and {r.error for r in wa.wavelet_decompress(archives, 2)[1].collect()} == {"another number of levels"}
+
+
+def test_nl_means_equals_plain_loops(spark):
+    r = np.random.default_rng(3)
+    gray = np.rint(np.clip(r.normal(120, 25, (9, 11)), 0, 255))
+    s = spark.createDataFrame([(0, c, y, x, float(gray[y, x])) for c in "RGB" for y in range(9) for x in range(11)], "image_id long, channel string, y int, x int, v double")
+    got = planes(im.to_samples(fi.nl_means(im.to_scanlines(s), 20.0, patch=3, search=5)))
+    light = fi._lab(np.stack([gray] * 3))
+    fold = lambda i, n: abs(i) if abs(i) < n else 2 * (n - 1) - abs(i)
+
+    def smooth(p, y, x):
+        at = lambda a, b: p[fold(a, 9), fold(b, 11)]
+        total = value = 0.0
+        for dy in range(-2, 3):
+            for dx in range(-2, 3):
+                d = sum((at(y + a, x + b) - at(y + dy + a, x + dx + b)) ** 2 for a in (-1, 0, 1) for b in (-1, 0, 1)) / 9
+                total += np.exp(-d / 400)
+                value += np.exp(-d / 400) * at(y + dy, x + dx)
+        return value / total
+
+    want = np.array([[smooth(light[0] * 2.55, y, x) / 2.55 for x in range(11)] for y in range(9)])
+    rgb = np.rint(np.clip(fi._rgb(np.stack([want, light[1], light[2]])), 0, 255))
+    assert max(np.abs(got[0, c] - rgb["RGB".index(c)]).max() for c in "RGB") <= 1
