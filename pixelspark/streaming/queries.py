@@ -16,7 +16,11 @@ STREAMS: dict = {}
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-')}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
@@ -41,6 +45,15 @@ def t1_stream_histogram(spark: SparkSession, d: str) -> DataFrame:
     return acc.run_to_end(acc.stream_histogram(_event_samples(spark, d), total=("R", "B")), _folder(spark))
 
 
+def t5_stream_retraction(spark: SparkSession, d: str) -> DataFrame:
+    """Every third event is taken back as soon as it has come."""
+    n = spark.read.parquet(f"{d}/events.parquet").count() // 256
+    e = _stream(spark, d, "events").filter(F.col("event_id") < n * 256)
+    sign = F.explode(F.when(F.col("event_id") % 3 == 0, F.array(F.lit(1), F.lit(-1))).otherwise(F.array(F.lit(1))))
+    s = e.select(F.expr("event_id div 256").alias("image_id"), F.lit("R").alias("channel"), F.least(F.lit(255), F.floor("value")).cast("double").alias("v"), sign.alias("sign"))
+    return acc.run_to_end(acc.stream_histogram(s, sign="sign"), _folder(spark))
+
+
 def t4_stream_progress(spark: SparkSession, d: str) -> DataFrame:
     return acc.run_to_end(acc.stream_progress(_event_samples(spark, d).select("image_id", "y"), 16), _folder(spark))
 
@@ -64,11 +77,12 @@ def t3_stream_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     return rounded(acc.run_to_end(acc.stream_reconstruct(arriving, 8, 8), _folder(spark)), "v")
 
 
-STREAMS = {f.__name__: f for f in (t1_stream_histogram, t2_stream_spectrum, t3_stream_reconstruct, t4_stream_progress)}
+STREAMS = {f.__name__: f for f in (t1_stream_histogram, t2_stream_spectrum, t3_stream_reconstruct, t4_stream_progress, t5_stream_retraction)}
 ORACLES = {
     "t1_stream_histogram": f"with {PX}, c as (select image_id, 'R' channel, floor(r)::int bin from px union all select image_id, 'B', floor(b)::int from px), t as (select * from c union all select image_id, 'Total', bin from c) select image_id, channel, bin, count(*) n from t group by all",
     "t2_stream_spectrum": f"with {S2} select image_id, channel, ky::int ky, kx::int kx, round(sum(v*cos(2*pi()*((ky*y+kx*x)%8)/8)), 3) + 0.0 re, round(-sum(v*sin(2*pi()*((ky*y+kx*x)%8)/8)), 3) + 0.0 im from s2, range(8) a(ky), range(8) b(kx) group by all",
     "t3_stream_reconstruct": f"with {S2} select image_id, channel, y, x, v from s2",
+    "t5_stream_retraction": f"with {PX} select image_id, 'R' channel, floor(r)::int bin, sum(case when (image_id*256 + y*16 + x) % 3 = 0 then 0 else 1 end)::bigint n from px group by all",
     "t4_stream_progress": f"with {PX} select image_id, count(distinct y) done, count(distinct y) >= 16 complete from px group by 1",
 }
 QUERIES |= STREAMS
