@@ -374,13 +374,14 @@ def a15_size_report(spark, d):
 
 @query()
 def a16_fourier_stats(spark, d):
-    return fr.fourier_compress(emb_lines(spark, d), 99.0)[1]
+    return rounded(fr.fourier_compress(emb_lines(spark, d), 99.0)[1], "retained_percent")
 
 
-@query(f"{weights(ke.unsharp_kernel(1.0, 1.5))}, k as (select max(dx)*2+1 size, sum(w) sum_w, min(w) min_w, max(w) max_w, max(case when dy = 0 and dx = 0 then w end) centre_w from kw) select image_id, size, round(sum_w, 6) sum_w, round(min_w, 6) min_w, round(max_w, 6) max_w, round(centre_w, 6) centre_w from k, (select distinct event_id//256 image_id from events)")
+@query(f"{PX} select image_id::varchar as filter, 5 size, sum(g) sum_w, min(g) min_w, max(g) max_w, max(case when y = 2 and x = 2 then g end) centre_w from px where y < 5 and x < 5 group by image_id")
 def a17_kernel_stats(spark, d):
-    k = rounded(ke.kernel_stats(ke.kernel_table(spark, "unsharp", sigma=1.0, amount=1.5)).drop("filter"), "sum_w", "min_w", "max_w", "centre_w", digits=6)
-    return spark.read.parquet(f"{d}/events.parquet").select(F.expr("event_id div 256").alias("image_id")).distinct().join(F.broadcast(k))  # one row
+    """A corner of each image as a kernel of its own."""
+    k = ev(spark, d).filter("y < 5 and x < 5").select(F.col("image_id").cast("string").alias("filter"), (F.col("y") - 2).alias("dy"), (F.col("x") - 2).alias("dx"), F.col("g").alias("w"))
+    return ke.kernel_stats(k)
 
 
 @query(f"{S2} select image_id, channel, true ok from s2 group by all")
@@ -530,6 +531,13 @@ PRUNE = PAIRS + """, t as (select *, sum(e) over (partition by image_id, channel
   coalesce(sum(case when idx = 0 then 0 else e end) over (partition by image_id, channel order by idx <> 0, e desc, idx rows between unbounded preceding and 1 preceding), 0) bef from pe)"""
 
 
+_KEPT = "idx = 0 or (tot*0.99-dc > 0 and bef < tot*0.99-dc)"
+ORACLES["a16_fourier_stats"] = (
+    f"with {PRUNE} select image_id, channel, round(case when sum(e) > 0 then 100*sum(case when {_KEPT} then e else 0 end)/sum(e) else 100 end, 4) + 0.0 retained_percent, "
+    f"sum(case when {_KEPT} then weight else 0 end)::bigint kept, sum(weight)::bigint total from t group by all"
+)
+
+
 @query(f"{PRUNE} select image_id, channel, count(*) n, sum(weight)::bigint coefficients, round(sum(e), 1) energy from t where idx = 0 or (tot*0.99-dc > 0 and bef < tot*0.99-dc) group by all")
 def k2_prune_energy(spark, d):
     pairs = fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d))
