@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +31,31 @@ def histogram(samples: DataFrame, bins: int = 256, value_range: tuple[float, flo
     return h.select("image_id", "channel", "bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"), "n")
 
 
+def scanline_histogram(scanlines: DataFrame, bins: int = 256, value_range: tuple[float, float] = (0.0, 256.0)) -> DataFrame:
+    """``histogram`` of scanline arrays: NumPy counts a batch of lines at once, and only counts leave it."""
+    low, high = value_range
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = pc.dictionary_encode(batch.column("image_id"), null_encoding="encode")
+            channels = pc.dictionary_encode(batch.column("channel"), null_encoding="encode")
+            line = ids.indices.to_numpy().astype(np.int64) * len(channels.dictionary) + channels.indices.to_numpy()
+            lengths = pc.fill_null(pc.list_value_length(batch.column("v")), 0).to_numpy()
+            v = batch.column("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null is NaN here
+            with np.errstate(invalid="ignore"):
+                inside = (v >= low) & (v <= high)
+            cell = np.minimum(np.floor((v[inside] - low) / ((high - low) / bins)).astype(np.int64), bins - 1)
+            keys, n = np.unique(np.repeat(line, lengths)[inside] * bins + cell, return_counts=True)
+            of, cell = np.divmod(keys, bins)
+            first, second = np.divmod(of, max(1, len(channels.dictionary)))
+            columns = [ids.dictionary.take(pa.array(first)), channels.dictionary.take(pa.array(second)), pa.array(cell.astype(np.int32)), pa.array(n.astype(np.int64))]
+            yield pa.record_batch(columns, names=["image_id", "channel", "bin", "n"])
+
+    counts = scanlines.select("image_id", "channel", "v").mapInArrow(run, "image_id long, channel string, bin int, n long").groupBy("image_id", "channel", "bin").agg(F.sum("n").alias("n"))
+    width = (high - low) / bins
+    return counts.select("image_id", "channel", "bin", (low + F.col("bin") * width).alias("lo"), (low + (F.col("bin") + 1) * width).alias("hi"), "n")
+
+
 def combined_histogram(samples: DataFrame, channels: tuple[str, ...] = ("R", "G", "B")) -> DataFrame:
     """Each channel's counts and, as channel ``Total``, the sum over ``channels``, in one grouping-sets pass."""
     if not channels:

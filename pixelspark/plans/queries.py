@@ -297,7 +297,7 @@ def a1_histogram(spark, d):
 
 @query(f"{S3} select image_id, channel, v::int bin, v lo, v+1 hi, count(*) n from s3 group by all")
 def a1_document_histogram(spark, d):
-    return hi.histogram(im.to_samples(fx.document_scanlines(spark, d)))
+    return hi.scanline_histogram(fx.document_scanlines(spark, d))
 
 
 @query(f"{S3}, c as (select image_id, channel, v::int bin from s3 union all select image_id, 'Total', v::int from s3) select image_id, channel, bin, count(*) n from c group by all")

@@ -234,3 +234,12 @@ def test_nl_means_equals_plain_loops(spark):
     want = np.array([[smooth(light[0] * 2.55, y, x) / 2.55 for x in range(11)] for y in range(9)])
     rgb = np.rint(np.clip(fi._rgb(np.stack([want, light[1], light[2]])), 0, 255))
     assert max(np.abs(got[0, c] - rgb["RGB".index(c)]).max() for c in "RGB") <= 1
+
+
+def test_histogram_of_lines_and_of_samples_agree(spark):
+    rows = [(1, "R", 0, [0.0, 255.9, 256.0, float("nan")]), (1, "R", 1, [3.5, 3.0, -1.0, 300.0]), (1, None, 0, [7.0]), (2, "G", 0, []), (2, "G", 1, None), (None, "B", 0, [1.0, 1.0])]
+    lines = spark.createDataFrame(rows, "image_id long, channel string, y int, v array<double>")
+    samples = lines.select("image_id", "channel", "y", F.posexplode("v").alias("x", "v"))
+    for bins in (256, 7):
+        want = sorted(map(str, hi.histogram(samples, bins).collect()))
+        assert sorted(map(str, hi.scanline_histogram(lines.repartition(2), bins).collect())) == want and want
