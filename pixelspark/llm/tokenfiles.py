@@ -44,29 +44,44 @@ _MARKED = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:
 _LETTERS = re.compile(r" ?[A-Za-z]+")
 
 
+def cut(column: pa.Array) -> tuple[pa.Array, pa.ListArray]:
+    """Which texts are uneven (two white characters meet), and the cuts of the others: before each space and around each line end. An uneven text has one empty cut."""
+    uneven = pc.match_substring_regex(column, _UNEVEN)
+    marked = pc.replace_substring(pc.replace_substring(pc.if_else(uneven, "", column), " ", "\x01 "), "\n", "\x01\n\x01")
+    return uneven, pc.split_pattern(marked, "\x01")
+
+
+def cut_uneven(text: str) -> list[str]:
+    """The cuts of any text: before each space between two characters that are not white."""
+    first, *rest = _CUT.split(text)
+    return [first, *(" " + x for x in rest)]
+
+
 class Encoder:
     """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that.
 
-    A tokenizer that is not a plain byte-level one gets whole texts.
+    A tokenizer that is not a plain byte-level one gets whole texts, and so does any tokenizer a text that holds one of its added tokens.
+    With ``special_as_text`` the strings of special tokens are ordinary text.
     """
 
     LIMIT = 800_000
     #: Characters of text that are encoded together, or one longer text.
     TOGETHER = 4_000_000
 
-    def __init__(self, path: str, end_id: int | None):
+    def __init__(self, path: str, end_id: int | None, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         self.dtype = np.dtype("<u2") if max(self.tokenizer.get_vocab_size(), end_id or 0) < 1 << 16 else np.dtype("<u4")
         self.end = b"" if end_id is None else np.array([end_id], self.dtype).tobytes()
         self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
         parts = json.loads(self.tokenizer.to_str())
         level = parts["pre_tokenizer"] or {}
-        added = any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] or _LETTERS.fullmatch(t["content"]) for t in parts["added_tokens"])
-        self.cuts = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level["add_prefix_space"] and parts["normalizer"] is None and parts["truncation"] is None and parts["model"]["type"] == "BPE" and not added and sys.byteorder == "little"
+        self.added = [t["content"] for t in parts["added_tokens"] if not (special_as_text and t["special"])]
+        self.cuts = level.get("type") == "ByteLevel" and level.get("use_regex", True) and not level["add_prefix_space"] and parts["normalizer"] is None and parts["truncation"] is None and parts["model"]["type"] == "BPE" and sys.byteorder == "little"
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids with the end id, in order. A null text is empty."""
@@ -81,11 +96,13 @@ class Encoder:
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         if not self.cuts:
-            return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        column = pa.array(texts, pa.large_string())
-        uneven = pc.match_substring_regex(column, _UNEVEN)
-        marked = pc.replace_substring(pc.replace_substring(pc.if_else(uneven, "", column), " ", "\x01 "), "\n", "\x01\n\x01")
-        pieces = pc.split_pattern(marked, "\x01")
+            return self._whole(texts)
+        whole = [i for i, t in enumerate(texts) if any(x in t for x in self.added)]
+        if whole:
+            done = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
+            rest = iter(self._encode([t for i, t in enumerate(texts) if i not in done]))
+            return [done[i] if i in done else next(rest) for i in range(len(texts))]
+        uneven, pieces = cut(pa.array(texts, pa.large_string()))
         coded = pieces.flatten().dictionary_encode()
         if len(self.known) > self.LIMIT:
             self.known.clear()
@@ -99,10 +116,12 @@ class Encoder:
         bounds = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
         done = [out[a:b].tobytes() + self.end for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
         for i in np.flatnonzero(uneven.to_numpy(zero_copy_only=False)).tolist():
-            first, *rest = _CUT.split(texts[i])
-            done[i] = b"".join(self._ids([first, *(" " + x for x in rest)])) + self.end
+            done[i] = b"".join(self._ids(cut_uneven(texts[i]))) + self.end
         return done
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _ids(self, cuts: list[str]) -> list[bytes]:
         new = set(cuts).difference(self.known)
         marked = [(u, *m.groups()) for u in new if (m := _MARKED.fullmatch(u))]

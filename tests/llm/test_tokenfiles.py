@@ -25,6 +25,13 @@ def test_cut_texts_give_the_ids_of_whole_texts(text):
     assert got == WHOLE.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "<", "endoftext", "a", "Word", ".", "'s", " ", "  ", "\n", "[x]", "<b>", "</s>", "\u2581"]), max_size=12).map("".join))
+def test_added_tokens_inside_texts_keep_their_ids(text):
+    got = [np.frombuffer(x, "<u2").tolist() for x in CUTS.encode([text, "plain text", text + " end"])]
+    assert got == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "plain text", text + " end")]
+
+
 def test_round_trip(spark):
     rows = [(5, "x  y\n z"), (3, None), (None, "null id"), (4, ""), (3, "twin"), (9, "word " * 30_000), (3, "twin")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
