@@ -156,3 +156,14 @@ def op4_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_hmm_scores"] = op4_hmm_scores
+
+
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .alignment import align_tokenizers
+
+    return align_tokenizers(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES["op11_token_alignment"] = op11_token_alignment
