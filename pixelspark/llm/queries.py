@@ -167,3 +167,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op11_token_alignment"] = op11_token_alignment
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .whitening import component_rows, whiten_vectors
+
+    return component_rows(whiten_vectors(_table(spark, sf_dir, "embeddings"), most=32, scale=64.0, shift=1_000_000))
+
+
+QUERIES["op12_whitening"] = op12_whitening
