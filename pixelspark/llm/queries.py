@@ -176,3 +176,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op12_whitening"] = op12_whitening
+
+
+def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .chunkbpe import decode_ids, digests, encode_chunks
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return digests(decode_ids(encode_chunks(_table(spark, sf_dir, "documents"), path), path))
+
+
+QUERIES["op13_chunk_bpe"] = op13_chunk_bpe
