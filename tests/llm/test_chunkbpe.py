@@ -66,7 +66,7 @@ def test_chunks_follow_the_content():
 def test_a_join_that_does_not_agree_sends_the_text_whole():
     encoder = cb.ChunkEncoder(PATH)
     encoder.probe = [1, 2, 3]
-    text = "plain words " * 200 + "unlike"
+    text = " ".join(f"words{k * k} of{k}" for k in range(400))
     assert next(encoder.encode([text])).tolist() == whole(text) and any(x is None for x in encoder.known.values())
 
 
