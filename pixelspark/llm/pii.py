@@ -39,9 +39,9 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _URL_REST = re.compile(r"[^\s\"'<>|]+")
 _LEAD = r"[ \t]{0,3}(?:is|no|nr|number)?[ \t.]{0,3}[:=#]?[ \t]{0,3}[\"']?"
-_VALUE = re.compile(_LEAD + r"([A-Za-z0-9_-]{6,})", re.IGNORECASE)
-_IBAN = re.compile(_LEAD + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.IGNORECASE)
-_SSN = re.compile(_LEAD + r"(([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4}))(?![0-9])", re.IGNORECASE)
+_VALUE = re.compile(_LEAD + r"([A-Za-z0-9_-]{6,})", re.IGNORECASE | re.ASCII)
+_IBAN = re.compile(_LEAD + r"([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})", re.IGNORECASE | re.ASCII)
+_SSN = re.compile(_LEAD + r"(([0-9]{3})[ -]?([0-9]{2})[ -]?([0-9]{4}))(?![0-9])", re.IGNORECASE | re.ASCII)
 #: The longest account or passport number.
 LONGEST = 34
 _NOT_DIGIT = re.compile(r"[^0-9]")

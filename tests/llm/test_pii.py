@@ -36,6 +36,19 @@ def test_pieces_in_a_row(parts):
     assert {k: got[k] for k in pii.BASE_KINDS} == plain(text)
 
 
+@settings(max_examples=1500, deadline=None)
+@given(st.text(max_size=40), st.lists(st.sampled_from(["iban ", "IBAN: DE89 3704 0044 0532 0130 00", "iban TR33 0006 1005 1978 6457 8413 ", "ssn ", "123-45-6789", "token=", "ab12cd", "\u0130stanbul", "\u212a", "\u017f", "e\u0301", "\u0661\u0662\u0663", "\uff11", "@", "a.b", "://", "\u00df"]), max_size=10))
+def test_all_of_unicode(text, parts):
+    for t in (text, "".join(parts), text.join(parts)):
+        got = pii.find_spans(t, AUTO)
+        assert {k: got[k] for k in pii.BASE_KINDS} == plain(t)
+
+
+def test_identifiers_are_ascii():
+    text = "iban TR33 0006 1005 1978 6457 8413 26 \u0130stanbul, iban D\u212a89370400440532013000, token a\u017fb12cd34"
+    assert [text[a:b] for a, b in pii.find_spans(text, AUTO)["account"]] == ["TR33 0006 1005 1978 6457 8413 26"]
+
+
 def test_added_kinds():
     text = 'see https://a.example/x?y=1. then token = "f4fddc3c96e5" IBAN: DE89370400440532013000, account of none'
     got = pii.find_spans(text, AUTO)
