@@ -46,7 +46,7 @@ def chunk_ends(raw: np.ndarray) -> np.ndarray:
 class ChunkEncoder:
     """Texts -> ids, with a memory of at most about ``REMEMBER`` bytes of chunks and joins, and ``WORDS`` words, in a worker."""
 
-    REMEMBER, WORDS = 32 << 20, 400_000
+    REMEMBER, WORDS = 16 << 20, 250_000
     #: Bytes of text that are cut together; a longer text is cut at white space into parts of this size.
     TOGETHER = 4 << 20
 
@@ -203,12 +203,13 @@ class Decoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        size = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
-        self.names = None if self.tokenizer.decoder is not None else pa.array([self.tokenizer.id_to_token(i) for i in range(size)], pa.large_string())
+        tokenizer = Tokenizer.from_file(path)
+        size = max(tokenizer.get_vocab(with_added_tokens=True).values()) + 1
+        self.names = pa.array([tokenizer.id_to_token(i) for i in range(size)], pa.large_string())
+        self.tokenizer = tokenizer if tokenizer.decoder is not None else None
 
     def __call__(self, ids: pa.ListArray) -> pa.Array:
-        if self.names is None:
+        if self.tokenizer is not None:
             return pa.array([self.tokenizer.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.large_string())
         flat = ids.flatten()
         offsets = pa.array(ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py())
@@ -225,8 +226,8 @@ def _coder(kind: type, path: str):
     return _coders[kind, path]
 
 
-def encode_chunks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, ids``: each document's ids (array<int>), exactly those that the tokenizers library gives for the whole text without special tokens added.
+def encode_chunks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+    """``doc_id, ids``, and with ``decode`` the text ``decoded`` from those ids in the same task: each document's ids (array<int>), exactly those that the tokenizers library gives for the whole text without special tokens added.
 
     Null and empty texts have an empty array. Repeated rows and ids, null ids included, give a row each; an empty table gives none; other columns are not used.
     A long text is cut at white space into parts of 4 MB. A tokenizer that looks beyond white space gets whole texts. There is no shuffle: a lost task is simply run again.
@@ -238,10 +239,14 @@ def encode_chunks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             ids = list(encoder.encode(batch.column("text").to_pylist()))
             bounds = np.cumsum([0, *map(len, ids)])
             lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *ids])))
-            yield pa.record_batch([batch.column("doc_id"), lists], names=["doc_id", "ids"])
+            columns = [batch.column("doc_id"), lists]
+            if decode:
+                columns.append(_coder(Decoder, tokenizer_path)(lists).cast(pa.string()))
+            yield pa.record_batch(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return texts.mapInArrow(run, "doc_id long, ids array<int>, decoded string" if decode else "doc_id long, ids array<int>")
 
 
 def decode_ids(tokens: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -181,10 +181,9 @@ QUERIES["op12_whitening"] = op12_whitening
 def op13_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from .chunkbpe import decode_ids, digests, encode_chunks
+    from .chunkbpe import digests, encode_chunks
 
-    path = public_tokenizers.path("word_bpe_49k.json")
-    return digests(decode_ids(encode_chunks(_table(spark, sf_dir, "documents"), path), path))
+    return digests(encode_chunks(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), decode=True))
 
 
 QUERIES["op13_chunk_bpe"] = op13_chunk_bpe

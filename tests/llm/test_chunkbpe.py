@@ -85,6 +85,7 @@ def test_rows(spark):
     df = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], "doc_id long, text string, ids int, decoded string")
     got = cb.digests(cb.decode_ids(cb.encode_chunks(df, PATH), PATH)).collect()
     assert sorted(map(tuple, got), key=repr) == sorted(expected(rows), key=repr)
+    assert sorted(map(tuple, cb.digests(cb.encode_chunks(df, PATH, decode=True)).collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert cb.encode_chunks(df.limit(0), PATH).collect() == []
     lists = spark.createDataFrame([(1, None), (2, []), (3, [320, 49407])], "doc_id long, ids array<int>")
     assert {r.doc_id: r.decoded for r in cb.decode_ids(lists, PATH).collect()} == {1: None, 2: "", 3: LIB.decode([320, 49407], skip_special_tokens=False)}
