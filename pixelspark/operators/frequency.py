@@ -1,16 +1,18 @@
 """Two-dimensional Fourier analysis, energy-ranked pruning and the sparse Fourier archive.
 
-Planes go to NumPy whole (an image has at most four million pixels, so a plane is at most 64 MB of complex numbers); ``dft_sql`` is the same transform by joins with tables
+A transform runs along lines, then down blocks of columns, with a shuffle between that transposes; ``dft_sql`` is the same transform by joins with tables
 of twiddle factors. Spectra: ``image_id, channel, ky, kx, re, im``.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,32 +21,76 @@ from .metrics import CELL, compare_images, shapes
 from .planes import lines_of, map_groups, repeated, scanline_array
 
 BIN = ["image_id", "channel", "ky", "kx"]
+#: Columns that a task transforms together, lines likewise on the way back, and samples of lines in one call of NumPy.
+COLUMNS, LINES, SAMPLES = 64, 16, 1 << 20
+
+
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Every row of complex numbers as bytes."""
+    rows = np.ascontiguousarray(rows, np.complex128)
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(16 * rows.shape[1]), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+
+def _unpacked(parts: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(parts.to_pylist()), np.complex128).reshape(len(parts), -1)
 
 
 def fft2(scanlines: DataFrame, norm: str | None = None) -> DataFrame:
-    """2-D DFT of each plane, DC at (0, 0); ``norm`` as in NumPy (None or "ortho")."""
+    """2-D DFT of each plane, DC at (0, 0); ``norm`` as in NumPy (None or "ortho").
 
-    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
-        s = np.fft.fft2(lines_of(group), norm=norm)
+    Lines are transformed where they are and cut into blocks of ``COLUMNS`` columns. One shuffle brings a block's lines together, and a task transforms one block of a plane at a time.
+    """
+
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes).tolist():
+                of = batch if (sizes == width).all() else batch.take(pa.array(np.flatnonzero(sizes == width)))
+                step = max(1, SAMPLES // max(1, width))
+                for at in range(0, of.num_rows, step):
+                    own = of.slice(at, step)
+                    line = np.fft.fft(lines_of(own), axis=1, norm=norm)
+                    for block in range(0, width, COLUMNS):
+                        yield pa.record_batch([own.column("image_id"), own.column("channel"), own.column("y"), pa.repeat(pa.scalar(block // COLUMNS, pa.int32()), own.num_rows), _packed(line[:, block : block + COLUMNS])], names=[*CELL[:3], "block", "part"])
+
+    def down(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        s = np.fft.fft(_unpacked(group.column("part")), axis=0, norm=norm)
         ky, kx = np.indices(s.shape, dtype=np.int32)
+        kx += group.column("block")[0].as_py() * COLUMNS
         columns = [repeated(group, "image_id", s.size), repeated(group, "channel", s.size), *(pa.array(x.ravel()) for x in (ky, kx, s.real, s.imag))]
         return [pa.record_batch(columns, names=[*BIN, "re", "im"])]
 
-    return map_groups(scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>")), CELL[:2], ["y"], run, "image_id long, channel string, ky int, kx int, re double, im double")
+    lines = scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>")).mapInArrow(along, "image_id long, channel string, y int, block int, part binary")
+    return map_groups(lines, [*CELL[:2], "block"], ["y"], down, "image_id long, channel string, ky int, kx int, re double, im double")
 
 
 def ifft2(spectrum: DataFrame, shape: DataFrame, norm: str | None = None) -> DataFrame:
-    """Real part of the inverse as scanlines. Bins that are absent count as zero; ``shape(image_id, height, width)`` gives the plane."""
+    """Real part of the inverse as scanlines. Bins that are absent count as zero; ``shape(image_id, height, width)`` gives the plane. A plane without any bin gives no lines.
 
-    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
-        column = lambda c: group.column(c).to_numpy(zero_copy_only=False)
-        s = np.zeros((group.column("height")[0].as_py(), group.column("width")[0].as_py()), complex)
-        s[column("ky"), column("kx")] = column("re") + 1j * column("im")
-        v = np.fft.ifft2(s, norm=norm).real
-        return [pa.record_batch([repeated(group, "image_id", len(v)), repeated(group, "channel", len(v)), pa.array(np.arange(len(v), dtype=np.int32)), scanline_array(v)], names=["image_id", "channel", "y", "v"])]
+    Blocks of columns first, then groups of ``LINES`` lines: as in ``fft2`` no task holds a plane.
+    """
 
-    d = spectrum.join(shape.select("image_id", "height", "width"), "image_id").select(*BIN, "re", "im", "height", "width")
-    return map_groups(d, CELL[:2], [], run, "image_id long, channel string, y int, v array<double>")
+    def down(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        column = lambda c: group.column(c).to_numpy(zero_copy_only=False)
+        height, width, block = (group.column(c)[0].as_py() for c in ("height", "width", "block"))
+        s = np.zeros((height, min(COLUMNS, width - block * COLUMNS)), complex)
+        s[column("ky"), column("kx") - block * COLUMNS] = column("re") + 1j * column("im")
+        y = np.arange(height, dtype=np.int32)
+        columns = [repeated(group, "image_id", height), repeated(group, "channel", height), pa.array(y // LINES), pa.array(y), repeated(group, "block", height), repeated(group, "width", height), _packed(np.fft.ifft(s, axis=0, norm=norm))]
+        return [pa.record_batch(columns, names=["image_id", "channel", "band", "y", "block", "width", "part"])]
+
+    def along(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        y, block = (group.column(c).to_numpy(zero_copy_only=False) for c in ("y", "block"))
+        s = np.zeros((int(y[-1] - y[0]) + 1, group.column("width")[0].as_py()), complex)
+        for b in np.unique(block).tolist():
+            rows = np.flatnonzero(block == b)
+            s[y[rows] - y[0], b * COLUMNS : (b + 1) * COLUMNS] = _unpacked(group.column("part").take(pa.array(rows)))
+        n = len(s)
+        return [pa.record_batch([repeated(group, "image_id", n), repeated(group, "channel", n), pa.array(np.arange(y[0], y[0] + n, dtype=np.int32)), scanline_array(np.fft.ifft(s, axis=1, norm=norm).real)], names=["image_id", "channel", "y", "v"])]
+
+    bins = spectrum.join(shape.select("image_id", "height", "width"), "image_id").select(*BIN, "re", "im", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), F.expr(f"cast(kx div {COLUMNS} as int)").alias("block"))
+    columns = map_groups(bins, [*CELL[:2], "block"], [], down, "image_id long, channel string, band int, y int, block int, width int, part binary")
+    return map_groups(columns, [*CELL[:2], "band"], ["y", "block"], along, "image_id long, channel string, y int, v array<double>")
 
 
 def magnitude(spectrum: DataFrame, log: bool = True) -> DataFrame:

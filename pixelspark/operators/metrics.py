@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized
@@ -19,8 +19,28 @@ def compare_images(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def compare_scanlines(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The same from scanline tables: joins one row a line, and the differences are folded inside the arrays."""
-    d = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "q"), ["image_id", "channel", "y"]).withColumn("d", F.zip_with("p", "q", lambda x, y: F.abs(x - y)))
+    """The same from scanline tables: joins one row a line, and the differences are folded inside the arrays. Without an exchange if both are bucketed by image (``save_scanlines``)."""
+    d = a.withColumnRenamed("v", "p").join(b.withColumnRenamed("v", "q"), ["image_id", "channel", "y"]).withColumn("d", F.zip_with("p", "q", lambda x, y: F.abs(x - y).cast("double")))
+    return _from_differences(d)
+
+
+def compare_stored(spark: SparkSession, first: str, second: str) -> DataFrame:
+    """The same of two tables of ``save_scanlines`` with as many buckets, joined and grouped where they lie.
+
+    Spark keeps an exchange below a join by image, channel and line of tables that lie by image alone, unless it is told that a part of the keys will do; that setting is made in a session
+    of its own, which shares the tables, so the caller's settings stay as they are.
+    """
+    own = spark.newSession()
+    own.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+    return compare_scanlines(own.table(first), own.table(second).hint("merge"))
+
+
+def compare_versions(scanlines: DataFrame, first: str, second: str) -> DataFrame:
+    """The same of two array columns of one scanline table: nothing is joined, and each line's differences are summed before they are shuffled."""
+    return _from_differences(scanlines.withColumn("d", F.zip_with(first, second, lambda x, y: F.abs(x - y).cast("double"))))
+
+
+def _from_differences(d: DataFrame) -> DataFrame:
     fold = lambda f: F.aggregate("d", F.lit(0.0), f)
     s = d.groupBy("image_id").agg(F.max(F.array_max("d")).alias("max_abs"), F.sum(fold(lambda t, x: t + x)).alias("a"), F.sum(fold(lambda t, x: t + x * x)).alias("s"), F.sum(F.size("d")).alias("n"))
     s = s.select("image_id", "max_abs", (F.col("a") / F.col("n")).alias("mean_abs"), (F.col("s") / F.col("n")).alias("mse"))

@@ -25,19 +25,26 @@ def _changes(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each group; groups follow one another in ``batches``."""
-    rest = None
+    """The rows of each group; groups follow one another in ``batches``. The slices of a group that crosses batches are joined once, when it ends."""
+    held: list[pa.RecordBatch] = []
+
+    def whole() -> pa.RecordBatch:
+        return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
     for batch in batches:
         if not batch.num_rows:
             continue
-        if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+        if held and any(held[-1].column(k)[-1].as_py() != batch.column(k)[0].as_py() for k in keys):
+            yield whole()
+            held = []
         ends = [0, *_changes(batch, keys).tolist(), batch.num_rows]
-        for a, b in zip(ends[:-2], ends[1:-1], strict=True):
-            yield batch.slice(a, b - a)
-        rest = batch.slice(ends[-2])
-    if rest is not None:
-        yield rest
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            held.append(batch.slice(a, b - a))
+            if b < batch.num_rows:
+                yield whole()
+                held = []
+    if held:
+        yield whole()
 
 
 def lines_of(group: pa.RecordBatch, column: str = "v") -> np.ndarray:

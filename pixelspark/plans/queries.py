@@ -5,6 +5,7 @@ Filters, morphology, noise and colours run on event images (16 x 16), transforms
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +24,7 @@ from ..operators import restore as re_
 from ..operators import wavelet as wa
 from ..sources import fixtures as fx
 from ..sources import images as im
+from ..storage import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -237,6 +239,16 @@ def p16_channel_subset(spark, d):
 CMP = "max(abs(d)) max_abs, round(avg(abs(d)), 4) mean_abs, round(avg(d*d), 4) mse, round(case when avg(d*d) = 0 then 1e9 else 10*log10(65025/avg(d*d)) end, 4) psnr, max(abs(d)) = 0 identical"
 
 
+def _eighths() -> Column:
+    return F.transform("v", lambda x: (F.floor(x / 8) * 8).cast("double"))
+
+
+def _buckets(spark: SparkSession, d: str, table: str) -> int:
+    """One bucket for about 64 MB of a table's files, eight at least."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{table}.parquet")
+    return max(8, path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() >> 26)
+
+
 def _shown(df: DataFrame) -> DataFrame:
     return rounded(df.withColumn("psnr", F.least("psnr", F.lit(1e9))), "mean_abs", "mse", "psnr")
 
@@ -249,8 +261,15 @@ def j1_compare_images(spark, d):
 
 @query(f"{S3} select image_id, {CMP} from (select image_id, v - floor(v / 8) * 8 d from s3) group by image_id")
 def j1_compare_scanlines(spark, d):
-    s = fx.document_scanlines(spark, d)
-    return _shown(me.compare_scanlines(s, s.withColumn("v", F.transform("v", lambda x: (F.floor(x / 8) * 8).cast("double")))))
+    """Both versions stored by image, then joined without an exchange."""
+    name, path = f"lines_{uuid.uuid4().hex}", shared_folder(spark, "lines")
+    im.save_scanlines(fx.document_scanlines(spark, d), name, path, _buckets(spark, d, "documents"), {"first": F.col("v"), "second": _eighths()})
+    return _shown(me.compare_stored(spark, f"{name}_first", f"{name}_second"))
+
+
+@query(f"{S3} select image_id, {CMP} from (select image_id, v - floor(v / 8) * 8 d from s3) group by image_id")
+def j1_compare_versions(spark, d):
+    return _shown(me.compare_versions(fx.document_scanlines(spark, d).withColumn("w", _eighths()), "v", "w"))
 
 
 @query(f"{PX} select image_id, case when image_id % 3 = 0 then 'missing in second' when image_id % 3 = 1 then 'differs' else 'same' end status from px group by image_id")

@@ -243,3 +243,55 @@ def test_histogram_of_lines_and_of_samples_agree(spark):
     for bins in (256, 7):
         want = sorted(map(str, hi.histogram(samples, bins).collect()))
         assert sorted(map(str, hi.scanline_histogram(lines.repartition(2), bins).collect())) == want and want
+
+
+def test_stored_scanlines_join_and_group_without_an_exchange(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    lines = [(i, c, y, [float(v) for v in rng.integers(-20, 300, 5)]) for i in range(12) for c in "RGB" for y in range(4)]
+    s = spark.createDataFrame(lines, "image_id long, channel string, y int, v array<double>")
+    kept = im.save_scanlines(s, "stored", f"file://{tmp_path}", 4, {"a": F.col("v"), "b": F.transform("v", lambda x: F.abs(x) / 2)})
+    want = {(i, c, y): [int(min(255, max(0, x))) for x in v] for i, c, y, v in lines}
+    assert {(r.image_id, r.channel, r.y): r.v for r in kept.collect()} == want
+    got = me.compare_stored(spark, "stored_a", "stored_b")
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    other = {k: [int(min(255, abs(x) / 2)) for x in v] for (*k, v) in map(list, lines) for k in [tuple(k)]}
+    for r in got.collect():
+        d = np.array([[a - b for a, b in zip(want[k], other[k], strict=True)] for k in want if k[0] == r.image_id])
+        assert (r.max_abs, r.mse) == (np.abs(d).max(), pytest.approx((d**2).mean()))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
+    same = me.compare_versions(s.withColumn("w", F.col("v")), "v", "w").collect()
+    assert all(r.identical and r.psnr == float("inf") for r in same) and len(same) == 12
+
+
+def test_transforms_in_blocks_equal_numpy_and_sql(spark):
+    rng = np.random.default_rng(5)
+    arrays = {(i, c): rng.normal(size=s) for i, s in enumerate([(70, 150), (1, 200), (130, 1), (5, 64), (33, 65)]) for c in "RG"}
+    lines = spark.createDataFrame([(i, c, y, a[y].tolist()) for (i, c), a in arrays.items() for y in range(len(a))], "image_id long, channel string, y int, v array<double>").repartition(7)
+    shape = spark.createDataFrame([(i, *a.shape) for (i, c), a in arrays.items() if c == "R"], "image_id long, height int, width int")
+    for norm in (None, "ortho"):
+        bins = fr.fft2(lines, norm)
+        got = {k: np.zeros(a.shape, complex) for k, a in arrays.items()}
+        for r in bins.collect():
+            got[r.image_id, r.channel][r.ky, r.kx] = complex(r.re, r.im)
+        assert all(np.allclose(got[k], np.fft.fft2(a, norm=norm), atol=1e-9) for k, a in arrays.items())
+        back = planes(im.to_samples(fr.ifft2(bins, shape, norm)))
+        assert all(np.allclose(back[k], a, atol=1e-9) for k, a in arrays.items())
+    small = lines.filter("image_id in (3, 4)")
+    a, b = ({(r.image_id, r.channel, r.ky, r.kx): (r.re, r.im) for r in d.collect()} for d in (fr.fft2(small), fr.dft_sql(im.to_samples(small))))
+    assert a.keys() == b.keys() and all(np.allclose(a[k], b[k], atol=1e-7) for k in a)
+    few = fr.fft2(lines).filter("ky = 0 and kx in (0, 70)")  # most blocks hold no bin
+    back = planes(im.to_samples(fr.ifft2(few, shape)))
+    want = np.fft.fft2(arrays[0, "R"])
+    want[1:] = 0
+    want[:, [x for x in range(150) if x not in (0, 70)]] = 0
+    assert np.allclose(back[0, "R"], np.fft.ifft2(want).real, atol=1e-9)
+
+
+def test_a_group_that_crosses_many_batches_is_joined_once():
+    import pyarrow as pa
+
+    from pixelspark.operators import planes as pl
+
+    batches = [pa.record_batch([pa.array([k // 5 if k < 20 else None] * 3), pa.array([k, k, k])], names=["g", "v"]) for k in range(25)]
+    got = [(g.column("g")[0].as_py(), g.column("v").to_pylist()) for g in pl.groups(iter(batches), ["g"])]
+    assert got == [(i if i < 4 else None, [k for k in range(5 * i, 5 * i + 5) for _ in range(3)]) for i in range(5)]
