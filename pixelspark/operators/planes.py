@@ -57,8 +57,8 @@ def scanline_array(plane: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (h + 1) * w, w, dtype=np.int32) if w else np.zeros(h + 1, np.int32)), pa.array(np.ascontiguousarray(plane, np.float64).reshape(-1)))
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.RecordBatch], list[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``fn(rows of a group) -> batches`` for every group of ``keys``, its rows in ``order``."""
+def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.RecordBatch], list[pa.RecordBatch]], schema: str, dealt: bool = False) -> DataFrame:
+    """``fn(rows of a group) -> batches`` for every group of ``keys``, its rows in ``order``. ``dealt``: the plan below keeps a group's rows in one partition already, as a window over some of the keys does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0
@@ -72,7 +72,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[p
         if done:
             yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def repeated(group: pa.RecordBatch, column: str, n: int) -> pa.Array:

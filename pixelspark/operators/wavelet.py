@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import unzigzag, zigzag
+from ..sources.images import to_scanlines
 from .metrics import CELL, shapes
+from .planes import lines_of, map_groups, repeated
 
 #: Fixed values of the archive: big-endian magic, width, height, levels, CRC-32 of the pixels.
 MAGIC, HEADER = b"IWV1", ">4sIIBI"
@@ -29,63 +33,119 @@ def _low(n: str, level: int) -> Column:
     return F.shiftright(F.col(n) + ((1 << level) - 1), level)
 
 
-def _lifted(a: Column, b: Column) -> tuple[Column, Column]:
-    """``(average, detail)`` of two neighbours; without the second, the first alone."""
-    d = b - a
-    return F.when(b.isNull(), a).otherwise(a + F.shiftright(d, 1)), d
+def _lines_by_image(samples: DataFrame) -> DataFrame:
+    """Lines with their image's size. The window keeps an image's rows in one partition, and nothing after it has to shuffle."""
+    lines = to_scanlines(samples.select(*CELL, F.col("v").cast("long").alias("v")).repartition("image_id"))
+    image = Window.partitionBy("image_id")
+    return lines.select("image_id", "channel", "y", "v", (F.max("y").over(image) + 1).alias("height"), F.max(F.size("v")).over(image).alias("width"))
+
+
+def _lift(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(averages, details)`` of neighbouring rows; an odd last row is an average by itself."""
+    s, odd = a[0::2].copy(), a[1::2]
+    d = odd - s[: len(odd)]
+    s[: len(odd)] += d >> 1
+    return s, d
+
+
+def _drop(s: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """The rows that ``_lift`` took apart."""
+    out = np.empty((len(s) + len(d), *s.shape[1:]), np.int64)
+    out[0::2] = s
+    out[0::2][: len(d)] -= d >> 1
+    out[1::2] = out[0::2][: len(d)] + d
+    return out
+
+
+def _half(n: int, level: int) -> int:
+    return (n + (1 << level) - 1) >> level
 
 
 def haar_forward(samples: DataFrame, levels: int = 4) -> DataFrame:
     """Integer lifting, rows then columns of the low region, level by level; odd tails end the low band.
 
-    A level is one grouping of 2 x 2 cells; what lies outside the level's region passes through it as a group of its own.
+    The 2 ** levels lines that share a line of the last low band hold all their coefficients of every level among themselves. They come together once, and no level shuffles anything:
+    each lifts pairs inside its lines, then pairs of lines, and sets the three finished bands aside.
     """
-    d = samples.withColumn("v", F.col("v").cast("long")).join(shapes(samples), "image_id")
-    for level in range(_checked(levels)):
-        inside = (F.col("y") < _low("height", level)) & (F.col("x") < _low("width", level))
-        ky, kx = F.when(inside, F.shiftright("y", 1)).otherwise(F.col("y")), F.when(inside, F.shiftright("x", 1)).otherwise(F.col("x"))
-        corner = F.when(inside, F.col("y") % 2 * 2 + F.col("x") % 2).otherwise(4)
-        g = d.groupBy("image_id", "channel", "height", "width", inside.alias("in"), ky.alias("ky"), kx.alias("kx")).agg(*(F.max(F.when(corner == i, F.col("v"))).alias(f"c{i}") for i in range(5)))
-        (s0, d0), (s1, d1) = _lifted(F.col("c0"), F.col("c1")), _lifted(F.col("c2"), F.col("c3"))
-        (ss, ds), (sd, dd) = _lifted(s0, s1), _lifted(d0, d1)
-        lh, lw = _low("height", level + 1), _low("width", level + 1)
-        cell = lambda v, y, x: F.struct(v.alias("v"), y.cast("int").alias("y"), x.cast("int").alias("x"))
-        y, x = F.col("ky"), F.col("kx")
-        parts = F.when(F.col("in"), F.array(cell(ss, y, x), cell(sd, y, x + lw), cell(ds, y + lh, x), cell(dd, y + lh, x + lw))).otherwise(F.array(cell(F.col("c4"), y, x)))
-        d = g.select("image_id", "channel", "height", "width", F.explode(parts).alias("p")).filter("p.v is not null").select("image_id", "channel", "height", "width", "p.y", "p.x", "p.v")
-    return d.select(*CELL, "v")
+    _checked(levels)
+
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        g, height, width = (group.column(c)[0].as_py() for c in ("g", "height", "width"))
+        now, bands = lines_of(group).astype(np.int64), []
+        for level in range(1, levels + 1):
+            lo, hi = (x.T for x in _lift(now.T))
+            (now, lh), (hl, hh) = _lift(lo), _lift(hi)
+            top, down, right = g << (levels - level), _half(height, level), _half(width, level)
+            bands += [(top, right, hl), (down + top, 0, lh), (down + top, right, hh)]
+        bands.append((g, 0, now))
+        y = np.concatenate([np.repeat(np.arange(a, a + v.shape[0]), v.shape[1]) for a, _, v in bands])
+        x = np.concatenate([np.tile(np.arange(b, b + v.shape[1]), v.shape[0]) for _, b, v in bands])
+        v = np.concatenate([v.ravel() for _, _, v in bands])
+        return [pa.record_batch([repeated(group, "image_id", len(v)), repeated(group, "channel", len(v)), pa.array(y, pa.int32()), pa.array(x, pa.int32()), pa.array(v)], names=[*CELL, "v"])]
+
+    lines = _lines_by_image(samples).withColumn("g", F.shiftright("y", levels))
+    return map_groups(lines, ["image_id", "channel", "g"], ["y"], run, "image_id long, channel string, y int, x int, v long", dealt=True)
 
 
 def haar_inverse(coeffs: DataFrame, levels: int = 4) -> DataFrame:
-    d = coeffs.withColumn("v", F.col("v").cast("long")).join(shapes(coeffs), "image_id")
-    for level in reversed(range(_checked(levels))):
-        inside = (F.col("y") < _low("height", level)) & (F.col("x") < _low("width", level))
-        lh, lw = _low("height", level + 1), _low("width", level + 1)
-        down, right = F.col("y") >= lh, F.col("x") >= lw
-        ky = F.when(inside & down, F.col("y") - lh).otherwise(F.col("y"))
-        kx = F.when(inside & right, F.col("x") - lw).otherwise(F.col("x"))
-        kind = F.when(inside, down.cast("int") * 2 + right.cast("int")).otherwise(4)
-        g = d.groupBy("image_id", "channel", "height", "width", inside.alias("in"), ky.alias("ky"), kx.alias("kx")).agg(*(F.max(F.when(kind == i, F.col("v"))).alias(f"c{i}") for i in range(5)))
-        split = lambda s, t: (F.when(t.isNull(), s).otherwise(s - F.shiftright(t, 1)), F.when(t.isNull(), F.lit(None)).otherwise(s - F.shiftright(t, 1) + t))
-        (s0, s1), (d0, d1) = split(F.col("c0"), F.col("c2")), split(F.col("c1"), F.col("c3"))
-        (a, b), (c, e) = split(s0, d0), split(s1, d1)
-        cell = lambda v, y, x: F.struct(v.alias("v"), y.cast("int").alias("y"), x.cast("int").alias("x"))
-        y, x = F.col("ky") * 2, F.col("kx") * 2
-        parts = F.when(F.col("in"), F.array(cell(a, y, x), cell(b, y, x + 1), cell(c, y + 1, x), cell(e, y + 1, x + 1))).otherwise(F.array(cell(F.col("c4"), F.col("ky"), F.col("kx"))))
-        d = g.select("image_id", "channel", "height", "width", F.explode(parts).alias("p")).filter("p.v is not null").select("image_id", "channel", "height", "width", "p.y", "p.x", "p.v")
-    return d.select(*CELL, "v")
+    """The samples of ``haar_forward``'s coefficients. Lines are cut into their bands where they lie; what makes up 2 ** levels lines then comes together, as on the way there."""
+    _checked(levels)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            image, channel, ys, heights, widths = (batch.column(c).to_pylist() for c in ("image_id", "channel", "y", "height", "width"))
+            offsets, values = batch.column("v").offsets.to_numpy(), batch.column("v").values.to_numpy()
+            for i, (y, height, width) in enumerate(zip(ys, heights, widths, strict=True)):
+                line = values[offsets[i] : offsets[i + 1]]
+                if y < _half(height, levels):
+                    rows.append((i, y, levels, 0, y, line[: _half(width, levels)]))
+                for k in range(1, levels + 1):
+                    down, right, end = _half(height, k), _half(width, k), _half(width, k - 1)
+                    if y >= _half(height, k - 1):
+                        break
+                    if y >= down:
+                        rows += [(i, (y - down) >> (levels - k), k, 2, y - down, line[:right]), (i, (y - down) >> (levels - k), k, 3, y - down, line[right:end])]
+                    else:
+                        rows.append((i, y >> (levels - k), k, 1, y, line[right:end]))
+            at, g, k, band, r, parts = zip(*rows, strict=True) if rows else [()] * 6
+            ends = pa.array(np.cumsum([0, *map(len, parts)]), pa.int32())
+            lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, np.int64), *parts])))
+            yield pa.record_batch([pa.array([image[i] for i in at], pa.int64()), pa.array([channel[i] for i in at], pa.string()), *(pa.array(c, pa.int32()) for c in (g, k, band, r)), lists], names=["image_id", "channel", "g", "k", "band", "r", "v"])
+
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        code = group.column("k").to_numpy() * 4 + group.column("band").to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+        bands = {int(code[a]): lines_of(group.slice(a, b - a)).astype(np.int64) for a, b in zip(ends[:-1], ends[1:], strict=True)}
+        now = bands[levels * 4]
+        for k in range(levels, 0, -1):
+            hl = bands.get(k * 4 + 1, np.zeros((len(now), 0), np.int64))
+            none = [np.zeros((0, n), np.int64) for n in (now.shape[1], hl.shape[1])]
+            lo, hi = _drop(now, bands.get(k * 4 + 2, none[0])), _drop(hl, bands.get(k * 4 + 3, none[1]))
+            now = _drop(lo.T, hi.T).T
+        n, top = now.size, group.column("g")[0].as_py() << levels
+        y, x = np.indices(now.shape, dtype=np.int32)
+        return [pa.record_batch([repeated(group, "image_id", n), repeated(group, "channel", n), pa.array(y.ravel() + np.int32(top)), pa.array(x.ravel()), pa.array(now.ravel())], names=[*CELL, "v"])]
+
+    pieces = _lines_by_image(coeffs).mapInArrow(cut, "image_id long, channel string, g int, k int, band int, r int, v array<long>")
+    return map_groups(pieces, ["image_id", "channel", "g"], ["k", "band", "r"], run, "image_id long, channel string, y int, x int, v long", dealt=True)
 
 
 def subband_stats(coeffs: DataFrame, levels: int = 2) -> DataFrame:
-    """``image_id, level, band, n, energy``: LL of the last level, and HL, LH, HH (low or high in x, then y) of each."""
+    """``image_id, level, band, n, energy, entropy``: LL of the last level, and HL, LH, HH (low or high in x, then y) of each; entropy in bits of the band's distribution of values.
+
+    Equal values of a band are counted before they are shuffled.
+    """
     d = coeffs.join(shapes(coeffs), "image_id")
     level, band = F.lit(levels), F.lit("LL")
     for k in reversed(range(1, levels + 1)):  # the first level is asked first
         right, down = F.col("x") >= _low("width", k), F.col("y") >= _low("height", k)
         level = F.when(right | down, k).otherwise(level)
         band = F.when(right & down, "HH").when(right, "HL").when(down, "LH").otherwise(band)
-    v = F.col("v").cast("double")
-    return d.groupBy("image_id", level.alias("level"), band.alias("band")).agg(F.count("*").alias("n"), F.sum(v * v).alias("energy"))
+    counts = d.groupBy("image_id", level.alias("level"), band.alias("band"), "v").agg(F.count("*").alias("c"))
+    v, c = F.col("v").cast("double"), F.col("c")
+    sums = counts.groupBy("image_id", "level", "band").agg(F.sum("c").alias("n"), F.sum(v * v * c).alias("energy"), F.sum(c * F.log2(c)).alias("s"))
+    return sums.select("image_id", "level", "band", "n", "energy", (F.log2("n") - F.col("s") / F.col("n")).alias("entropy"))
 
 
 def pixel_crc(rgb: np.ndarray) -> int:

@@ -680,9 +680,11 @@ def h2_haar_inverse(spark, d):
     return wa.haar_inverse(wa.haar_forward(ev_samples(spark, d), 4), 4)
 
 
-@query(f"{_haar_sql(2)} select image_id, case when x >= 8 or y >= 8 then 1 else 2 end \"level\", case when x >= 8 or y >= 8 then case when x >= 8 and y >= 8 then 'HH' when x >= 8 then 'HL' else 'LH' end when x >= 4 and y >= 4 then 'HH' when x >= 4 then 'HL' when y >= 4 then 'LH' else 'LL' end band, count(*) n, sum(v*v)::double energy from h2 group by all")
+@query(f"""{_haar_sql(2)}, n as (select image_id, case when x >= 8 or y >= 8 then 1 else 2 end "level", case when x >= 8 or y >= 8 then case when x >= 8 and y >= 8 then 'HH' when x >= 8 then 'HL' else 'LH' end
+  when x >= 4 and y >= 4 then 'HH' when x >= 4 then 'HL' when y >= 4 then 'LH' else 'LL' end band, v, count(*) c from h2 group by all), t as (select *, sum(c) over (partition by image_id, "level", band) t from n)
+  select image_id, "level", band, sum(c)::bigint n, sum(v*v*c)::double energy, round(-sum((c/t)*log2(c/t)), 4) + 0.0 entropy from t group by all""")
 def h3_subband_stats(spark, d):
-    return wa.subband_stats(wa.haar_forward(ev_samples(spark, d), 2), 2)
+    return rounded(wa.subband_stats(wa.haar_forward(ev_samples(spark, d), 2), 2), "entropy")
 
 
 @query(f"{PX} select image_id, 16 height, 16 width, 4 levels, 768::bigint raw_bytes from px group by 1")
