@@ -15,7 +15,8 @@ from .channels import lab8_to_rgb, merge_channels, quantize, rgb_to_lab8, split_
 from .filters import nl_means
 from .frequency import remove_periodic_lines
 from .metrics import gray_world, percentile_stretch, shapes
-from .morphology import PIXEL, dilate_mask, mask_coverage, mask_union, scratch_mask, white_stripe_mask
+from .morphology import PIXEL, mask_coverage, mask_union, scratch_mask, white_stripe_mask
+from .regions import mask_regions, mask_runs
 
 
 def _march(cells: dict, unknown: set, radius: int) -> dict:
@@ -74,10 +75,22 @@ def _march(cells: dict, unknown: set, radius: int) -> dict:
 
 
 def inpaint(pixels: DataFrame, mask: DataFrame, radius: int = 3) -> DataFrame:
-    """Fill masked pixels from their surroundings. Only they and a ring of ``radius`` + 1 pixels leave for Python, an image at a time; own definition."""
-    m = mask.select(*PIXEL).distinct()
-    ring = dilate_mask(m, shapes(pixels), radius + 1, radius + 1)
-    need = pixels.join(ring, PIXEL, "left_semi").join(m.withColumn("hole", F.lit(True)), PIXEL, "left")
+    """Fill masked pixels from their surroundings, a damaged region at a time; own definition.
+
+    What fills a pixel lies at most ``radius`` + 1 lines and columns away, so holes further apart than that do not see each other. Each region and a ring around it leave for Python by
+    themselves, and regions of one image spread over tasks; the result is that of marching through the whole image. Masked pixels outside the image are ignored; an image
+    that is masked all over stays as it is.
+    """
+    if not 1 <= radius <= 15:
+        raise ValueError("the radius is from 1 to 15")
+    reach = radius + 1
+    holes = mask_regions(mask, reach)
+    span = lambda c: F.sequence(F.col(c) - reach, F.col(c) + reach)
+    runs = mask_runs(mask, reach).groupBy("image_id", "y", "run").agg(F.max("x").alias("last"))
+    named = runs.join(holes.select("image_id", "y", F.col("x").alias("run"), "region"), ["image_id", "y", "run"])
+    wide = named.select("image_id", "region", F.explode(span("y")).alias("y"), (F.col("run") - reach).alias("a"), (F.col("last") + reach).alias("b"))
+    ring = wide.select("image_id", "region", "y", F.explode(F.sequence("a", "b")).alias("x")).distinct()
+    need = pixels.join(ring, PIXEL).join(holes.withColumn("hole", F.lit(True)), [*PIXEL, "region"], "left")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         hole = g["hole"].fillna(False).to_numpy(bool)
@@ -87,7 +100,7 @@ def inpaint(pixels: DataFrame, mask: DataFrame, radius: int = 3) -> DataFrame:
         rows = [(g["image_id"].iloc[0], *p, *np.clip(c, 0, 255)) for p, c in filled.items()]
         return pd.DataFrame(rows, columns=["image_id", "y", "x", "nr", "ng", "nb"])
 
-    fill = need.select(*PIXEL, "r", "g", "b", "hole").groupBy("image_id").applyInPandas(run, "image_id long, y int, x int, nr double, ng double, nb double")
+    fill = need.select(*PIXEL, "region", "r", "g", "b", "hole").groupBy("image_id", "region").applyInPandas(run, "image_id long, y int, x int, nr double, ng double, nb double")
     return pixels.join(fill, PIXEL, "left").select(*PIXEL, *(F.coalesce(F.rint(f"n{c}").cast("int"), F.col(c).cast("int")).alias(c) for c in "rgb"))
 
 

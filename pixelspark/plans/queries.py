@@ -20,6 +20,7 @@ from ..operators import kernels as ke
 from ..operators import metrics as me
 from ..operators import morphology as mo
 from ..operators import noise as no
+from ..operators import regions as rg
 from ..operators import restore as re_
 from ..operators import wavelet as wa
 from ..sources import fixtures as fx
@@ -723,10 +724,23 @@ def n3_noise_lab(spark, d):
     return no.noise_lab(ch.merge_channels(emb(spark, d)))
 
 
+def _holes(pixels: DataFrame) -> DataFrame:
+    """Scattered dots and short strokes: some regions of one pixel, some of many."""
+    return pixels.filter("(y * 16 + x + image_id * 7) % 61 = 0 or (x + image_id) % 13 < 2 and y % 11 = 3")
+
+
 @query()
 def r1_inpaint(spark, d):
-    p = ch.quantize(ch.merge_channels(emb(spark, d)))
-    return re_.inpaint(p, p.filter("(y * 8 + x + image_id) % 9 = 0"))
+    p = ch.quantize(ev(spark, d))
+    return re_.inpaint(p, _holes(p))
+
+
+@query(f"""recursive {PX}, m as (select image_id, y, x, y::bigint * 4294967296 + x id from px where (y * 16 + x + image_id * 7) % 61 = 0 or ((x + image_id) % 13 < 2 and y % 11 = 3)),
+  e as (select a.image_id, a.id a, b.id b from m a join m b on a.image_id = b.image_id and abs(a.y - b.y) <= 4 and abs(a.x - b.x) <= 4),
+  c(image_id, id, o) as (select image_id, id, id from m union select c.image_id, c.id, e.b from c join e on e.image_id = c.image_id and e.a = c.o)
+  select m.image_id, m.y, m.x, min(c.o) region from m join c using (image_id, id) group by all""")
+def r1_damage_regions(spark, d):
+    return rg.mask_regions(_holes(ev(spark, d)), 4)
 
 
 @query()

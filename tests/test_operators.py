@@ -16,6 +16,7 @@ from pixelspark.operators import kernels as ke
 from pixelspark.operators import metrics as me
 from pixelspark.operators import morphology as mo
 from pixelspark.operators import noise as no
+from pixelspark.operators import regions as rg
 from pixelspark.operators import restore as re_
 from pixelspark.operators import wavelet as wa
 from pixelspark.sources import images as im
@@ -326,3 +327,48 @@ def test_haar_equals_loops_with_one_exchange(spark, levels):
     assert all(np.array_equal(back[k], a) for k, a in arrays.items())
     for turn in (wa.haar_forward, wa.haar_inverse):
         assert turn(s, levels)._jdf.queryExecution().executedPlan().toString().count("Exchange hash") == 1  # none a level
+
+
+def test_regions_equal_a_flood_fill(spark):
+    rng = np.random.default_rng(8)
+    masks = {i: rng.random(s) < p for i, (s, p) in enumerate([((40, 150), 0.02), ((30, 30), 0.3), ((1, 90), 0.2), ((200, 3), 0.1), ((9, 9), 1.0)])}
+    snake = np.zeros((21, 200), bool)  # one region of many turns
+    snake[::2] = True
+    snake[1::4, -1] = snake[3::4, 0] = True
+    masks[9] = snake
+    df = spark.createDataFrame([(i, int(y), int(x)) for i, m in masks.items() for y, x in np.argwhere(m) for _ in range(2)], "image_id long, y int, x int").repartition(5)
+    for reach in (1, 4):
+        want = {}
+        for i, m in masks.items():
+            left = {tuple(p) for p in np.argwhere(m).tolist()}
+            while left:
+                first = min(left)
+                stack, left = [first], left - {first}
+                while stack:
+                    y, x = stack.pop()
+                    want[i, y, x] = first[0] * 2**32 + first[1]
+                    near = {(a, b) for a in range(y - reach, y + reach + 1) for b in range(x - reach, x + reach + 1)} & left
+                    stack += near
+                    left -= near
+        got = {(r.image_id, r.y, r.x): r.region for r in rg.mask_regions(df, reach).collect()}
+        assert got == want
+    assert rg.mask_regions(df.limit(0)).count() == 0
+
+
+def test_inpainting_by_regions_equals_marching_through_whole_images(spark):
+    rng = np.random.default_rng(4)
+    arrays = {i: rng.integers(0, 256, (*s, 3)) for i, s in enumerate([(24, 40), (17, 3), (6, 6)])}
+    masks = {0: rng.random((24, 40)) < 0.04, 1: np.zeros((17, 3), bool), 2: np.ones((6, 6), bool)}
+    masks[0][10:14, 20:26] = True
+    masks[1][8] = True
+    pixels = spark.createDataFrame([(i, y, x, *map(int, a[y, x])) for i, a in arrays.items() for y in range(a.shape[0]) for x in range(a.shape[1])], "image_id long, y int, x int, r int, g int, b int")
+    holes = spark.createDataFrame([(i, int(y), int(x)) for i, m in masks.items() for y, x in np.argwhere(m)] + [(0, -2, 5)], "image_id long, y int, x int")
+    got = {(r.image_id, r.y, r.x): (r.r, r.g, r.b) for r in re_.inpaint(pixels, holes).collect()}
+    for i, a in arrays.items():
+        cells = {(y, x): a[y, x].astype(float) for y in range(a.shape[0]) for x in range(a.shape[1]) if not masks[i][y, x]}
+        filled = re_._march(cells, {tuple(p) for p in np.argwhere(masks[i]).tolist()}, 3)
+        for y in range(a.shape[0]):
+            for x in range(a.shape[1]):
+                want = np.rint(np.clip(filled[y, x], 0, 255)) if (y, x) in filled else a[y, x]
+                assert got[i, y, x] == tuple(want.astype(int).tolist())
+    assert rg.mask_regions(holes, 4).filter("image_id = 0").select("region").distinct().count() > 3
