@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import shapes
+from .regions import mask_runs
 
 PIXEL = ["image_id", "y", "x"]
 
@@ -73,23 +74,59 @@ def _line(rise: int, length: int) -> list[tuple[int, int]]:
     return out
 
 
+def _line_parts() -> list[tuple]:
+    """``(length, rise, dys, dy, a, b)``: every line of every length as level parts, part dy covering the offsets a to b in x; ``dys`` lists the parts of the line."""
+    out = []
+    for length in range(15, 82):
+        for rise in (-2, -1, 0, 1, 2):
+            line = _line(rise, length)
+            dys = sorted({dy for dy, _ in line})
+            out += [(length, rise, dys, dy, min(xs), max(xs)) for dy in dys for xs in [[dx for e, dx in line if e == dy]]]
+    return out
+
+
+def slanted_openings(candidates: DataFrame, shape: DataFrame) -> DataFrame:
+    """``image_id, y, first, last``: runs of the places that one of the five slanted lines covers while it lies inside ``candidates``; they may overlap.
+
+    ``shape``: ``image_id, height, width, length``. A line is a few level parts, one on each of its image lines. A part fits where a run of candidates, less the part's own extent, leaves an
+    interval of anchors; places beyond the border count as set. An anchor stands where the intervals of all parts that lie inside the image overlap, which a running sum over the ends of intervals
+    finds. So the work goes by runs, and no place meets the offsets of a line.
+    """
+    spark = candidates.sparkSession
+    parts = F.broadcast(spark.createDataFrame(_line_parts(), "length int, rise int, dys array<int>, dy int, a int, b int"))  # 67 lengths, five slopes, five parts at most
+    n, w = F.col("length"), F.col("width")
+    runs = mask_runs(candidates).groupBy("image_id", "y", "run").agg(F.max("x").alias("last")).select("image_id", "y", F.col("run").alias("first"), "last")
+    near = runs.select("image_id", F.explode(F.sequence(F.col("y") - 2, F.col("y") + 2)).alias("y")).distinct().join(shape, "image_id").filter("y >= 0 and y < height")
+    beyond = near.select("image_id", "y", F.inline(F.array(F.struct((-n).alias("first"), F.lit(-1).alias("last")), F.struct(w.alias("first"), (w + n).alias("last")))))
+    runs = merged_runs(runs.union(beyond)).join(shape, "image_id")
+    fits = runs.join(parts, "length").select("image_id", "height", "width", "length", "rise", "dys", (F.col("y") - F.col("dy")).alias("y"), F.greatest(F.lit(0), F.col("first") - F.col("a")).alias("u"), F.least(w - 1, F.col("last") - F.col("b")).alias("v"))
+    fits = fits.filter("u <= v and y >= 0 and y < height")
+    needed = F.size(F.filter("dys", lambda d: (F.col("y") + d >= 0) & (F.col("y") + d < F.col("height"))))
+    ends = F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("d")), F.struct((F.col("v") + 1).alias("x"), F.lit(-1).alias("d")))).alias("e")
+    events = fits.select("image_id", "height", "width", "length", "rise", "y", needed.alias("needed"), ends).groupBy("image_id", "height", "width", "length", "rise", "y", "needed", F.col("e.x").alias("x")).agg(F.sum("e.d").alias("d"))
+    order = Window.partitionBy("image_id", "rise", "y").orderBy("x")
+    swept = events.withColumns({"open": F.sum("d").over(order), "v": F.lead("x").over(order) - 1}).filter("open = needed")
+    back = swept.join(parts, ["length", "rise"]).select("image_id", (F.col("y") + F.col("dy")).alias("y"), "height", F.greatest(F.lit(0), F.col("x") + F.col("a")).alias("first"), F.least(w - 1, F.col("v") + F.col("b")).alias("last"))
+    return back.filter("y >= 0 and y < height and first <= last").select("image_id", "y", "first", "last")
+
+
+def merged_runs(runs: DataFrame) -> DataFrame:
+    """``image_id, y, first, last`` without overlaps: each run reaches as far as those that start inside it."""
+    order = Window.partitionBy("image_id", "y").orderBy("first", "last")
+    far = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    r = runs.withColumn("start", F.coalesce(F.col("first") > far + 1, F.lit(True)).cast("int")).withColumn("k", F.sum("start").over(order))
+    return r.groupBy("image_id", "y", "k").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("image_id", "y", "first", "last")
+
+
 def white_stripe_mask(gray: DataFrame, threshold: int = 8) -> DataFrame:
     """Thin bright horizontal marks: vertical 9 x 1 top-hat at or above the threshold, kept where a line of one of five slopes fits inside the candidates, dilated by one pixel.
 
-    Opening runs on the sparse candidates: a place survives erosion if as many of its line's offsets are set as lie inside the image.
+    All of it works on runs; pixels are written out at the end, each once.
     """
     shape = shapes(gray).withColumn("length", F.greatest(F.lit(15), F.least(F.lit(81), F.expr("width div 20"))).cast("int"))
-    spark = gray.sparkSession
-    offsets = spark.createDataFrame([(n, rise, dy, dx) for n in range(15, 82) for rise in (-2, -1, 0, 1, 2) for dy, dx in _line(rise, n)], "length int, rise int, dy int, dx int")
-    candidates = white_tophat(gray, 9, 1).filter(F.col("v") >= threshold).select(*PIXEL).join(shape, "image_id")
-    seen = candidates.join(F.broadcast(offsets), "length")  # the table of line offsets has a fixed size
-    hit = seen.groupBy("image_id", "length", "height", "width", "rise", (F.col("y") - F.col("dy")).alias("y"), (F.col("x") - F.col("dx")).alias("x")).agg(F.count("*").alias("n")).filter("y >= 0 and x >= 0 and y < height and x < width")
-    spread = hit.join(F.broadcast(offsets), ["length", "rise"])
-    ty, tx = F.col("y") + F.col("dy"), F.col("x") + F.col("dx")
-    inside = (ty >= 0) & (tx >= 0) & (ty < F.col("height")) & (tx < F.col("width"))
-    whole = spread.groupBy("image_id", "rise", "y", "x").agg(F.max("n").alias("n"), F.sum(inside.cast("int")).alias("all"), F.collect_list(F.when(inside, F.struct(ty.alias("y"), tx.alias("x")))).alias("to")).filter(F.col("n") == F.col("all"))
-    opened = whole.select("image_id", F.explode("to").alias("t")).select("image_id", "t.y", "t.x").distinct()
-    return dilate_mask(opened, shape.select("image_id", "height", "width"))
+    opened = slanted_openings(white_tophat(gray, 9, 1).filter(F.col("v") >= threshold).select(*PIXEL), shape).join(shape, "image_id")
+    wide = opened.select("image_id", F.explode(F.sequence(F.greatest(F.lit(0), F.col("y") - 1), F.least(F.col("height") - 1, F.col("y") + 1))).alias("y"), F.greatest(F.lit(0), F.col("first") - 1).alias("first"), F.least(F.col("width") - 1, F.col("last") + 1).alias("last"))
+    return merged_runs(wide).select("image_id", "y", F.explode(F.sequence("first", "last")).alias("x"))
 
 
 def mask_union(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -501,8 +501,26 @@ def w12_scratch_mask(spark, d):
     return mo.scratch_mask(gray(spark, d), 120, 5)
 
 
-@query()
+def _stripes(of: str, threshold: int) -> str:
+    """The mask by its definition: every offset of every line (15 long, as on images up to 319 wide) at every candidate."""
+    offsets = ", ".join(f"({rise}, {dy}, {dx})" for rise in (-2, -1, 0, 1, 2) for dy, dx in mo._line(rise, 15))
+    window = lambda fn, t: f"(select image_id, y, x, v0, {fn}(v) over (partition by image_id, x order by y rows between 4 preceding and 4 following) v from {t})"
+    return f"""lo(rise, dy, dx) as (values {offsets}), sh as (select image_id, max(y)+1 h, max(x)+1 w from {of} group by 1),
+  st as (select image_id, y, x from (select image_id, y, x, v0 - v t from {window("max", window("min", f"(select *, v v0 from {of})"))}) where t >= {threshold}),
+  hit as (select a.image_id, a.y, a.x, rise, count(b.x) n, count(*) filter (where a.y+dy between 0 and h-1 and a.x+dx between 0 and w-1) m
+    from st a join sh using (image_id) cross join lo left join st b on b.image_id = a.image_id and b.y = a.y+dy and b.x = a.x+dx group by all having n = m),
+  op as (select distinct hit.image_id, y+dy y, x+dx x from hit join lo using (rise) join sh using (image_id) where y+dy between 0 and h-1 and x+dx between 0 and w-1),
+  ws as (select distinct op.image_id, (y+i)::int y, (x+j)::int x from op join sh using (image_id), range(-1, 2) a(i), range(-1, 2) b(j) where y+i between 0 and h-1 and x+j between 0 and w-1)"""
+
+
+@query(f"{S3}, p3 as (select image_id, y, x, max(case when channel = 'R' then v end)::int r, max(case when channel = 'G' then v end)::int g, max(case when channel = 'B' then v end)::int b from s3 group by all), "
+       f"g3 as (select image_id, y, x, (r*9798 + g*19235 + b*3735 + 16384) >> 15 v from p3), {_stripes('g3', 4)} select image_id, y, x from ws")
 def w13_white_stripe_mask(spark, d):
+    return mo.white_stripe_mask(ch.to_gray8(ch.merge_channels(im.to_samples(fx.document_scanlines(spark, d)))), 4)
+
+
+@query(f"{GRAY}, {_stripes('g8', 20)} select image_id, y, x from ws")
+def w13_white_stripe_mask_events(spark, d):
     return mo.white_stripe_mask(gray(spark, d), 20)
 
 

@@ -372,3 +372,31 @@ def test_inpainting_by_regions_equals_marching_through_whole_images(spark):
                 want = np.rint(np.clip(filled[y, x], 0, 255)) if (y, x) in filled else a[y, x]
                 assert got[i, y, x] == tuple(want.astype(int).tolist())
     assert rg.mask_regions(holes, 4).filter("image_id = 0").select("region").distinct().count() > 3
+
+
+def test_stripe_mask_equals_opening_by_every_offset(spark):
+    rng = np.random.default_rng(6)
+    for size, width in ((15, 40), (20, 400)):
+        a = np.where(rng.random((30, width)) < 0.9, 0, 1)  # nearly all set: a background of 1s to lift below
+        a = np.where((np.arange(30) % 4 == 0)[:, None] | (rng.random((30, width)) < 0.25), 200, 0) - a * 0
+        a[:, ::97] = 0
+        for rise in (-2, -1, 1, 2):  # exact lines of each slope, some across the border
+            for top, left in ((12 + 3 * rise, 5), (1, width - 9), (28, -4)):
+                for dy, dx in mo._line(rise, size):
+                    if 0 <= top + dy < 30 and 0 <= left + dx + size // 2 < width:
+                        a[top + dy, left + dx + size // 2] = 255
+        df = spark.createDataFrame([(7, y, x, int(v)) for (y, x), v in np.ndenumerate(a)], "image_id long, y int, x int, v int")
+        pad = lambda m, f: np.pad(m, ((4, 4), (0, 0)), constant_values=f)
+        eroded = np.min([pad(a, 999)[i : i + 30] for i in range(9)], axis=0)
+        opened = np.max([pad(eroded, -1)[i : i + 30] for i in range(9)], axis=0)
+        candidate = {tuple(p) for p in np.argwhere(a - opened >= 50).tolist()}
+        inside = lambda y, x: 0 <= y < 30 and 0 <= x < width  # noqa: B023, E731
+        want = set()
+        for rise in (-2, -1, 0, 1, 2):
+            line = mo._line(rise, size)
+            for y, x in candidate:
+                to = [(y + dy, x + dx) for dy, dx in line if inside(y + dy, x + dx)]
+                if all(p in candidate for p in to):
+                    want |= {(p + i, q + j) for p, q in to for i in (-1, 0, 1) for j in (-1, 0, 1) if inside(p + i, q + j)}
+        got = [(r.y, r.x) for r in mo.white_stripe_mask(df, 50).collect()]
+        assert len(got) == len(set(got)) and set(got) == want and want
