@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches, words
+from .common import discard, materialize, small_batches, words
 
 SHARED, KNOWN, STATES, ROUNDS = 64, 200_000, 8, 3
 #: Different disturbances that words start with.
@@ -127,15 +127,15 @@ class Hmm:
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
 
-    def forward(self, p: Packed) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Scaled forward probabilities and scales at each place; log10 likelihood of each sequence in the given order."""
-        emit, move = self.emit.astype(np.float32)[p.symbol], self.move.astype(np.float32)
-        scale = np.empty(len(p.symbol), np.float32)
+    def forward(self, p: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scaled forward probabilities and scales at each place; log10 likelihood of each sequence in the given order. Scores take doubles, expected counts single precision."""
+        emit, move = self.emit.astype(kind)[p.symbol], self.move.astype(kind)
+        scale = np.empty(len(p.symbol), kind)
         alpha = emit  # overwritten step by step
         for t, n in enumerate(p.active.tolist()):
             a, b = int(p.offset[t]), int(p.offset[t]) + n
             now = alpha[a:b]
-            now *= self.start.astype(np.float32) if t == 0 else alpha[last : last + n] @ move
+            now *= self.start.astype(kind) if t == 0 else alpha[last : last + n] @ move
             s = now.sum(axis=1)
             scale[a:b] = s
             now /= s[:, None]
@@ -146,7 +146,7 @@ class Hmm:
 
     def expected(self, p: Packed, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of the sequences."""
-        alpha, scale, _ = self.forward(p)
+        alpha, scale, _ = self.forward(p, np.float32)
         move = self.move.astype(np.float32)
         weight = self.emit.astype(np.float32)[p.symbol] / scale[:, None]  # becomes emission * beta / scale
         beta = np.ones_like(alpha)
@@ -237,6 +237,7 @@ def baum_welch(coded: DataFrame, rare: DataFrame, counts: DataFrame, vocabulary:
     known = vocabulary.counts[:, None] * shares[[zlib.crc32(w) % STARTS for w in vocabulary.words]]
     r = np.random.default_rng(1)
     starts, moves = np.full(states, 1 / states), r.dirichlet(np.full(states, 2.0), states) * 0.3 + np.eye(states) * 0.7
+    sums_before = None
     for n in range(rounds + 1):
         emissions = Emissions(_by_class(table, known, vocabulary), distinct)
         model = Hmm(starts, moves, emissions.of(known))
@@ -264,6 +265,9 @@ def baum_welch(coded: DataFrame, rare: DataFrame, counts: DataFrame, vocabulary:
         joined = _with_rare(coded.select("row", "symbols"), rare, table, states)
         sums = joined.mapInArrow(run, "place int, word binary, " + ", ".join(f"{c} double" for c in names)).groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in names))
         sums = materialize(sums, "expected-counts")
+        if sums_before is not None:
+            discard(sums_before)
+        sums_before = sums
         table = sums.filter("place = -1").drop("place")
         few = sums.filter("place >= 0").drop("word").toPandas()  # no more than the known words
         rows = np.zeros((symbols + states + 1, states))

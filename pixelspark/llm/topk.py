@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 SAMPLE, SHARDS, PIECE, LEAF, BLOCK = 20_000, 4096, 2048, 128, 256
+#: Integer components stay below this.
+LARGEST = 2.0**52
 
 
 @contextmanager
@@ -54,6 +56,8 @@ def integer_vectors(vectors: DataFrame, id_col: str, vector_col: str, scale: flo
                     continue
                 a = x.values.to_numpy(zero_copy_only=False).astype(np.float64)
                 if np.isfinite(a).all():
+                    if np.abs(scale * a).max() >= LARGEST or float(np.abs(np.floor(scale * a)).max()) ** 2 * len(a) >= 2.0**63:
+                        raise ValueError("a component is too large for integer scores")
                     out.append((vec_id, len(a), np.floor(scale * a).astype("<i8").tobytes()))
             ids, dims, raws = zip(*out, strict=True) if out else ((), (), ())
             yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(dims, pa.int32()), pa.array(raws, pa.binary())], names=["vec_id", "dim", "v"])
@@ -146,7 +150,7 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: float
 
     Ties go to the smaller vec_id. Rows with a null id, or with a vector that is null, empty or has a null or non-finite component, take no part. Vectors of another
     length than a query's are not compared with it. Rows that share a vec_id are one another's own rows; of such queries the smallest vector asks.
-    An empty table gives no rows; other columns are not used.
+    Components so large that a score could leave the range of a long raise an error. An empty table gives no rows; other columns are not used.
     """
     spark = vectors.sparkSession
     base = materialize(integer_vectors(vectors, id_col, vector_col, scale), "vectors")

@@ -1,6 +1,7 @@
 """Top-k against brute force; ties, nulls, odd vectors, one very common vector."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from pixelspark.llm import topk
@@ -35,3 +36,9 @@ def test_wide_values_use_exact_integers():
     ids, scores = topk.search(tree, 7, v[7], 5, -np.inf)
     want = sorted((-int(sum(int(a) * int(b) for a, b in zip(v[7], w, strict=True))), i) for i, w in enumerate(v) if i != 7)[:5]
     assert [(-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True)] == want
+
+
+def test_components_beyond_integer_scores_raise(spark):
+    df = spark.createDataFrame([(0, [1e300, 0.0]), (1, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.exact_top_k(df, F.col("vec_id") % 100 == 0).collect()
