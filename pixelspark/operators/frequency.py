@@ -7,6 +7,8 @@ of twiddle factors. Spectra: ``image_id, channel, ky, kx, re, im``.
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,10 +19,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized
-from .metrics import CELL, compare_images, shapes
+from ..sources.images import MAX_PIXELS
+from ..storage import stored
+from .metrics import CELL, compare_scanlines, shapes
 from .planes import lines_of, map_groups, repeated, scanline_array
 
 BIN = ["image_id", "channel", "ky", "kx"]
+#: Fixed values of the archive of pairs: big-endian magic, height, width, channels, CRC-32.
+PACKED, ARCHIVE = b"FPK1", ">4sIIHI"
 #: Columns that a task transforms together, lines likewise on the way back, and samples of lines in one call of NumPy.
 COLUMNS, LINES, SAMPLES = 64, 16, 1 << 20
 
@@ -158,53 +164,180 @@ def half_plane(spectrum: DataFrame, shape: DataFrame) -> DataFrame:
     return d.select("image_id", "channel", "idx", "re", "im", "weight", (F.col("weight") * (F.col("re") * F.col("re") + F.col("im") * F.col("im"))).alias("e"))
 
 
+def _bucket(first: Column | None = None) -> Column:
+    """A number that falls with the energy ``e``, sixteen to a doubling; ``first`` marks what comes before all energies."""
+    b = F.when(F.col("e") > 0, F.floor(F.log2("e") * 16)).otherwise(F.lit(-(1 << 20))).cast("int")
+    return b if first is None else F.when(first, F.lit(1 << 20)).otherwise(b)
+
+
+def _energy_buckets(rows: DataFrame, counted: Column) -> DataFrame:
+    """``image_id, channel, bucket, n, s, ahead, before, total``: size and energy of each bucket (DC's uncounted), of all buckets above it, and of the plane. Some ten thousand buckets a plane at most."""
+    t = rows.groupBy("image_id", "channel", "bucket").agg(F.count("*").alias("n"), F.sum(counted).alias("s"), F.sum("e").alias("all"))
+    plane = Window.partitionBy("image_id", "channel")
+    above = plane.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    return t.select("image_id", "channel", "bucket", "n", "s", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("ahead"), F.coalesce(F.sum("s").over(above), F.lit(0.0)).alias("before"), F.sum("all").over(plane).alias("total"), F.sum(F.col("all") - F.col("s")).over(plane).alias("dc"))
+
+
+def _with_buckets(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    is_dc = F.col("idx") == 0
+    rows = pairs.withColumn("bucket", _bucket(is_dc))
+    return rows, _energy_buckets(rows, F.when(is_dc, 0.0).otherwise(F.col("e")))
+
+
 def rank_pairs(pairs: DataFrame) -> DataFrame:
-    """Adds ``place`` (DC first, then by energy from the greatest, ties by index) and ``before``, the energy of the places from 1 to the one before, without DC."""
-    order = Window.partitionBy("image_id", "channel").orderBy(F.col("idx") != 0, F.desc("e"), "idx")
-    energy = F.when(F.col("idx") == 0, 0.0).otherwise(F.col("e"))
-    before = F.coalesce(F.sum(energy).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    return pairs.withColumn("place", F.row_number().over(order)).withColumn("before", before)
+    """Adds ``place`` (DC first, then by energy from the greatest, ties by index) and ``before``, the energy of the places from 1 to the one before, without DC.
+
+    Sums over buckets of like energy give what lies above a bucket; only pairs of one bucket are sorted together. ``pairs`` is read twice: store what is dear (``storage.stored``).
+    """
+    rows, table = _with_buckets(pairs)
+    inside = Window.partitionBy("image_id", "channel", "bucket").orderBy(F.desc("e"), "idx")
+    d = rows.join(table.select("image_id", "channel", "bucket", "ahead", F.col("before").alias("above")), ["image_id", "channel", "bucket"])
+    own = F.coalesce(F.sum(F.when(F.col("idx") == 0, 0.0).otherwise(F.col("e"))).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    return d.select(*pairs.columns, (F.col("ahead") + F.row_number().over(inside)).cast("int").alias("place"), (F.col("above") + own).alias("before"))
+
+
+def prune_levels(pairs: DataFrame, levels: tuple[float, ...]) -> DataFrame:
+    """``level`` and, for each, the fewest pairs that hold that percentage of a plane's energy; DC always stays, 100 keeps all.
+
+    All levels are cut from one table of buckets; whole buckets are taken or left, and only the bucket that a level cuts through is sorted. ``pairs`` is read three times.
+    """
+    rows, table = _with_buckets(pairs)
+    keys = ["image_id", "channel", "bucket"]
+    t = table.withColumn("level", F.explode(F.array(*(F.lit(float(x)) for x in levels)))).withColumn("target", F.greatest(F.lit(0.0), F.col("total") * (F.col("level") / 100) - F.col("dc")))
+    whole = (F.col("level") >= 100) | (F.col("bucket") == 1 << 20) | (F.col("before") + F.col("s") < F.col("target"))
+    columns = ["level", "image_id", "channel", "idx", "re", "im", "weight", "e"]
+    taken = rows.join(t.filter(whole).select(*keys, "level"), keys).select(*columns)
+    cut = rows.join(t.filter(~whole & (F.col("before") < F.col("target"))).select(*keys, "level", "before", "target"), keys)
+    inside = Window.partitionBy("image_id", "channel", "level").orderBy(F.desc("e"), "idx").rowsBetween(Window.unboundedPreceding, -1)
+    cut = cut.withColumn("before", F.col("before") + F.coalesce(F.sum("e").over(inside), F.lit(0.0)))
+    return taken.unionByName(cut.filter("before < target").select(*columns))
 
 
 def prune_energy(pairs: DataFrame, percent: float) -> DataFrame:
-    """The fewest pairs that hold ``percent`` of a plane's energy; DC always stays, 100 keeps all."""
-    plane = Window.partitionBy("image_id", "channel")
-    total, dc = F.sum("e").over(plane), F.sum(F.when(F.col("idx") == 0, F.col("e")).otherwise(0.0)).over(plane)
-    target = F.greatest(F.lit(0.0), total * (percent / 100) - dc)
-    d = rank_pairs(pairs).withColumn("target", target)
-    keep = F.lit(True) if percent >= 100 else (F.col("idx") == 0) | ((F.col("target") > 0) & (F.col("before") < F.col("target")))
-    return d.filter(keep).select("image_id", "channel", "idx", "re", "im", "weight", "e")
+    """The fewest pairs that hold ``percent`` of a plane's energy (see ``prune_levels``)."""
+    return prune_levels(pairs, (percent,)).drop("level")
 
 
 def energy_curve(spectrum: DataFrame, level: float = 99.0) -> DataFrame:
-    """``image_id, channel, n, n_level, percent_level``: the fewest coefficients that hold ``level`` percent of the energy, and their share of all."""
-    e = F.col("re") * F.col("re") + F.col("im") * F.col("im")
+    """``image_id, channel, n, n_level, percent_level``: the fewest coefficients that hold ``level`` percent of the energy, and their share of all. Only the bucket of energies in which they end is sorted."""
+    d = spectrum.select(*BIN, (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("e"))
+    d = stored(d.withColumn("bucket", _bucket()), "energies")
+    table = _energy_buckets(d, F.col("e")).withColumn("goal", F.col("total") * (level / 100) * (1 - 1e-12))
     plane = Window.partitionBy("image_id", "channel")
-    order = plane.orderBy(F.desc("e"), "ky", "kx")
-    d = spectrum.withColumn("e", e).withColumn("k", F.row_number().over(order)).withColumn("cum", F.sum("e").over(order)).withColumn("all", F.sum("e").over(plane))
-    reached = F.min(F.when(F.col("cum") >= F.col("all") * (level / 100) * (1 - 1e-12), F.col("k")))
-    return d.groupBy("image_id", "channel").agg(F.count("*").alias("n"), reached.alias("n_level")).withColumn("percent_level", 100 * F.col("n_level") / F.col("n"))
+    last = F.max(F.when(F.col("before") + F.col("s") >= F.col("goal"), F.col("bucket"))).over(plane)
+    end = table.withColumns({"end": F.coalesce(last, F.min("bucket").over(plane)), "size": F.sum("n").over(plane)}).filter("bucket = end")
+    inside = plane.orderBy(F.desc("e"), "ky", "kx")
+    rows = d.join(end.select("image_id", "channel", "bucket", "ahead", "before", "goal", "size"), ["image_id", "channel", "bucket"])
+    rows = rows.withColumns({"k": F.row_number().over(inside), "cum": F.col("before") + F.sum("e").over(inside.rowsBetween(Window.unboundedPreceding, 0))})
+    out = rows.groupBy("image_id", "channel").agg(F.max("size").alias("n"), (F.max("ahead") + F.coalesce(F.min(F.when(F.col("cum") >= F.col("goal"), F.col("k"))), F.max("k"))).cast("int").alias("n_level"))
+    return out.withColumn("percent_level", 100 * F.col("n_level") / F.col("n"))
+
+
+def _plane_shapes(scanlines: DataFrame) -> DataFrame:
+    return scanlines.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.max(F.size("v")).alias("width"))
+
+
+def _quantised_pairs(scanlines: DataFrame, shape: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Quantised lines, and their transform's pairs, stored."""
+    q = scanlines.select("image_id", "channel", "y", F.transform("v", lambda x: quantized(x).cast("double")).alias("v"))
+    return q, stored(half_plane(fft2(q, norm="ortho"), shape), "pairs")
+
+
+def _single(kept: DataFrame) -> DataFrame:
+    return kept.withColumns({c: F.col(c).cast("float") for c in ("re", "im")})
 
 
 def fourier_compress(scanlines: DataFrame, percent: float = 99.0) -> tuple[DataFrame, DataFrame]:
     """``(coeffs, stats)``: quantise, orthonormal transform, prune, store single-precision pairs.
 
-    stats: ``image_id, channel, retained_percent, kept, total`` (coefficients, a pair counting two; 100 percent where there is no energy).
+    stats: ``image_id, channel, retained_percent, kept, total`` (coefficients, a pair counting two; 100 percent where there is no energy). The transform runs once.
     """
-    shape = scanlines.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.max(F.size("v")).alias("width"))
-    q = scanlines.select("image_id", "channel", "y", F.transform("v", lambda x: quantized(x).cast("double")).alias("v"))
-    pairs = half_plane(fft2(q, norm="ortho"), shape)
+    _, pairs = _quantised_pairs(scanlines, _plane_shapes(scanlines))
     kept = prune_energy(pairs, percent)
-    return kept.select("image_id", "channel", "idx", F.col("re").cast("float").alias("re"), F.col("im").cast("float").alias("im")), fourier_stats(pairs, kept)
+    return _single(kept).select("image_id", "channel", "idx", "re", "im"), fourier_stats(pairs, kept)
 
 
 def fourier_stats(pairs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Shares of ``kept`` in ``pairs``, which are read once each: store them if they are dear."""
     a = pairs.groupBy("image_id", "channel").agg(F.sum("e").alias("all"), F.sum("weight").alias("total"))
     b = kept.groupBy("image_id", "channel").agg(F.sum("e").alias("some"), F.sum("weight").alias("kept"))
     share = F.when(F.col("all") > 0, 100 * F.col("some") / F.col("all")).otherwise(100.0)
     return a.join(b, ["image_id", "channel"]).select("image_id", "channel", share.alias("retained_percent"), "kept", "total")
 
 
+def pack_coeffs(coeffs: DataFrame, shape: DataFrame) -> DataFrame:
+    """``image_id, height, width, archive, raw_bytes, archive_bytes, ratio``: an image's pairs as one archive.
+
+    A header (magic, height, width, channels, CRC-32 of what follows unpacked), then compressed: for each channel its first letter, its number of pairs, the differences of their ascending indices, and the
+    single-precision real and imaginary parts. One task packs one image; an image of four million pixels has 24 MB of pairs a channel at most.
+    """
+
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        height, width = (group.column(c)[0].as_py() for c in ("height", "width"))
+        names, out = group.column("channel").to_pylist(), []
+        idx, re, im = (group.column(c).to_numpy(zero_copy_only=False) for c in ("idx", "re", "im"))
+        ends = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            out += [struct.pack("<cI", names[a][0].encode(), b - a), np.diff(idx[a:b], prepend=0).astype("<u4").tobytes(), re[a:b].astype("<f4").tobytes(), im[a:b].astype("<f4").tobytes()]
+        body = b"".join(out)
+        archive = struct.pack(ARCHIVE, PACKED, height, width, len(ends) - 1, zlib.crc32(body)) + zlib.compress(body, 9)
+        columns = [group.column("image_id").slice(0, 1), *(pa.array([x], t) for x, t in ((height, pa.int32()), (width, pa.int32()), (archive, pa.binary()), (3 * height * width, pa.int64()), (len(archive), pa.int64()), (3 * height * width / len(archive), pa.float64())))]
+        return [pa.record_batch(columns, names=["image_id", "height", "width", "archive", "raw_bytes", "archive_bytes", "ratio"])]
+
+    d = coeffs.join(shape.select("image_id", F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width")), "image_id").select("image_id", "channel", F.col("idx").cast("long").alias("idx"), "re", "im", "height", "width")
+    return map_groups(d, ["image_id"], ["channel", "idx"], run, "image_id long, height int, width int, archive binary, raw_bytes long, archive_bytes long, ratio double")
+
+
+def _unpacked_archive(archive: bytes) -> tuple[int, int, list[tuple[str, np.ndarray, np.ndarray, np.ndarray]], str | None]:
+    """Height, width, the channels' indices and parts, and what is wrong."""
+    size = struct.calcsize(ARCHIVE)
+    if len(archive) < size:
+        return 0, 0, [], "truncated header"
+    magic, height, width, channels, crc = struct.unpack_from(ARCHIVE, archive)
+    if magic != PACKED:
+        return 0, 0, [], "wrong magic"
+    if not (height and width and height * width <= MAX_PIXELS and 1 <= channels <= 4):
+        return 0, 0, [], "bad dimensions"
+    z = zlib.decompressobj()
+    most = channels * (5 + 12 * height * width)
+    try:
+        body = z.decompress(archive[size:], most + 1)
+    except zlib.error:
+        return 0, 0, [], "damaged stream"
+    if len(body) > most or not z.eof or z.unused_data:
+        return 0, 0, [], "wrong length"
+    if zlib.crc32(body) != crc:
+        return 0, 0, [], "checksum differs"
+    out, at = [], 0
+    for _ in range(channels):
+        if len(body) < at + 5 or len(body) < at + 5 + 12 * struct.unpack_from("<I", body, at + 1)[0]:
+            return 0, 0, [], "wrong length"
+        name, n = struct.unpack_from("<cI", body, at)
+        idx, re, im = (np.frombuffer(body, kind, n, at + 5 + 4 * k * n) for k, kind in enumerate(("<u4", "<f4", "<f4")))
+        idx = np.cumsum(idx, dtype=np.int64)
+        if n and (idx[-1] >= height * width or (idx[1:] == idx[:-1]).any() or not (np.isfinite(re).all() and np.isfinite(im).all())):
+            return 0, 0, [], "bad pairs"
+        out.append((name.decode("latin-1"), idx, re, im))
+        at += 5 + 12 * n
+    return (height, width, out, None) if at == len(body) else (0, 0, [], "wrong length")
+
+
+def unpack_coeffs(archives: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(coeffs, quarantine)`` of ``image_id, archive``: ``image_id, channel, idx, re, im, height, width`` of sound archives; ``image_id, error`` of the others, a null archive among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for image_id, archive in zip(batch.column("image_id").to_pylist(), batch.column("archive"), strict=True):
+                height, width, channels, error = _unpacked_archive(archive.as_py() or b"")
+                for name, idx, re, im in channels or ([] if error is None else [(None, np.zeros(1, np.int64), np.zeros(1, np.float32), np.zeros(1, np.float32))]):
+                    n = len(idx)
+                    same = lambda v, t, n=n: pa.array([v] * n, t)
+                    yield pa.record_batch([same(image_id, pa.int64()), same(name, pa.string()), pa.array(idx), pa.array(re), pa.array(im), same(height, pa.int32()), same(width, pa.int32()), same(error, pa.string())], names=["image_id", "channel", "idx", "re", "im", "height", "width", "error"])
+
+    rows = archives.select("image_id", "archive").mapInArrow(run, "image_id long, channel string, idx long, re float, im float, height int, width int, error string")
+    return rows.filter("error is null").drop("error"), rows.filter("error is not null").select("image_id", "error")
+
+
 def check_coeffs(coeffs: DataFrame, shape: DataFrame) -> DataFrame:
     """``image_id, valid, error`` of archives: indices in range, representatives only and unique, values finite and within what 8-bit pixels allow, own partners real."""
     d = coeffs.join(shape.select("image_id", "height", "width"), "image_id").withColumn("n", F.col("height").cast("long") * F.col("width"))
@@ -229,17 +362,20 @@ def fourier_decompress(coeffs: DataFrame, shape: DataFrame) -> DataFrame:
 
 
 def rate_distortion(scanlines: DataFrame, levels: tuple[float, ...] = (90.0, 99.0, 99.9)) -> DataFrame:
-    """``image_id, level, psnr, mse, kept_percent``: one transform, pruned at each level."""
-    from ..sources.images import to_samples
+    """``image_id, level, psnr, mse, kept_percent, archive_bytes, ratio``: what each energy level keeps, costs and loses.
 
-    shape = scanlines.groupBy("image_id").agg((F.max("y") + 1).alias("height"), F.max(F.size("v")).alias("width"))
-    q = scanlines.select("image_id", "channel", "y", F.transform("v", lambda x: quantized(x).cast("double")).alias("v"))
-    pairs, out = half_plane(fft2(q, norm="ortho"), shape), None
+    There is one transform, whose pairs are stored, and one ranking by buckets that all levels cut; its result is stored as well. The way back runs once a level.
+    """
+    shape, out = _plane_shapes(scanlines), None
+    q, pairs = _quantised_pairs(scanlines, shape)
+    totals = pairs.groupBy("image_id").agg(F.sum("weight").alias("total"))
+    every = stored(prune_levels(pairs, levels), "kept")
     for level in levels:
-        kept = prune_energy(pairs, level)
-        quality = compare_images(to_samples(q), to_samples(fourier_decompress(kept, shape))).select("image_id", "psnr", "mse")
-        share = fourier_stats(pairs, kept).groupBy("image_id").agg((100 * F.sum("kept") / F.sum("total")).alias("kept_percent"))
-        part = quality.join(share, "image_id").withColumn("level", F.lit(float(level)))
+        kept = every.filter(F.col("level") == float(level)).drop("level")
+        quality = compare_scanlines(q, fourier_decompress(_single(kept), shape)).select("image_id", "psnr", "mse")
+        size = pack_coeffs(_single(kept), shape).select("image_id", "archive_bytes", "ratio")
+        share = kept.groupBy("image_id").agg(F.sum("weight").alias("kept")).join(totals, "image_id").select("image_id", (100 * F.col("kept") / F.col("total")).alias("kept_percent"))
+        part = quality.join(share, "image_id").join(size, "image_id").withColumn("level", F.lit(float(level)))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -25,7 +25,7 @@ from ..operators import restore as re_
 from ..operators import wavelet as wa
 from ..sources import fixtures as fx
 from ..sources import images as im
-from ..storage import shared_folder
+from ..storage import shared_folder, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -556,12 +556,12 @@ def w18_per_channel_and_merged(spark, d):
 # ranking and frequency
 
 DFT = S2 + """, f as (select image_id, channel, ky::int ky, kx::int kx, sum(v*cos(2*pi()*((ky*y+kx*x)%8)/8)) re, -sum(v*sin(2*pi()*((ky*y+kx*x)%8)/8)) im from s2, range(8) a(ky), range(8) b(kx) group by all)"""
-PAIRS = DFT + """, hp as (select image_id, channel, ky*8+kx idx, case when ky*8+kx = ((8-ky)%8)*8+(8-kx)%8 then 1 else 2 end weight, (re*re+im*im)/64 en from f where ky*8+kx <= ((8-ky)%8)*8+(8-kx)%8), pe as (select *, en*weight e from hp)"""
+PAIRS = DFT + """, hp as (select image_id, channel, ky*8+kx idx, case when ky*8+kx = ((8-ky)%8)*8+(8-kx)%8 then 1 else 2 end weight, (re*re+im*im)/64 en, re/8 re, im/8 im from f where ky*8+kx <= ((8-ky)%8)*8+(8-kx)%8), pe as (select *, en*weight e from hp)"""
 
 
 @query(f"{PAIRS} select image_id, channel, idx, row_number() over (partition by image_id, channel order by idx <> 0, round(e, 6) desc, idx)::int place, round(e, 6) + 0.0 e from pe")
 def k1_rank_pairs(spark, d):
-    pairs = fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d)).withColumn("e", r("e", 6))
+    pairs = stored(fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d)).withColumn("e", r("e", 6)), "pairs")
     return fr.rank_pairs(pairs).select("image_id", "channel", "idx", "place", "e")
 
 
@@ -578,7 +578,7 @@ ORACLES["a16_fourier_stats"] = (
 
 @query(f"{PRUNE} select image_id, channel, count(*) n, sum(weight)::bigint coefficients, round(sum(e), 1) energy from t where idx = 0 or (tot*0.99-dc > 0 and bef < tot*0.99-dc) group by all")
 def k2_prune_energy(spark, d):
-    pairs = fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d))
+    pairs = stored(fr.half_plane(fr.fft2(emb_lines(spark, d), norm="ortho"), emb_shape(spark, d)), "pairs")
     return fr.prune_energy(pairs, 99.0).groupBy("image_id", "channel").agg(F.count("*").alias("n"), F.sum("weight").alias("coefficients"), r(F.sum("e"), 1).alias("energy"))
 
 
@@ -638,9 +638,21 @@ def f6_dft_sql(spark, d):
     return rounded(fr.dft_sql(emb(spark, d)), "re", "im", digits=3)
 
 
-@query(f"{PRUNE} select image_id, channel, count(*) n from t where idx = 0 or (tot*0.99-dc > 0 and bef < tot*0.99-dc) group by all")
+@query(f"{PRUNE} select image_id, channel, count(*) n, sum(idx)::bigint idx_sum, round(sum(re::float::double), 2) + 0.0 re_sum from t where {_KEPT} group by all")
 def f7_fourier_compress(spark, d):
-    return fr.fourier_compress(emb_lines(spark, d), 99.0)[0].groupBy("image_id", "channel").agg(F.count("*").alias("n"))
+    kept = fr.fourier_compress(emb_lines(spark, d), 99.0)[0]
+    return kept.groupBy("image_id", "channel").agg(F.count("*").alias("n"), F.sum(F.col("idx").cast("long")).alias("idx_sum"), r(F.sum(F.col("re").cast("double")), 2).alias("re_sum"))
+
+
+@query(f"{PRUNE}, a as (select image_id, count(*) n, sum(idx)::bigint idx_sum, round(sum(im::float::double), 2) + 0.0 im_sum from t where {_KEPT} group by image_id) select image_id, case image_id % 7 when 0 then 'truncated header' when 1 then 'wrong magic' end error, "
+       "192::bigint raw_bytes, case when image_id % 7 > 1 then n end n, case when image_id % 7 > 1 then idx_sum end idx_sum, case when image_id % 7 > 1 then im_sum end im_sum from a")
+def f7_fourier_archive(spark, d):
+    """Packed and unpacked again; two of seven archives are damaged on the way."""
+    archives = stored(fr.pack_coeffs(fr.fourier_compress(emb_lines(spark, d), 99.0)[0], emb_shape(spark, d)), "archives")
+    hurt = F.when(F.col("image_id") % 7 == 0, F.expr("substring(archive, 1, 10)")).when(F.col("image_id") % 7 == 1, F.concat(F.lit(b"NONE"), F.expr("substring(archive, 5)"))).otherwise(F.col("archive"))
+    good, bad = fr.unpack_coeffs(archives.withColumn("archive", hurt))
+    sums = good.groupBy("image_id").agg(F.count("*").alias("n"), F.sum("idx").alias("idx_sum"), r(F.sum(F.col("im").cast("double")), 2).alias("im_sum"))
+    return archives.select("image_id", "raw_bytes").join(sums, "image_id", "left").join(bad, "image_id", "left")
 
 
 @query(f"{S2} select image_id, channel, y, x, v from s2")
@@ -653,9 +665,20 @@ def f8_check_coeffs(spark, d):
     return fr.check_coeffs(fr.fourier_compress(emb_lines(spark, d), 99.0)[0], emb_shape(spark, d))
 
 
-@query()
+RATES = f"""{PRUNE}, lv(lvl) as (values (90.0::double), (99.0::double), (99.9::double)), kp as (select lvl, image_id, channel, idx//8 ky, idx%8 kx, weight, re::float::double re, im::float::double im
+  from t, lv where idx = 0 or (tot*(lvl/100)-dc > 0 and bef < tot*(lvl/100)-dc)), bk as (select lvl, s.image_id, s.channel, s.y, s.x, s.v, round_even(greatest(0, least(255, sum(weight*(re*cos(2*pi()*((ky*y+kx*x)%8)/8) - im*sin(2*pi()*((ky*y+kx*x)%8)/8)))/8)), 0) w
+  from s2 s join kp using (image_id, channel) group by all), ms as (select image_id, lvl, avg((v-w)*(v-w)) mse from bk group by all), ks as (select image_id, lvl, 100.0::double*sum(weight)/192 kept_percent from kp group by all)"""
+
+
+@query(f"{RATES} select image_id, lvl \"level\", round(case when mse = 0 then 1e9 else 10*log10(65025/mse) end, 4) + 0.0 psnr, round(mse, 4) + 0.0 mse, round(kept_percent, 4) + 0.0 kept_percent from ms join ks using (image_id, lvl)")
 def f9_rate_distortion(spark, d):
-    return fr.rate_distortion(emb_lines(spark, d))
+    rates = fr.rate_distortion(emb_lines(spark, d)).drop("archive_bytes", "ratio")
+    return rounded(rates.withColumn("psnr", F.least("psnr", F.lit(1e9))), "psnr", "mse", "kept_percent")
+
+
+@query()
+def f9_archive_sizes(spark, d):
+    return fr.rate_distortion(emb_lines(spark, d), (50.0, 99.0)).select("image_id", "level", "archive_bytes", "ratio")
 
 
 @query()

@@ -400,3 +400,53 @@ def test_stripe_mask_equals_opening_by_every_offset(spark):
                     want |= {(p + i, q + j) for p, q in to for i in (-1, 0, 1) for j in (-1, 0, 1) if inside(p + i, q + j)}
         got = [(r.y, r.x) for r in mo.white_stripe_mask(df, 50).collect()]
         assert len(got) == len(set(got)) and set(got) == want and want
+
+
+def test_energy_cuts_equal_a_whole_sort(spark):
+    rng = np.random.default_rng(12)
+    pairs = []
+    for i in range(4):
+        e = np.round(rng.lognormal(0, 3, 900), 2 if i else 0) * (i < 3)  # ties, zeros, and a plane without energy
+        pairs += [(i, "R", k, 0.0, 0.0, 2, float(v)) for k, v in enumerate(e)]
+    df = spark.createDataFrame(pairs, "image_id long, channel string, idx int, re double, im double, weight int, e double").repartition(5)
+    ranked = {(r.image_id, r.idx): r for r in fr.rank_pairs(df).collect()}
+    levels = (0.0, 50.0, 99.0, 99.99, 100.0)
+    got = {}
+    for r in fr.prune_levels(df, levels).collect():
+        got.setdefault((r.level, r.image_id), set()).add(r.idx)
+    for i in range(4):
+        own = sorted((p for p in pairs if p[0] == i), key=lambda p: (p[2] != 0, -p[6], p[2]))
+        before, total = 0.0, sum(p[6] for p in own)
+        kept = {level: set() for level in levels}
+        for place, p in enumerate(own, 1):
+            r = ranked[i, p[2]]
+            assert r.place == place and np.isclose(r.before, before, rtol=1e-9, atol=1e-9)
+            for level in levels:
+                target = max(0.0, total * (level / 100) - own[0][6])
+                if level >= 100 or place == 1 or (target > 0 and before < target * (1 - 1e-12)):
+                    kept[level].add(p[2])
+            before += p[6] if place > 1 else 0.0
+        assert all(got[level, i] == kept[level] for level in levels)
+    spectrum = spark.createDataFrame([(i, "R", k // 30, k % 30, float(np.sqrt(v)), 0.0) for i, _, k, _, _, _, v in pairs], "image_id long, channel string, ky int, kx int, re double, im double")
+    for r in fr.energy_curve(spectrum, 95.0).collect():
+        e = np.sort([p[6] for p in pairs if p[0] == r.image_id])[::-1]
+        assert (r.n, r.n_level) == (900, int(np.argmax(np.cumsum(e) >= e.sum() * 0.95 * (1 - 1e-12))) + 1)
+
+
+def test_packed_pairs_come_back_and_damage_is_quarantined(spark):
+    _, pixels = images(spark, 9)
+    lines, shape = im.to_scanlines(ch.split_channels(pixels)), me.shapes(pixels)
+    coeffs, _ = fr.fourier_compress(lines, 99.0)
+    archives = fr.pack_coeffs(coeffs, shape).collect()
+    assert all(r.archive_bytes == len(r.archive) and r.raw_bytes == 3 * r.height * r.width and r.ratio == r.raw_bytes / r.archive_bytes for r in archives)
+    rows = [(r.image_id, bytes(r.archive)) for r in archives]
+    good, bad = fr.unpack_coeffs(spark.createDataFrame(rows, "image_id long, archive binary"))
+    key = lambda df: sorted((r.image_id, r.channel, int(r.idx), r.re, r.im) for r in df.collect())
+    assert key(good) == key(coeffs) and bad.count() == 0
+    sound = rows[-1][1]
+    flipped = bytearray(sound)
+    flipped[-3] ^= 4
+    head = struct.unpack_from(fr.ARCHIVE, sound)
+    hurt = [(0, None), (1, b""), (2, sound[:9]), (3, b"x" * 40), (4, sound[:-2]), (5, bytes(flipped)), (6, sound + b"!"), (7, struct.pack(fr.ARCHIVE, fr.PACKED, 1, 1, *head[3:]) + sound[18:]), (8, struct.pack(fr.ARCHIVE, fr.PACKED, 9000, 9000, *head[3:]) + sound[18:]), (9, struct.pack(fr.ARCHIVE, *head[:4], 1) + sound[18:])]
+    good, bad = fr.unpack_coeffs(spark.createDataFrame(hurt, "image_id long, archive binary"))
+    assert good.count() == 0 and sorted(r.image_id for r in bad.collect()) == list(range(10))
