@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized, reflected
+from ..sources.images import to_samples, to_scanlines
 from .halo import halo_map
 from .kernels import gaussian_1d, gaussian_of_size, laplacian
 from .metrics import CELL, compare_images, shapes
 
 
+#: Distinct values of a band up to which medians run on histograms.
+MANY_LEVELS = 512
+
+
 def _padded(samples: DataFrame, axis: str, size: str, radius: int) -> DataFrame:
     """Every sample at its own place ``p`` on the axis and at the border places that mirror it."""
     outside = F.concat(F.sequence(F.lit(-radius), F.lit(-1)), F.transform(F.sequence(F.lit(0), F.lit(radius - 1)), lambda i: i + F.col(size)))
@@ -121,16 +126,41 @@ def median_blur_small(samples: DataFrame) -> DataFrame:
     return out.join(source, ["image_id", "channel", "sy", "sx"]).groupBy(*CELL).agg(F.median("v").alias("v"))
 
 
-def median_blur(scanlines: DataFrame, size: int) -> DataFrame:
-    if size not in (3, 5, 7, 9, 11):
-        raise ValueError("median sizes are 3, 5, 7, 9 and 11")
-    r = size // 2
+def running_median(b: np.ndarray, size: int) -> np.ndarray:
+    """Median of every size x size window of a plane.
 
-    def run(b: np.ndarray) -> np.ndarray:
+    The distinct values of the plane are numbered. A step to the next line of windows takes one line out of the histograms of columns and one in; along the line, a window's histogram gains one
+    column's and loses another's. So the work for a
+    place grows with the number of levels, 256 for display values, and not with the window. Planes of more than ``MANY_LEVELS`` values select in each window instead.
+    """
+    levels, code = np.unique(b, return_inverse=True)
+    code = code.reshape(b.shape)
+    h, w = b.shape[0] - size + 1, b.shape[1] - size + 1
+    n, half = len(levels), size * size // 2 + 1
+    if n > MANY_LEVELS:  # real-valued planes: ranks of windows by selection instead of histograms as wide as the plane
         view = np.lib.stride_tricks.sliding_window_view(b, (size, size))
-        return np.stack([np.median(v.reshape(len(v), -1), axis=1) for v in view])
+        return np.stack([np.partition(v.reshape(w, -1), half - 1, axis=1)[:, half - 1] for v in view])
+    columns = np.zeros((b.shape[1], n), np.int32)
+    place = np.arange(b.shape[1])
+    for y in range(size):
+        np.add.at(columns, (place, code[y]), 1)
+    out = np.empty((h, w), b.dtype)
+    for y in range(h):
+        sums = np.cumsum(columns, axis=0)
+        windows = sums[size - 1 :].copy()
+        windows[1:] -= sums[: w - 1]
+        out[y] = levels[(np.cumsum(windows, axis=1) >= half).argmax(axis=1)]
+        if y + 1 < h:
+            columns[place, code[y]] -= 1
+            columns[place, code[y + size]] += 1
+    return out
 
-    return halo_map(scanlines, run, r, border="replicate")
+
+def median_blur(scanlines: DataFrame, size: int) -> DataFrame:
+    """size x size median with replicated border; running histograms, so a larger window takes no longer (see ``running_median``)."""
+    if size not in (3, 5, 7, 9, 11):
+        raise ValueError("median sizes are 3, 5, 7, 9 and 11")
+    return halo_map(scanlines, lambda b: running_median(b, size), size // 2, border="replicate")
 
 
 def gaussian_denoise(scanlines: DataFrame, size: int) -> DataFrame:
@@ -200,15 +230,38 @@ def compare_per_channel_and_merged(samples: DataFrame, fn) -> DataFrame:
     return compare_images(apart, fn(samples)).select("image_id", "max_abs", "mean_abs", (F.col("max_abs") < 1e-8).alias("matches"))
 
 
+#: Filter -> its function on scanlines and its parameters as (least, greatest, default); whole numbers are odd.
 FILTERS = {
-    "box": (lambda s, ksize=5: box_blur(s, ksize), {"ksize": (3, 31, 5)}), "gaussian": (lambda s, sigma=2.0: gaussian_blur(s, sigma), {"sigma": (0.1, 15.0, 2.0)}),
-    "unsharp": (lambda s, sigma=2.0, amount=1.5: unsharp_mask(s, sigma, amount), {"sigma": (0.1, 10.0, 2.0), "amount": (0.0, 5.0, 1.5)}),
-    "laplacian": (lambda s, ksize=3, scale=0.8: laplacian_sharpen(s, ksize, scale), {"ksize": (1, 15, 3), "scale": (0.0, 3.0, 0.8)}),
+    "box": (lambda s, ksize: to_scanlines(box_blur(to_samples(s), ksize)), {"ksize": (1, 31, 7)}), "gaussian": (lambda s, sigma: gaussian_blur(s, sigma), {"sigma": (0.1, 15.0, 3.0)}),
+    "unsharp": (lambda s, sigma, amount: unsharp_mask(s, sigma, amount), {"sigma": (0.1, 15.0, 2.0), "amount": (0.0, 5.0, 1.5)}),
+    "laplacian": (lambda s, ksize, scale: laplacian_sharpen(s, ksize, scale), {"ksize": (1, 15, 3), "scale": (0.0, 5.0, 1.0)}),
 }
 
 
-def filter_named(name: str):
-    """The transform of a filter and its parameters as (least, greatest, default); unknown names raise."""
+def filter_settings(name: str, **given: float) -> dict[str, float]:
+    """All parameters of a filter, given or by default. Unknown filters and parameters, and values of the wrong kind or out of range, raise ValueError."""
     if name not in FILTERS:
         raise ValueError(f"unknown filter {name!r}; choose from {sorted(FILTERS)}")
-    return FILTERS[name]
+    known, out = FILTERS[name][1], {}
+    if extra := set(given) - set(known):
+        raise ValueError(f"{name} has no parameter {sorted(extra)}; its parameters are {sorted(known)}")
+    for key, (least, most, default) in known.items():
+        v = given.get(key, default)
+        if isinstance(v, bool) or not isinstance(v, (int, float)) or not least <= v <= most:
+            raise ValueError(f"{key} of {name} is a number from {least} to {most}")
+        if isinstance(default, int) and (v != int(v) or int(v) % 2 == 0):
+            raise ValueError(f"{key} of {name} is odd")
+        out[key] = int(v) if isinstance(default, int) else float(v)
+    return out
+
+
+def filter_named(name: str):
+    """A filter and its parameters as (least, greatest, default). The filter takes samples or scanlines, and returns the same; its parameters are checked (see ``filter_settings``)."""
+    filter_settings(name)
+    run, parameters = FILTERS[name]
+
+    def apply(image: DataFrame, **given: float) -> DataFrame:
+        settings = filter_settings(name, **given)
+        return to_samples(run(to_scanlines(image), **settings)) if "x" in image.columns else run(image, **settings)
+
+    return apply, parameters

@@ -806,4 +806,19 @@ def x1_apply_channels(spark, d):
 
 @query(convolution(ke.box_kernel(5)))
 def x2_filter_registry(spark, d):
-    return rounded(fi.filter_named("box")[0](ev_samples(spark, d)), "v")
+    return rounded(fi.filter_named("box")[0](ev_samples(spark, d), ksize=5), "v")
+
+
+@query(convolution(ke.gaussian_kernel(1.0)))
+def x2_gaussian_named(spark, d):
+    return rounded(fi.filter_named("gaussian")[0](ev_samples(spark, d), sigma=1.0), "v")
+
+
+@query(convolution(ke.unsharp_kernel(1.0, 1.5)))
+def x2_unsharp_named(spark, d):
+    return rounded(im.to_samples(fi.filter_named("unsharp")[0](ev_lines(spark, d), sigma=1.0)), "v")
+
+
+@query(convolution(ke.laplacian_kernel(3, 1.0)))
+def x2_laplacian_named(spark, d):
+    return rounded(fi.filter_named("laplacian")[0](ev_samples(spark, d)), "v")

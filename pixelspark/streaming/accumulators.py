@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -53,6 +54,65 @@ def stream_progress(rows: DataFrame, height: int, watermark: tuple[str, str] | N
     return rows.groupBy("image_id").agg(F.count("*").alias("done")).withColumn("complete", F.col("done") >= height)
 
 
+def stream_completion(rows: DataFrame, height: int, delay: str = "1 hour") -> DataFrame:
+    """Each image once, when it is done with: ``image_id, done, complete, replayed``, from arriving ``image_id, y, at``.
+
+    An image's state is one bit a line and two counts. It leaves by a timer as soon as the watermark is ``delay`` behind the image's last row, complete or not; a complete image gives
+    up its bits at once and keeps the counts until then. A line that comes again within that time is ``replayed``; rows of an image that has left begin anew. Rows behind the watermark are
+    late: Spark leaves them out and counts them in each batch's progress (``numRowsDroppedByWatermark``). Lines outside the image only move the watermark.
+    """
+    wait = int(_seconds(delay) * 1000)
+
+    def closed(key, held) -> pd.DataFrame:
+        _, done, replayed, _ = held
+        return pd.DataFrame({"image_id": [key[0]], "done": [done], "complete": [done >= height], "replayed": [replayed]})
+
+    def step(key, batches, state):
+        if state.hasTimedOut:
+            yield closed(key, state.get)
+            state.remove()
+            return
+        held = state.get if state.exists else None
+        if held is not None and held[3] + wait <= state.getCurrentWatermarkMs():  # its time is over, but new rows came before the timer
+            yield closed(key, held)
+            held = None
+        seen, done, replayed, newest = held or (bytes(-(-height // 8)), 0, 0, 0)
+        bits = bytearray(seen)
+        for pdf in batches:
+            newest = max(newest, int(pdf["at"].max().timestamp() * 1000))
+            for y in pdf["y"].tolist():
+                if not 0 <= y < height:
+                    continue
+                if done >= height or bits[y >> 3] >> (y & 7) & 1:
+                    replayed += 1
+                else:
+                    bits[y >> 3] |= 1 << (y & 7)
+                    done += 1
+        if done + replayed == 0:
+            return
+        state.update((bytes(bits) if done < height else b"", done, replayed, newest))
+        state.setTimeoutTimestamp(max(newest + wait, state.getCurrentWatermarkMs() + 1))
+
+    rows = rows.select("image_id", "y", "at").withWatermark("at", delay)
+    return rows.groupBy("image_id").applyInPandasWithState(step, "image_id long, done long, complete boolean, replayed long", "seen binary, done long, replayed long, newest long", "append", "EventTimeTimeout")
+
+
+def _seconds(delay: str) -> float:
+    """Seconds of an interval such as ``10 minutes``."""
+    return pd.Timedelta(delay).total_seconds()
+
+
+def run_appending(stream: DataFrame, folder: str) -> tuple[DataFrame, list[dict]]:
+    """Process all that is available; ``(rows, progress of each batch)``. A batch writes its own rows only, under its number, so a batch that runs again leaves the same files."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/result/batch={number}")
+
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{folder}/state").foreachBatch(keep).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/result").select(*stream.columns), [json.loads(p.json) if hasattr(p, "json") else p for p in query.recentProgress]
+
+
 def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
     """Process all that is available, keep the last complete result as Parquet under ``folder`` and return it."""
 

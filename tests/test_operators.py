@@ -450,3 +450,31 @@ def test_packed_pairs_come_back_and_damage_is_quarantined(spark):
     hurt = [(0, None), (1, b""), (2, sound[:9]), (3, b"x" * 40), (4, sound[:-2]), (5, bytes(flipped)), (6, sound + b"!"), (7, struct.pack(fr.ARCHIVE, fr.PACKED, 1, 1, *head[3:]) + sound[18:]), (8, struct.pack(fr.ARCHIVE, fr.PACKED, 9000, 9000, *head[3:]) + sound[18:]), (9, struct.pack(fr.ARCHIVE, *head[:4], 1) + sound[18:])]
     good, bad = fr.unpack_coeffs(spark.createDataFrame(hurt, "image_id long, archive binary"))
     assert good.count() == 0 and sorted(r.image_id for r in bad.collect()) == list(range(10))
+
+
+def test_filters_by_name_check_their_parameters_and_take_either_form(spark):
+    _, pixels = images(spark, 3, [(9, 11)])
+    samples = ch.split_channels(pixels)
+    lines = im.to_scanlines(samples)
+    direct = {"box": fi.box_blur(samples, 7), "gaussian": im.to_samples(fi.gaussian_blur(lines, 3.0)), "unsharp": im.to_samples(fi.unsharp_mask(lines, 2.0, 1.5)), "laplacian": im.to_samples(fi.laplacian_sharpen(lines, 3, 1.0))}
+    for name, want in direct.items():
+        run, parameters = fi.filter_named(name)
+        want = planes(want)
+        for got in (run(samples), im.to_samples(run(lines))):
+            assert all(np.allclose(v, want[k]) for k, v in planes(got).items())
+        for key, (least, most, _) in parameters.items():
+            for bad in (least - 1, most + 2, "3", True, None, float("nan")):
+                with pytest.raises(ValueError):
+                    run(samples, **{key: bad})
+        with pytest.raises(ValueError):
+            run(samples, radius=3)
+    for bad in (4, 3.5):
+        with pytest.raises(ValueError):
+            fi.filter_named("box")[0](samples, ksize=bad)
+
+
+def test_running_median_equals_sorting_each_window():
+    rng = np.random.default_rng(9)
+    for b, size in ((rng.integers(0, 256, (23, 40)).astype(float), 5), (rng.integers(0, 3, (14, 12)).astype(float), 11), (rng.normal(size=(40, 60)), 7), (np.full((11, 11), 4.0), 11)):
+        view = np.lib.stride_tricks.sliding_window_view(b, (size, size))
+        assert np.array_equal(fi.running_median(b, size), np.median(view, axis=(2, 3)))

@@ -26,3 +26,25 @@ def test_rows_that_arrive_again_count_once(spark, tmp_path):
     for n, watermark in enumerate((None, ("at", "1 hour"))):
         got = acc.run_to_end(acc.stream_progress(_arriving(spark, tmp_path / "in", schema), 3, watermark), f"file://{tmp_path}/state{n}")
         assert {r.image_id: (r.done, r.complete) for r in got.collect()} == {1: (3, True), 2: (1, False)}
+
+
+def test_state_of_finished_images_leaves(spark, tmp_path):
+    schema, day = "image_id long, y int, at timestamp", "2024-01-01 "
+    parts = [
+        [(1, 0, "00:00"), (1, 1, "00:01"), (2, 0, "00:00"), (3, 9, "00:00")],
+        [(1, 1, "00:02"), (1, 2, "00:03"), (2, 0, "00:05"), (1, 0, "00:04")],  # image 1 completes, then a line comes again
+        [(1, 2, "00:30"), (2, 1, "00:50"), (4, 0, "00:40")],
+        [(-1, -1, "05:00")],
+        [(4, 1, "05:01"), (1, 1, "05:02"), (9, 0, "00:10"), (-1, -1, "23:00")],  # images 1 and 4 anew, image 9 too late
+    ]
+    for k, rows in enumerate(parts):
+        df = spark.createDataFrame([(i, y, day + t + ":00") for i, y, t in rows], "image_id long, y int, t string").selectExpr("image_id", "y", "cast(t as timestamp) at")
+        df.coalesce(1).write.parquet(str(tmp_path / f"in/part={k}"))
+    arriving = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got, progress = acc.run_appending(acc.stream_completion(arriving.select("image_id", "y", "at"), 3, "10 minutes"), f"file://{tmp_path}/state")
+    rows = sorted((r.image_id, r.done, r.complete, r.replayed) for r in got.collect())
+    # Image 1 was complete and got three lines again; what images 1 and 4 send after their time begins anew; (2, 0) came twice.
+    assert rows == [(1, 1, False, 0), (1, 3, True, 3), (2, 2, False, 1), (4, 1, False, 0), (4, 1, False, 0)]
+    totals = [s["numRowsTotal"] for p in progress for s in p["stateOperators"]]
+    assert len(progress) >= 6 and max(totals) >= 2 and totals[-1] == 0
+    assert sum(s["numRowsDroppedByWatermark"] for p in progress for s in p["stateOperators"]) == 1  # (9, 0) of ten hours before
