@@ -264,7 +264,9 @@ def j1_compare_images(spark, d):
 def j1_compare_scanlines(spark, d):
     """Both versions stored by image, then joined without an exchange."""
     name, path = f"lines_{uuid.uuid4().hex}", shared_folder(spark, "lines")
-    im.save_scanlines(fx.document_scanlines(spark, d), name, path, _buckets(spark, d, "documents"), {"first": F.col("v"), "second": _eighths()})
+    buckets = _buckets(spark, d, "documents")
+    first = im.save_scanlines(fx.document_scanlines(spark, d), f"{name}_first", path, buckets)
+    im.save_scanlines(first.withColumn("v", F.transform("v", lambda x: x - x % 8)), f"{name}_second", path, buckets, dealt=True)
     return _shown(me.compare_stored(spark, f"{name}_first", f"{name}_second"))
 
 

@@ -7,8 +7,7 @@ import struct
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_PIXELS = 4_000_000
@@ -53,25 +52,19 @@ def read_scanlines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).select("image_id", "channel", "y", F.col("v").cast("array<double>").alias("v"))
 
 
-def save_scanlines(scanlines: DataFrame, table: str, path: str | None = None, buckets: int = 16, versions: dict[str, Column] | None = None) -> DataFrame:
+def save_scanlines(scanlines: DataFrame, table: str, path: str | None = None, buckets: int = 16, dealt: bool = False) -> DataFrame:
     """Store scanlines as a table bucketed by image and sorted by image, channel and line, one file a bucket, and return the table.
 
-    Two such tables of as many buckets are joined by line, and grouped by image, without an exchange. The one exchange is here; choose ``buckets`` so that one holds about
-    a gigabyte. Values are display values (clipped, then truncated), kept as shorts. With ``versions``, expressions over the columns of ``scanlines``, every version is
-    stored as a table ``<table>_<name>`` of its own from one pass over the source, and the first of them is returned.
+    Two such tables of as many buckets are joined by line, and grouped by image, without an exchange. The one exchange is here, and none with ``dealt``: lines that were read from such a table and
+    changed in place lie right already. Choose ``buckets`` so that one holds about a gigabyte. Values are display values (clipped, then truncated), kept as shorts.
     """
-    shown = lambda v: F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("short"))
-    versions = versions or {"": F.col("v")}
-    dealt = scanlines.select("image_id", "channel", "y", *(shown(v).alias(f"v_{k}") for k, v in versions.items())).repartition(buckets, "image_id")
-    if len(versions) > 1:
-        dealt = dealt.persist(StorageLevel.DISK_ONLY)
-    names = [f"{table}_{k}" if k else table for k in versions]
-    for name, k in zip(names, versions, strict=True):
-        writer = dealt.select("image_id", "channel", "y", F.col(f"v_{k}").alias("v")).write.bucketBy(buckets, "image_id").sortBy("image_id", "channel", "y").format("parquet")
-        (writer.option("path", f"{path}/{name}") if path else writer).saveAsTable(name)
-    if len(versions) > 1:
-        dealt.unpersist()
-    return scanlines.sparkSession.table(names[0])
+    v = F.col("v")
+    clipped = F.transform(v, lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), x)).cast("short"))
+    shown = F.when((F.array_min(v) >= 0) & (F.array_max(v) <= 255), v.cast("array<short>")).otherwise(clipped)  # most lines need no clipping
+    lines = scanlines.select("image_id", "channel", "y", shown.alias("v"))
+    writer = (lines if dealt else lines.repartition(buckets, "image_id")).write.bucketBy(buckets, "image_id").sortBy("image_id", "channel", "y").format("parquet")
+    (writer.option("path", f"{path}/{table}") if path else writer).saveAsTable(table)
+    return scanlines.sparkSession.table(table)
 
 
 def _grid(spark: SparkSession, n: int, size: int) -> DataFrame:
