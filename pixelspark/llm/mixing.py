@@ -167,18 +167,22 @@ def _with_chosen(rows: DataFrame, times: DataFrame) -> DataFrame:
 
 
 def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken``.
+    """One row for each document: ``doc_id, size, source_size, target, taken, shards``.
 
+    ``shards`` are the numbers of the output shards that the splitting tree deals the document to, ascending and joined by commas, one for each time it is taken.
     Null, empty and white-space texts have size 0 and taken 0; a null source is a source of its own, ordered last. Repeated rows are counted as often as they occur.
     An empty table gives no rows. Other columns are not used.
     """
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = materialize(d.select("doc_id", "size", *_keyed(d, "doc_id", "source")), "sizes")
     blocks, placed = _plan(sizes, share, cap, weights, seed, words_per_shard)
-    times = placed.groupBy("_key", "_block").agg(F.sum(F.col("cut").isNull().cast("long")).alias("whole"), F.max("cut").alias("cut"))
+    dealt = F.array_sort(F.collect_list(F.when(F.col("cut").isNull(), F.col("shard"))))  # at most three entries
+    times = placed.groupBy("_key", "_block").agg(F.sum(F.col("cut").isNull().cast("long")).alias("whole"), F.max("cut").alias("cut"), dealt.alias("dealt"), F.max(F.when(F.col("cut").isNotNull(), F.col("shard"))).alias("last"))
     times = blocks.select("_key", "_block", "source_size", "target").join(times, ["_key", "_block"], "left")
     taken = F.col("size") * (F.coalesce("whole", F.lit(0)) + F.col("chosen").cast("long"))
-    return _with_chosen(sizes, times).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    shards = F.array_join(F.when(F.col("chosen"), F.array_sort(F.concat("dealt", F.array("last")))).otherwise(F.col("dealt")), ",")
+    shards = F.when((F.col("size") > 0) & F.col("dealt").isNotNull(), shards).otherwise(F.lit(""))
+    return _with_chosen(sizes, times).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -63,10 +63,22 @@ QUERIES["op5_token_files"] = op5_token_files
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_report
 
-    return mix_report(_table(spark, sf_dir, "documents"))
+    return mix_report(_table(spark, sf_dir, "documents")).drop("shards")
+
+
+def mixing_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the splitting tree of ``op8_mixing`` decides: for each source and shard, the times a document is taken there, and their words."""
+    from pyspark.sql import functions as F
+
+    from .mixing import mix_report
+
+    docs = _table(spark, sf_dir, "documents")
+    each = mix_report(docs).filter("shards <> ''").join(docs.select("doc_id", "source"), "doc_id").select("source", "size", F.explode(F.split("shards", ",")).cast("int").alias("shard"))
+    return each.groupBy("source", "shard").agg(F.count("*").alias("documents"), F.sum("size").alias("words"))
 
 
 QUERIES["op8_mixing"] = op8_mixing
+QUERIES["mixing_shards"] = mixing_shards
 ORACLES["op8_mixing"] = r"""
 with d as (
   select doc_id, coalesce('s' || source, 'n') k, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size, md5(coalesce(doc_id::varchar, '')) h from documents

@@ -93,3 +93,24 @@ def test_long_texts_and_no_words(spark):
     df = spark.createDataFrame([(1, "a", "w " * 300_000), (2, "a", "w"), (3, "b", None)], "doc_id long, source string, text string")
     got = {r.doc_id: r for r in mixing.mix_report(df).collect()}
     assert got[1]["size"] == 300_000 and got[3].taken == 0 and got[3].target == 0 and sum(r.taken for r in got.values()) <= 2 * 300_001
+
+
+def test_shards_of_a_document_are_those_the_tree_dealt_its_blocks_to(spark):
+    df = spark.createDataFrame([(i, f"s{i % 3}", "w " * (i * 37 % 23)) for i in range(600)], "doc_id long, source string, text string")
+    keyed = df.select("doc_id", *mixing._keyed(df, "doc_id", "source"), mixing.word_count("text").alias("size"))
+    _, placed = mixing._plan(keyed.drop("doc_id"), 1.5, 2.0, mixing.WEIGHTS, 0, mixing.SHARD_WORDS)
+    units = defaultdict(list)
+    for u in placed.collect():
+        units[u["_key"], u["_block"]].append((u.shard, u.cut is not None))
+    of = {r.doc_id: (r["_key"], r["_block"]) for r in keyed.collect()}
+    copies = Counter()
+    for r in mixing.mix_report(df).collect():
+        shards = [int(x) for x in r.shards.split(",") if x]
+        assert len(shards) * r["size"] == r.taken and shards == sorted(shards)
+        whole = sorted(s for s, part in units[of[r.doc_id]] if not part)
+        part = [s for s, part in units[of[r.doc_id]] if part]
+        assert shards == ([] if not r["size"] else whole if len(shards) == len(whole) else sorted(whole + part))
+        copies.update(shards)
+    assert len(copies) > 32
+    mixed = mixing.mix(df).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
+    assert sum(r["count"] for r in mixed) == sum(copies.values())
