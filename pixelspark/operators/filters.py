@@ -190,6 +190,8 @@ def _rgb(lab: np.ndarray) -> np.ndarray:
 
 def nl_means(scanlines: DataFrame, h: float, patch: int = 7, search: int = 21) -> DataFrame:
     """Non-local means over R, G, B: lightness alone and the two colour axes together, weights exp(-d^2 / h^2) of mean squared patch distances. Strength 0 changes nothing but rounding. Own definition."""
+    if not 0 <= h <= 100 or patch % 2 == 0 or search % 2 == 0 or min(patch, search) < 1:
+        raise ValueError("the strength is within [0, 100], patch and search sizes are odd")
     if h == 0:
         return scanlines.select("image_id", "channel", "y", F.transform("v", lambda x: quantized(x).cast("double")).alias("v"))
     pr, sr = patch // 2, search // 2

@@ -41,8 +41,8 @@ def _unpacked(parts: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(parts.to_pylist()), np.complex128).reshape(len(parts), -1)
 
 
-def fft2(scanlines: DataFrame, norm: str | None = None) -> DataFrame:
-    """2-D DFT of each plane, DC at (0, 0); ``norm`` as in NumPy (None or "ortho").
+def fft2(scanlines: DataFrame, norm: str | None = None, center: bool = False) -> DataFrame:
+    """2-D DFT of each plane, DC at (0, 0); ``norm`` as in NumPy (None or "ortho"). With ``center`` the plane loses its mean, which is all that DC holds.
 
     Lines are transformed where they are and cut into blocks of ``COLUMNS`` columns. One shuffle brings a block's lines together, and a task transforms one block of a plane at a time.
     """
@@ -62,7 +62,10 @@ def fft2(scanlines: DataFrame, norm: str | None = None) -> DataFrame:
     def down(group: pa.RecordBatch) -> list[pa.RecordBatch]:
         s = np.fft.fft(_unpacked(group.column("part")), axis=0, norm=norm)
         ky, kx = np.indices(s.shape, dtype=np.int32)
-        kx += group.column("block")[0].as_py() * COLUMNS
+        block = group.column("block")[0].as_py()
+        kx += block * COLUMNS
+        if center and block == 0:
+            s[0, 0] = 0
         columns = [repeated(group, "image_id", s.size), repeated(group, "channel", s.size), *(pa.array(x.ravel()) for x in (ky, kx, s.real, s.imag))]
         return [pa.record_batch(columns, names=[*BIN, "re", "im"])]
 
@@ -243,6 +246,11 @@ def _quantised_pairs(scanlines: DataFrame, shape: DataFrame) -> tuple[DataFrame,
     return q, stored(half_plane(fft2(q, norm="ortho"), shape), "pairs")
 
 
+def _check_levels(levels: tuple[float, ...]) -> None:
+    if not levels or not all(0 < x <= 100 for x in levels):
+        raise ValueError("an energy level is greater than 0 and at most 100")
+
+
 def _single(kept: DataFrame) -> DataFrame:
     return kept.withColumns({c: F.col(c).cast("float") for c in ("re", "im")})
 
@@ -252,6 +260,7 @@ def fourier_compress(scanlines: DataFrame, percent: float = 99.0) -> tuple[DataF
 
     stats: ``image_id, channel, retained_percent, kept, total`` (coefficients, a pair counting two; 100 percent where there is no energy). The transform runs once.
     """
+    _check_levels((percent,))
     _, pairs = _quantised_pairs(scanlines, _plane_shapes(scanlines))
     kept = prune_energy(pairs, percent)
     return _single(kept).select("image_id", "channel", "idx", "re", "im"), fourier_stats(pairs, kept)
@@ -366,6 +375,7 @@ def rate_distortion(scanlines: DataFrame, levels: tuple[float, ...] = (90.0, 99.
 
     There is one transform, whose pairs are stored, and one ranking by buckets that all levels cut; its result is stored as well. The way back runs once a level.
     """
+    _check_levels(levels)
     shape, out = _plane_shapes(scanlines), None
     q, pairs = _quantised_pairs(scanlines, shape)
     totals = pairs.groupBy("image_id").agg(F.sum("weight").alias("total"))

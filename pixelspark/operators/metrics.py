@@ -141,3 +141,14 @@ def area_resize(samples: DataFrame, max_side: int = 128) -> DataFrame:
     s = s.withColumn("ty", F.explode(cover("y", "height", "th"))).withColumn("tx", F.explode(cover("x", "width", "tw")))
     s = s.withColumn("w", (part("y", "height", "th", "ty") * part("x", "width", "tw", "tx")).cast("double"))
     return s.groupBy("image_id", "channel", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
+
+
+def spectrum_previews(samples: DataFrame, max_side: int = 128, center: bool = False) -> DataFrame:
+    """Thumbnails for spectra on one scale: ``image_id, channel, y, x, v, bound``. With ``center`` every plane loses its mean; ``bound``, shared by an image's planes, is the greatest sum of absolute values of a plane, 1 at least."""
+    from .channels import remove_mean
+
+    t = area_resize(samples, max_side)
+    if center:
+        t = remove_mean(t)
+    sums = t.groupBy("image_id", "channel").agg(F.sum(F.abs("v")).alias("s")).groupBy("image_id").agg(F.greatest(F.lit(1.0), F.max("s")).alias("bound"))
+    return t.join(sums, "image_id").select(*CELL, "v", "bound")

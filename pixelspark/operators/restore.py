@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized
-from ..sources.images import to_samples, to_scanlines
+from ..sources.images import split_valid, to_samples, to_scanlines
 from .channels import lab8_to_rgb, merge_channels, quantize, rgb_to_lab8, split_channels, to_gray8
 from .filters import nl_means
 from .frequency import remove_periodic_lines
@@ -117,6 +117,8 @@ def remove_scratches(pixels: DataFrame, threshold: int = 30, size: int = 11, dar
 
 
 def remove_stripes(pixels: DataFrame, threshold: int = 5, strength: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
+    if not 1 <= threshold <= 100 or not 0 <= strength <= 1:
+        raise ValueError("the threshold is from 1 to 100 and the strength within [0, 1]")
     q = quantize(pixels)
     good, mask, bad = _gated(q, white_stripe_mask(to_gray8(q), threshold), 0.35, "stripe mask covers over 35 percent")
     both = good.join(inpaint(good, mask).withColumnsRenamed({c: f"n{c}" for c in "rgb"}), PIXEL)
@@ -127,15 +129,19 @@ def restore_photo(
     pixels: DataFrame, *, lines: bool = False, line_mode: str = "stripes", line_threshold: int = 5, line_strength: float = 0.8, period: float = 12.0, scratches: bool = False, scratch_threshold: int = 30, scratch_size: int = 11,
     repair_dark: bool = False, denoise: bool = False, noise_strength: float = 7.0, tint: bool = False, tint_strength: float = 0.6, contrast: bool = False, contrast_strength: float = 0.6,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``(pixels, mask, rejected)``: lines, scratches, noise, tint, contrast, in this order, each only if asked for."""
+    """``(pixels, mask, rejected)``: lines, scratches, noise, tint, contrast, in this order, each only if asked for.
+
+    Images that are incomplete, not finite or of more than four million pixels go to ``rejected`` before any work on them.
+    """
     if not all(0 <= s <= 1 for s in (line_strength, tint_strength, contrast_strength)) or not 0 <= noise_strength <= 20 or period < 2:
         raise ValueError("strengths are within [0, 1], noise within [0, 20], the period at least 2")
     if not 1 <= scratch_threshold <= 255 or scratch_size not in (3, 5, 7, 11, 15, 21) or line_mode not in ("stripes", "periodic") or not 1 <= line_threshold <= 100:
         raise ValueError("invalid scratch or line settings")
-    work = quantize(pixels)
+    sound, broken = split_valid(pixels)
+    work = quantize(sound)
     spark = work.sparkSession
     mask = spark.createDataFrame([], "image_id long, y int, x int")
-    bad = spark.createDataFrame([], "image_id long, error string")
+    bad = broken
     through = lambda f: merge_channels(to_samples(f(to_scanlines(split_channels(work).withColumn("v", F.col("v").cast("double"))))))
     if lines and line_mode == "stripes":
         work, found, lost = remove_stripes(work, line_threshold, line_strength)

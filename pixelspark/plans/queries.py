@@ -5,6 +5,7 @@ Filters, morphology, noise and colours run on event images (16 x 16), transforms
 
 from __future__ import annotations
 
+import struct
 import uuid
 from collections.abc import Callable
 
@@ -109,9 +110,13 @@ def s8_validate_images(spark, d):
     return im.validate_images(ev(spark, d), 0.0, 250.0)
 
 
-@query()
+#: Header of a 16 x 16 bitmap of 24 bits and 2,835 pixels a metre.
+BMP_HEAD = struct.pack("<2sIHHIIiiHHIIiiII", b"BM", 822, 0, 0, 54, 40, 16, 16, 1, 24, 0, 768, 2835, 2835, 0, 0).hex().upper()
+
+
+@query(f"{PX} select image_id, '{BMP_HEAD}' || string_agg(printf('%02X%02X%02X', trunc(b)::int, trunc(g)::int, trunc(r)::int), '' order by y desc, x) bmp from px group by 1")
 def s6_encode_bmp(spark, d):
-    return im.encode_bmp(ev(spark, d))
+    return im.encode_bmp(ev(spark, d)).withColumn("bmp", F.hex("bmp"))
 
 
 @query(f"{S1} select image_id, channel, y, list(v order by x) v from s1 group by all")
@@ -294,6 +299,12 @@ def j4_area_resize(spark, d):
     return me.area_resize(im.to_samples(fx.document_scanlines(spark, d)), 16).withColumn("v", F.floor(F.col("v") * 10000 + 0.5) / 10000)
 
 
+@query(f"""{S2}, t as (select image_id, channel, y//2 y, x//2 x, avg(v) v from s2 group by all), c as (select *, v - avg(v) over (partition by image_id, channel) d from t), b as (select image_id, max(s) s from (select image_id, channel, sum(abs(d)) s from c group by all) group by 1)
+  select c.image_id, channel, y::int y, x::int x, round(d, 4) + 0.0 v, round(greatest(1, s), 4) + 0.0 bound from c join b using (image_id)""")
+def j4_spectrum_previews(spark, d):
+    return rounded(me.spectrum_previews(emb(spark, d), 4, center=True), "v", "bound")
+
+
 @query("select doc_id image_id, sha256(text || '|blur:5') job_key from documents where sha256(text || '|blur:5') not in (select sha256(text || '|blur:5') from documents where doc_id % 3 = 0)")
 def j5_dedupe_jobs(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("image_id"), F.encode("text", "UTF-8").alias("data"))

@@ -106,6 +106,12 @@ def validate_images(pixels: DataFrame, low: float | None = None, high: float | N
     return agg.withColumn("error", error).select("image_id", "height", "width", "n_px", F.col("error").isNull().alias("valid"), "error")
 
 
+def split_valid(pixels: DataFrame, low: float | None = None, high: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(pixels of sound images, quarantine)`` after ``validate_images``; quarantine: ``image_id, error``."""
+    bad = validate_images(pixels, low, high).filter("not valid").select("image_id", "error")
+    return pixels.join(bad, "image_id", "left_anti"), bad
+
+
 def encode_bmp(pixels: DataFrame) -> DataFrame:
     """``image_id, bmp``: 24-bit BMP, rows from the bottom, padded to four bytes, behind a header of 54 bytes. Values are clipped and truncated."""
     shown = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), F.col(c))).cast("int")

@@ -37,11 +37,20 @@ def stream_spectrum(scanlines: DataFrame, height: int) -> DataFrame:
     return d.groupBy("image_id", "channel", "ky", "kx").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
 
 
-def stream_reconstruct(spectrum: DataFrame, height: int, width: int) -> DataFrame:
-    """Running inverse: arriving bins ``ky, kx, re, im`` add their wave to every pixel; exact once all have come."""
-    d = spectrum.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    a = 2 * math.pi * ((F.col("ky") * F.col("y") % height) / height + (F.col("kx") * F.col("x") % width) / width)
-    return d.groupBy("image_id", "channel", "y", "x").agg((F.sum(F.col("re") * F.cos(a) - F.col("im") * F.sin(a)) / (height * width)).alias("v"))
+def stream_reconstruct(rows: DataFrame, height: int, width: int) -> DataFrame:
+    """Running inverse from arriving spectrum rows ``image_id, channel, ky, re, im`` (arrays over kx): exact once all have come, in any order.
+
+    A row is inverted along x once; each of its ``width`` values is then turned along y and added to the ``height`` pixels of its column, so a row makes height * width additions, not
+    width times as many.
+    """
+
+    @F.pandas_udf("array<struct<re:double,im:double>>")
+    def inverse(re: pd.Series, im: pd.Series) -> pd.Series:
+        return pd.Series([[{"re": c.real, "im": c.imag} for c in np.fft.ifft(np.asarray(a, float) + 1j * np.asarray(b, float), n=width)] for a, b in zip(re, im, strict=True)])
+
+    d = rows.select("image_id", "channel", "ky", F.posexplode(inverse("re", "im")).alias("x", "c"))
+    d = d.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("a", 2 * math.pi / height * (F.col("ky") * F.col("y") % height))
+    return d.groupBy("image_id", "channel", "y", "x").agg((F.sum(F.col("c.re") * F.cos("a") - F.col("c.im") * F.sin("a")) / height).alias("v"))
 
 
 def stream_progress(rows: DataFrame, height: int, watermark: tuple[str, str] | None = None) -> DataFrame:

@@ -79,7 +79,11 @@ def t2_stream_spectrum(spark: SparkSession, d: str) -> DataFrame:
 def t3_stream_reconstruct(spark: SparkSession, d: str) -> DataFrame:
     folder = _folder(spark)
     spectrum = acc.run_to_end(acc.stream_spectrum(_embedding_lines(spark, d), 8), folder)
-    arriving = spark.readStream.schema(spectrum.schema).parquet(f"{folder}/result")
+    bins = F.array_sort(F.collect_list(F.struct("kx", "re", "im")))
+    part = lambda name: F.transform("bins", lambda b: b[name]).alias(name)
+    rows = spectrum.groupBy("image_id", "channel", "ky").agg(bins.alias("bins")).select("image_id", "channel", "ky", part("re"), part("im"))
+    rows.repartitionByRange(4, "ky").write.parquet(f"{folder}/rows")  # low frequencies first
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/rows")
     return rounded(acc.run_to_end(acc.stream_reconstruct(arriving, 8, 8), _folder(spark)), "v")
 
 

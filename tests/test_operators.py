@@ -480,3 +480,29 @@ def test_running_median_equals_sorting_each_window():
     for b, size in ((rng.integers(0, 256, (23, 40)).astype(float), 5), (rng.integers(0, 3, (14, 12)).astype(float), 11), (rng.normal(size=(40, 60)), 7), (np.full((11, 11), 4.0), 11)):
         view = np.lib.stride_tricks.sliding_window_view(b, (size, size))
         assert np.array_equal(fi.running_median(b, size), np.median(view, axis=(2, 3)))
+
+
+def test_centred_transforms_and_previews(spark):
+    arrays, pixels = images(spark, 21, [(9, 70)])
+    lines = im.to_scanlines(ch.split_channels(pixels))
+    got = np.zeros((9, 70), complex)
+    for r in fr.fft2(lines, center=True).filter("channel = 'G'").collect():
+        got[r.ky, r.kx] = complex(r.re, r.im)
+    g = arrays[0][:, :, 1]
+    assert np.allclose(got, np.fft.fft2(g - g.mean()), atol=1e-8)
+    rows = me.spectrum_previews(ch.split_channels(pixels), 35, center=True).collect()
+    sums = {c: sum(abs(r.v) for r in rows if r.channel == c) for c in "RGB"}
+    assert all(abs(sum(r.v for r in rows if r.channel == c)) < 1e-6 for c in "RGB") and {round(r.bound, 6) for r in rows} == {round(max(sums.values()), 6)}
+
+
+def test_broken_images_are_rejected_before_restoration(spark):
+    flat = [(i, y, x, 90.0, 120.0, 60.0) for i in range(3) for y in range(12) for x in range(12)]
+    broken = [r for r in flat if r[:3] != (1, 3, 3)]  # one pixel short
+    broken = [(*r[:3], float("nan"), *r[4:]) if r[:3] == (2, 5, 5) else r for r in broken]
+    fixed, _, bad = re_.restore_photo(spark.createDataFrame(broken, "image_id long, y int, x int, r double, g double, b double"), tint=True)
+    assert {(r.image_id, r.error) for r in bad.collect()} == {(1, "incomplete"), (2, "not finite")}
+    assert {r.image_id for r in fixed.collect()} == {0} and fixed.count() == 144
+    pixels = spark.createDataFrame(flat, "image_id long, y int, x int, r double, g double, b double")
+    for call in (lambda: re_.remove_stripes(pixels, 0), lambda: re_.remove_stripes(pixels, 5, 1.5), lambda: re_.inpaint(pixels, pixels, 0), lambda: fi.nl_means(pixels, -1.0), lambda: fr.fourier_compress(pixels, 0.0), lambda: fr.rate_distortion(pixels, ())):
+        with pytest.raises(ValueError):
+            call()
