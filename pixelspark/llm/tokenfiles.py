@@ -64,9 +64,9 @@ class Encoder:
     With ``special_as_text`` the strings of special tokens are ordinary text.
     """
 
-    LIMIT = 800_000
+    LIMIT = 350_000
     #: Characters of text that are encoded together, or one longer text.
-    TOGETHER = 4_000_000
+    TOGETHER = 2_000_000
 
     def __init__(self, path: str, end_id: int | None, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
