@@ -166,13 +166,8 @@ def _with_chosen(rows: DataFrame, times: DataFrame) -> DataFrame:
     return rows.join(times.filter("cut is null"), ["_key", "_block"]).withColumn("chosen", F.lit(False)).unionByName(partial)
 
 
-def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row for each document: ``doc_id, size, source_size, target, taken, shards``.
-
-    ``shards`` are the numbers of the output shards that the splitting tree deals the document to, ascending and joined by commas, one for each time it is taken.
-    Null, empty and white-space texts have size 0 and taken 0; a null source is a source of its own, ordered last. Repeated rows are counted as often as they occur.
-    An empty table gives no rows. Other columns are not used.
-    """
+def _dealt_rows(docs: DataFrame, share: float, cap: float, weights: tuple[int, ...], seed: int, words_per_shard: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """The rows of ``mix_report`` with their source's key."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
     sizes = materialize(d.select("doc_id", "size", *_keyed(d, "doc_id", "source")), "sizes")
     blocks, placed = _plan(sizes, share, cap, weights, seed, words_per_shard)
@@ -182,7 +177,25 @@ def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: t
     taken = F.col("size") * (F.coalesce("whole", F.lit(0)) + F.col("chosen").cast("long"))
     shards = F.array_join(F.when(F.col("chosen"), F.array_sort(F.concat("dealt", F.array("last")))).otherwise(F.col("dealt")), ",")
     shards = F.when((F.col("size") > 0) & F.col("dealt").isNotNull(), shards).otherwise(F.lit(""))
-    return _with_chosen(sizes, times).select("doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
+    return _with_chosen(sizes, times).select("_key", "doc_id", "size", "source_size", "target", taken.alias("taken"), shards.alias("shards"))
+
+
+def mix_report(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row for each document: ``doc_id, size, source_size, target, taken, shards``.
+
+    ``shards`` are the numbers of the output shards that the splitting tree deals the document to, ascending and joined by commas, one for each time it is taken.
+    Null, empty and white-space texts have size 0 and taken 0; a null source is a source of its own, ordered last. Repeated rows are counted as often as they occur.
+    An empty table gives no rows. Other columns are not used.
+    """
+    return _dealt_rows(docs, share, cap, weights, seed, words_per_shard, id_col, text_col, source_col).drop("_key")
+
+
+def shard_counts(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """``source, shard, documents, words``: the times that documents of a source are taken in an output shard, and their words. Repeated rows and null ids count as in ``mix_report``; shards that take nothing of a source have no row."""
+    rows = _dealt_rows(docs, share, cap, weights, seed, words_per_shard, id_col, text_col, source_col).filter("shards <> ''")
+    source = F.when(F.col("_key") != "n", F.substring("_key", 2, (1 << 31) - 1)).alias("source")
+    each = rows.select(source, "size", F.explode(F.split("shards", ",").cast("array<int>")).alias("shard"))
+    return each.groupBy("source", "shard").agg(F.count("*").alias("documents"), F.sum("size").alias("words"))
 
 
 def mix(docs: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 0, words_per_shard: int = SHARD_WORDS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

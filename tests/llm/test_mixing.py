@@ -114,3 +114,27 @@ def test_shards_of_a_document_are_those_the_tree_dealt_its_blocks_to(spark):
     assert len(copies) > 32
     mixed = mixing.mix(df).withColumn("part", F.spark_partition_id()).groupBy("part").count().collect()
     assert sum(r["count"] for r in mixed) == sum(copies.values())
+
+
+def test_counts_of_shards_are_those_of_the_report(spark):
+    rows = [(i, f"s{i % 3}" if i % 7 else None, "w " * (i * 37 % 23)) for i in range(300)] + [(None, "s2", "a b"), (5, "s2", "twin row"), (5, "s2", "twin row"), (6, "n", "word")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    sources, want = {}, Counter()
+    for i, s, t in rows:
+        sources.setdefault((i, len(t.split())), s)
+    for r in mixing.mix_report(df).collect():
+        for x in filter(None, r.shards.split(",")):
+            want[sources[r.doc_id, r["size"]], int(x), "documents"] += 1
+            want[sources[r.doc_id, r["size"]], int(x), "words"] += r["size"]
+    got = mixing.shard_counts(df)
+    assert got.dtypes == [("source", "string"), ("shard", "int"), ("documents", "bigint"), ("words", "bigint")]
+    assert {(r.source, r.shard, k): r[k] for r in got.collect() for k in ("documents", "words")} == want
+    assert mixing.shard_counts(df.limit(0)).count() == 0
+
+
+def test_the_registered_query_of_shards_runs(spark, tmp_path):
+    from pixelspark.llm.queries import QUERIES
+
+    spark.createDataFrame([(i, "a", "two words") for i in range(100)], "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["mixing_shards"](spark, str(tmp_path)).collect()
+    assert sum(r.words for r in got) == 2 * sum(r.documents for r in got) == 300
