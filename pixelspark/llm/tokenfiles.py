@@ -21,6 +21,7 @@ import sys
 import uuid
 import zlib
 from array import array
+from codecs import charmap_decode
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -41,13 +42,24 @@ _CUT = re.compile(r"(?<=\S) (?=\S)")
 _UNEVEN = r"[\s\x0b\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]{2}|\x01"
 #: A run of ASCII marks behind a Latin letter, at the end of a cut, is a piece of its own.
 _MARKED = re.compile(r"(.*[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])([!-/:-@\[-`{-~]+)", re.DOTALL)
-_LETTERS = re.compile(r" ?[A-Za-z]+")
+#: The same before a cut, for RE2.
+_MARKED_CUT = r"([A-Za-z\x{00c0}-\x{00d6}\x{00d8}-\x{00f6}\x{00f8}-\x{024f}])([!-/:-@\[-`{-~]+)(\x01|$)"
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+#: One piece.
+_LETTERS = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The character that stands for each byte in byte-level form.
+_BYTE_LEVEL = "".join(chr(b) if b in _SHOWN else chr(256 + b - sum(x < b for x in _SHOWN)) for b in range(256))
 
 
-def cut(column: pa.Array) -> tuple[pa.Array, pa.ListArray]:
-    """Which texts are uneven (two white characters meet), and the cuts of the others: before each space and around each line end. An uneven text has one empty cut."""
+def cut(column: pa.Array, marks: bool = False) -> tuple[pa.Array, pa.ListArray]:
+    """Which texts are uneven (two white characters meet), and the cuts of the others: before each space and around each line end. An uneven text has one empty cut.
+
+    With ``marks``, marks that end a cut behind a letter are a cut of their own, so that there are fewer distinct ones.
+    """
     uneven = pc.match_substring_regex(column, _UNEVEN)
     marked = pc.replace_substring(pc.replace_substring(pc.if_else(uneven, "", column), " ", "\x01 "), "\n", "\x01\n\x01")
+    if marks:
+        marked = pc.replace_substring_regex(marked, _MARKED_CUT, "\\1\x01\\2\\3")
     return uneven, pc.split_pattern(marked, "\x01")
 
 
@@ -58,15 +70,15 @@ def cut_uneven(text: str) -> list[str]:
 
 
 class Encoder:
-    """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts and starts anew beyond that.
+    """Texts -> ids as bytes; remembers at most about ``LIMIT`` cuts, and beyond that those of the latest texts only, among them the frequent ones.
 
     A tokenizer that is not a plain byte-level one gets whole texts, and so does any tokenizer a text that holds one of its added tokens.
     With ``special_as_text`` the strings of special tokens are ordinary text.
     """
 
-    LIMIT = 350_000
+    LIMIT = 200_000
     #: Characters of text that are encoded together, or one longer text.
-    TOGETHER = 2_000_000
+    TOGETHER = 1_000_000
 
     def __init__(self, path: str, end_id: int | None, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -102,11 +114,12 @@ class Encoder:
             done = dict(zip(whole, self._whole([texts[i] for i in whole]), strict=True))
             rest = iter(self._encode([t for i, t in enumerate(texts) if i not in done]))
             return [done[i] if i in done else next(rest) for i in range(len(texts))]
-        uneven, pieces = cut(pa.array(texts, pa.large_string()))
+        uneven, pieces = cut(pa.array(texts, pa.large_string()), marks=True)
         coded = pieces.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        ids = self._ids(distinct)
         if len(self.known) > self.LIMIT:
-            self.known.clear()
-        ids = self._ids(coded.dictionary.to_pylist())
+            self.known = dict(zip(distinct, ids, strict=True))
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // self.dtype.itemsize
         starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(ids), self.dtype)
         each = coded.indices.to_numpy()
@@ -123,16 +136,20 @@ class Encoder:
         return [np.array(e.ids, self.dtype).tobytes() + self.end for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _ids(self, cuts: list[str]) -> list[bytes]:
-        new = set(cuts).difference(self.known)
-        marked = [(u, *m.groups()) for u in new if (m := _MARKED.fullmatch(u))]
-        parts = (new.difference(u for u, _, _ in marked)).union(*((x, y) for _, x, y in marked)).difference(self.known)
-        rest = []
+        new, words, rest = set(cuts).difference(self.known), [], []
+        marked = [(u, *m.groups()) for u in new if not u[-1:].isalnum() and (m := _MARKED.fullmatch(u))]
+        if marked:
+            new = new.difference(u for u, _, _ in marked).union(*((x, y) for _, x, y in marked)).difference(self.known)
+        for u in new:
+            (words if _LETTERS.fullmatch(u) else rest).append(u)
         tokenize = self.tokenizer.model.tokenize
-        for u in parts:
-            if _LETTERS.fullmatch(u):  # one piece, whose byte-level form is itself but for the space
-                self.known[u] = array(self.code, [t.id for t in tokenize(u.replace(" ", "\u0120"))]).tobytes()
-            else:
-                rest.append(u)
+        for lo in range(0, len(words), 20_000):
+            part, ids, ends = words[lo : lo + 20_000], [], [0]
+            for u in part:
+                ids += [t.id for t in tokenize(charmap_decode(u.encode(), "strict", _BYTE_LEVEL)[0])]
+                ends.append(len(ids))
+            raw, ends = np.array(ids, self.dtype).tobytes(), (np.array(ends) * self.dtype.itemsize).tolist()
+            self.known.update((u, raw[a:b]) for u, a, b in zip(part, ends[:-1], ends[1:], strict=True))
         for lo in range(0, len(rest), 20_000):
             part = rest[lo : lo + 20_000]
             for u, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
@@ -262,6 +279,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id
                 if writer.size >= max_file_mb << 20:
                     done.append((part, piece, path, *writer.close()))
                     writer, piece = None, piece + 1
+            pa.default_memory_pool().release_unused()
         if writer is not None:
             done.append((part, piece, path, *writer.close()))
         columns = list(zip(*done, strict=True)) or [[]] * 5

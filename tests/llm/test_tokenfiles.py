@@ -32,6 +32,22 @@ def test_added_tokens_inside_texts_keep_their_ids(text):
     assert got == [WHOLE.encode(t, add_special_tokens=False).ids for t in (text, "plain text", text + " end")]
 
 
+@settings(max_examples=1000, deadline=None)
+@given(st.text(alphabet="aÀöɏ×÷.'!#s \n\x01", max_size=30))
+def test_marks_behind_letters_and_latin_words_give_the_ids_of_whole_texts(text):
+    got = np.frombuffer(next(CUTS.encode([text])), "<u2").tolist()
+    assert got == WHOLE.encode(text, add_special_tokens=False).ids
+
+
+def test_the_latest_words_stay_remembered_and_no_more_than_the_limit():
+    encoder = tf.Encoder(PATH, None)
+    encoder.LIMIT = 100
+    for k in range(4):
+        text = "common words, common words! " + " ".join("".join(chr(97 + int(c)) for c in str(i)) for i in range(1000 * k, 1000 * k + 90))
+        assert np.frombuffer(next(encoder.encode([text])), "<u2").tolist() == WHOLE.encode(text, add_special_tokens=False).ids
+        assert {" common", " words", "!"} <= set(encoder.known) and " words!" not in encoder.known and len(encoder.known) <= 100
+
+
 def test_round_trip(spark):
     rows = [(5, "x  y\n z"), (3, None), (None, "null id"), (4, ""), (3, "twin"), (9, "word " * 30_000), (3, "twin")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, start int")
