@@ -106,17 +106,13 @@ class ByteConv:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and its probability; ``("und", 0.0)`` for a text that is null or has no letter."""
         out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        use = [i for i, t in enumerate(texts) if t and self.langs and has_letter(t)]
-        for at in range(0, len(use), 256):
-            rows = use[at : at + 256]
-            cut = [windows(texts[i]) for i in rows]
-            z = self.logits(np.concatenate([c[0] for c in cut])) * np.concatenate([c[1] for c in cut])[:, None]
-            first = np.cumsum([0, *(len(c[0]) for c in cut)])[:-1]
-            mean = np.add.reduceat(z.astype(np.float64), first, axis=0) / np.array([c[1].sum() for c in cut])[:, None]
-            p = np.exp(mean - mean.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            for i, best, score in zip(rows, p.argmax(axis=1), p.max(axis=1), strict=True):
-                out[i] = (self.langs[best], min(1.0, float(score)))
+        for i, t in enumerate(texts):
+            if t and self.langs and has_letter(t):  # one text at a time: a matrix product's last bits depend on what else is in it
+                x, weight = windows(t)
+                z = (self.logits(x) * weight[:, None]).astype(np.float64).sum(axis=0) / weight.sum()
+                p = np.exp(z - z.max())
+                p /= p.sum()
+                out[i] = (self.langs[int(p.argmax())], min(1.0, float(p.max())))
         return out
 
 

@@ -136,3 +136,10 @@ def test_long_texts_ties_and_repeated_rows(spark):
     y = spark.createDataFrame([(i, int(i % 2)) for i in range(200)] + [(3, 0), (3, 0)], "doc_id long, quality int")
     scores = quality.quality_scores(d.drop("lang"), y).collect()
     assert len(scores) == len(rows) and all(np.isfinite(x.score) for x in scores)
+
+
+def test_a_text_scores_the_same_whatever_is_predicted_with_it():
+    r = np.random.default_rng(3)
+    texts = ["".join(r.choice(list("abcdefgh éß"), int(n))) + "a" for n in r.integers(1, 3000, 120)]
+    net = langid.ByteConv(["de", "en", "fr"])
+    assert net.predict(texts) == [net.predict([t])[0] for t in texts] == net.predict(texts[::-1])[::-1]
