@@ -2,7 +2,8 @@
 
 Tokens are a text's words and one end. Every training word has emissions of its own. Latent states are trained by Baum-Welch over all training texts: every task
 sums its expected counts by word and state, and the sums are added across partitions. Those of the ``KNOWN`` most frequent words reach the driver and go to every task;
-those of all rarer words stay a distributed table, which is joined to the texts that hold them in each round. Each word's counts get one token, shared among the states as all tokens
+those of all rarer words stay a distributed table. Texts form blocks of about ``TOGETHER`` tokens when their words are numbered; a rare word has a place in each block that holds it, and one row for each
+such place, the counts packed into bytes, goes to the block and back to the word in each round. Each word's counts get one token, shared among the states as all tokens
 are, so that the states' mean is (c + 1) / (N + V + 1). Only a word never seen in training is smoothed by a class, named by a hash of its last two bytes: it has 1 / (N + V + 1), weighted by
 how far the state's share of its class exceeds the state's share of all tokens. The score of a text is its exact log10 likelihood by the scaled forward recursion.
 
@@ -14,10 +15,13 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain, islice
 from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -72,33 +76,67 @@ class Vocabulary:
         self.counts = np.array([c for _, c in top], np.float64)
         self.log = np.log10(self.counts + 1)
 
-    def code(self, tokens: list[bytes]) -> tuple[np.ndarray, int, float, list[tuple[bytes, int]]]:
-        """Symbols, a word unknown here being its place in the last list after all known ones; tokens known here; their sum of log10(c + 1); unknown words with their numbers."""
-        n = np.fromiter((self.number.get(t, -1) for t in tokens), np.int64, len(tokens))
-        unknown = np.flatnonzero(n < 0)
-        rare = sorted(Counter(tokens[i] for i in unknown).items())
-        known = n[n >= 0]
-        if rare:
-            place = {w: len(self.words) + i for i, (w, _) in enumerate(rare)}
-            n[unknown] = [place[tokens[i]] for i in unknown]
-        return n, int((self.counts[known] > 0).sum()), float(self.log[known].sum()), rare
+    def numbers(self) -> Numbers:
+        return Numbers(self.number)
+
+
+class Numbers(dict):
+    """The numbers of known words; other words get the next ones as they are asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _squeezed(symbols: np.ndarray) -> bytes:
+    """Lower halves, then upper halves, which are mostly zeros."""
+    return pa.compress(symbols.astype("<u4").view("<u2").reshape(-1, 2).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _symbols(data: bytes, n: int) -> np.ndarray:
+    low, high = np.frombuffer(pa.decompress(data, decompressed_size=4 * n, codec="zstd"), "<u2").reshape(2, -1)
+    return low.astype(np.int64) + (high.astype(np.int64) << 16)
 
 
 def code_texts(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``docs(row, doc_id, held_out, text)`` -> the same without text, with ``n_tokens, n_known, log_known, symbols, rare``."""
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    """``docs(doc_id, held_out, text)`` -> the same without text, with ``block, n_tokens, n_known, log_known, symbols``; and for each block a row more whose ``rare`` has the block's unknown words
+    by their places. The texts of a block with an odd number are held out, no others are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, len(whole), 1000):
-                batch = whole.slice(at, 1000)
-                found = [vocabulary.code([*words(t.as_py()), END]) for t in batch.column("text")]
-                columns = [pa.array([len(f[0]) for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found])]
-                columns += [pa.array([f[0].astype("<u4").tobytes() for f in found], pa.binary()), pa.array([[{"word": w, "n": n} for w, n in f[3]] for f in found], rare_type)]
-                keep = ["row", "doc_id", "held_out"]
-                yield pa.record_batch([*(batch.column(c) for c in keep), *columns], names=[*keep, "n_tokens", "n_known", "log_known", "symbols", "rare"])
+        blocks, known = TaskContext.get().partitionId() << 32, len(vocabulary.words)
+        begun: dict[bool, list] = {}  # block, numbers, tokens
+        names = ["block", "held_out", "doc_id", "n_tokens", "n_known", "log_known", "symbols", "rare"]
+        kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.list_(pa.binary())]
+        counts, logs = np.append(vocabulary.counts > 0, False), np.append(vocabulary.log, 0.0)
 
-    return docs.mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, symbols binary, rare array<struct<word:binary,n:bigint>>")
+        def made(columns: list) -> pa.RecordBatch:
+            return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+        def ended(held_out: bool) -> pa.RecordBatch:
+            block, numbers, _ = begun.pop(held_out)
+            return made([[block], [held_out], *([None] for _ in range(5)), [list(islice(numbers, known, None))]])
+
+        for batch in batches:
+            for held_out in (False, True):
+                some = batch.filter(pa.compute.equal(batch.column("held_out"), held_out))
+                for at in range(0, len(some), 100):
+                    part = some.slice(at, 100)
+                    if held_out not in begun:
+                        begun[held_out], blocks = [2 * blocks + held_out, vocabulary.numbers(), 0], blocks + 1
+                    here = begun[held_out]
+                    tokens = [[*words(t), END] for t in part.column("text").to_pylist()]
+                    sizes = np.array([len(t) for t in tokens])
+                    symbols = np.fromiter(map(here[1].__getitem__, chain.from_iterable(tokens)), np.int64, sizes.sum())
+                    ends, of = np.cumsum(sizes), np.minimum(symbols, known)
+                    columns = [[here[0]] * len(part), part.column("held_out"), part.column("doc_id"), sizes, np.add.reduceat(counts[of], ends - sizes, dtype=np.int64), np.add.reduceat(logs[of], ends - sizes)]
+                    yield made([*columns, [_squeezed(x) for x in np.split(symbols, ends[:-1])], [None] * len(part)])
+                    here[2] += int(ends[-1])
+                    if here[2] >= TOGETHER:
+                        yield ended(held_out)
+        for held_out in list(begun):
+            yield ended(held_out)
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "block long, held_out boolean, doc_id long, n_tokens long, n_known long, log_known double, symbols binary, rare array<binary>")
 
 
 class Packed:
@@ -129,7 +167,7 @@ class Hmm:
 
     def forward(self, p: Packed, kind: type = np.float64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Scaled forward probabilities and scales at each place; log10 likelihood of each sequence in the given order. Scores take doubles, expected counts single precision."""
-        emit, move = self.emit.astype(kind)[p.symbol], self.move.astype(kind)
+        emit, move = np.take(self.emit.astype(kind, copy=False), p.symbol, axis=0), self.move.astype(kind)
         scale = np.empty(len(p.symbol), kind)
         alpha = emit  # overwritten step by step
         for t, n in enumerate(p.active.tolist()):
@@ -146,20 +184,37 @@ class Hmm:
 
     def expected(self, p: Packed, symbols: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected starts, moves and emissions of the sequences."""
-        alpha, scale, _ = self.forward(p, np.float32)
-        move = self.move.astype(np.float32)
-        weight = self.emit.astype(np.float32)[p.symbol] / scale[:, None]  # becomes emission * beta / scale
-        beta = np.ones_like(alpha)
-        for t in range(len(p.active) - 1, 0, -1):
-            a, n, before = int(p.offset[t]), int(p.active[t]), int(p.offset[t - 1])
-            weight[a : a + n] *= beta[a : a + n]
-            np.matmul(weight[a : a + n], move.T, out=beta[before : before + n])
-        gamma = alpha * beta
-        first = int(p.active[0])
-        previous = np.repeat(p.offset[:-2] - p.offset[1:-1], p.active[1:]) + np.arange(first, len(p.symbol)) if len(p.active) > 1 else np.empty(0, np.int64)
-        moves = self.move * (alpha[previous].T @ weight[first:])
-        emits = np.stack([np.bincount(p.symbol, gamma[:, k], symbols) for k in range(gamma.shape[1])], axis=1)
-        return gamma[:first].sum(axis=0, dtype=np.float64), moves.astype(np.float64), emits
+        kind, active, offset = np.float32, p.active.tolist(), p.offset.tolist()
+        start, move = self.start.astype(kind), self.move.astype(kind)
+        back, ones = np.ascontiguousarray(move.T), np.ones((len(move), 1), kind)
+        weight = np.take(self.emit.astype(kind, copy=False), p.symbol, axis=0)  # becomes emission * beta / scale
+        alpha, beta, scale = np.empty_like(weight), np.ones_like(weight), np.empty((len(weight), 1), kind)
+        for t, n in enumerate(active):
+            a, b = offset[t], offset[t] + n
+            now = alpha[a:b]
+            if t:
+                np.matmul(alpha[last : last + n], move, out=now)
+                now *= weight[a:b]
+            else:
+                np.multiply(weight[a:b], start, out=now)
+            np.matmul(now, ones, out=scale[a:b])
+            now /= scale[a:b]
+            last = a
+        weight /= scale
+        for t in range(len(active) - 1, 0, -1):
+            a, n, before = offset[t], active[t], offset[t - 1]
+            now = weight[a : a + n]
+            now *= beta[a : a + n]
+            np.matmul(now, back, out=beta[before : before + n])
+        first = active[0]
+        previous = np.repeat(p.offset[:-2] - p.offset[1:-1], p.active[1:]) + np.arange(first, len(p.symbol)) if len(active) > 1 else np.empty(0, np.int64)
+        moves = np.zeros(move.shape)
+        for at in range(0, len(previous), 1 << 17):
+            some = previous[at : at + (1 << 17)]
+            moves += np.take(alpha, some, axis=0).T @ weight[first + at : first + at + len(some)]
+        alpha *= beta  # the probability of each state
+        emits = np.stack([np.bincount(p.symbol, alpha[:, k], symbols) for k in range(alpha.shape[1])], axis=1)
+        return alpha[:first].sum(axis=0, dtype=np.float64), self.move * moves, emits
 
 
 class Emissions:
@@ -177,11 +232,11 @@ class Emissions:
     def of(self, counts: np.ndarray) -> np.ndarray:
         return (counts + self.share) / self.norm
 
-    def of_words(self, found: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Negative counts mark words never seen."""
+    def of_places(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Negative ids mark words never seen, and their classes."""
         out = self.of(counts)
-        for i in np.flatnonzero(counts[:, 0] < 0):
-            out[i] = self.unseen[_shared_class(found[i])]
+        unseen = ids < 0
+        out[unseen] = self.unseen[-1 - ids[unseen]]
         return out
 
 
@@ -190,89 +245,166 @@ def _first_shares(states: int, seed: int = 0) -> np.ndarray:
     return g / g.sum(axis=1, keepdims=True)
 
 
-def _together(batches: Iterator[pa.RecordBatch], known: int, states: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], pa.Array, np.ndarray]]:
-    """Slices of rows with at most about ``TOGETHER`` tokens; their symbols, each text's rare words after those of the texts before; these words and their counts by state."""
+def _packed(rows: np.ndarray) -> pa.Array:
+    """A row's counts as the bytes of single-precision numbers."""
+    width = rows.shape[1] * 4
+    data = pa.py_buffer(np.ascontiguousarray(rows, "<f4").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32).tobytes()), data])
+
+
+def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
+    rows = [np.empty((0, width), np.float32)]
+    for x in column.chunks:
+        _, ends, data = x.buffers()
+        if len(x):
+            rows.append(np.frombuffer(data, "<f4", len(x) * width, int(np.frombuffer(ends, np.int32)[x.offset])).reshape(-1, width))
+    return np.concatenate(rows)
+
+
+PLACES = "block long, slot int, id long, c long, counts binary"
+#: Known words whose sums share a row.
+SHELF = 256
+
+
+def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Rows in the order of ``key``, in tables that end where a batch's last key begins, or where the rows end; no key is in two of them."""
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        ends = np.cumsum([len(c) // 4 for c in batch.column("symbols").to_pylist()])
-        a = 0
-        while a < len(batch):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + TOGETHER, "right")))
-            part = batch.slice(a, b - a)
-            more, sequences, before = part.column("extra"), [], 0
-            for c, n in zip(part.column("symbols").to_pylist(), more.value_lengths().to_pylist(), strict=True):
-                x = np.frombuffer(c, "<u4").astype(np.int64)
-                sequences.append(np.where(x >= known, x + before, x))
-                before += n or 0
-            flat = more.flatten()
-            found, counts = flat.field("word"), np.stack([flat.field(f"s{k}").to_numpy(zero_copy_only=False) for k in range(states)], axis=1)
-            yield part, sequences, found, counts
-            a = b
-
-
-def _with_rare(coded: DataFrame, rare: DataFrame, table: DataFrame, states: int) -> DataFrame:
-    """``coded`` with ``extra``: the rare words of each row in order, with their counts by state from ``table(word, s0, ...)``, -1 where it has none."""
-    names = [f"s{k}" for k in range(states)]
-    extra = rare.join(table, "word", "left").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("word", *(F.coalesce(c, F.lit(-1.0)).alias(c) for c in names)))).alias("extra"))
-    fields = ",".join(f"{c}:double" for c in names)
-    return coded.join(extra, "row", "left").withColumn("extra", F.coalesce("extra", F.expr(f"cast(array() as array<struct<word:binary,{fields}>>)")))
-
-
-def _by_class(table: DataFrame, known: np.ndarray, vocabulary: Vocabulary) -> np.ndarray:
-    """Counts by class and state of the known words and of the distributed ``table``."""
-    out = np.zeros((SHARED, known.shape[1]))
-    np.add.at(out, [_shared_class(w) for w in vocabulary.words], known)
-    names = [f"s{k}" for k in range(known.shape[1])]
-    sums = table.groupBy((F.crc32(F.substring("word", -2, 2)) % SHARED).alias("class")).agg(*(F.sum(c).alias(c) for c in names)).toPandas()
-    out[sums["class"]] += sums[names].to_numpy()
-    return out
+        if len(batch):
+            keys = batch.column(key).to_numpy()
+            cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            if held and (cut or held[-1].column(key)[-1].as_py() != keys[-1]):
+                yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield pa.Table.from_batches([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[tuple[pa.Table, list[np.ndarray], pa.Table, np.ndarray, np.ndarray]]:
+    """For each block its texts, their symbols, its rare words' rows by place, these words' ids and counts by state."""
+    for run in _runs(batches, "block"):
+        of = run.column("block").to_numpy()
+        edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            table = run.slice(a, b - a)
+            n = len(table) - table.column("symbols").null_count  # texts have no place and come first
+            texts, rare = table.slice(0, n), table.slice(n).select(["block", "slot", "id", "c", "counts"])
+            sequences = [_symbols(x, k) for x, k in zip(texts.column("symbols").to_pylist(), texts.column("n_tokens").to_pylist(), strict=True)]
+            yield texts, sequences, rare, rare.column("id").to_numpy(), _unpacked(rare.column("counts"), states).astype(np.float64)
+
+
+def _at_blocks(texts: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
+    """Texts and rare words of a block together, the words in the order of their places."""
+    return texts.unionByName(places, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slot").coalesce(tasks)
+
+
+def _added(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[pa.RecordBatch]:
+    """Rows in the order of id -> the same, each with its id's sums; of ids below 0, whose rows belong to no block and hold a shelf each, one row."""
+    for run in _runs(batches, "id"):
+        below = int(np.searchsorted(run.column("id").to_numpy(), 0))
+        for part, width in ((run.slice(0, below), states * SHELF), (run.slice(below), states)):
+            if len(part):
+                ids = part.column("id").to_numpy()
+                at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+                sums = np.add.reduceat(_unpacked(part.column("counts"), width), at, axis=0, dtype=np.float64)
+                rest = part.drop_columns("counts")
+                if width == states:
+                    sums = sums[np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))]
+                else:
+                    rest = rest.take(pa.array(at))
+                yield _with_counts(rest, sums)
+
+
+def _with_counts(places: pa.Table, counts: np.ndarray) -> pa.RecordBatch:
+    places = places.combine_chunks()
+    return pa.record_batch([*(c.chunk(0) for c in places.columns), _packed(counts)], names=[*places.column_names, "counts"])
+
+
+def rare_places(coded: DataFrame, counts: DataFrame) -> DataFrame:
+    """``coded(block, rare)``, ``counts(word, c)`` -> a row for each rare word of a block: ``block, slot, id, c, start``. A word's id modulo ``SHARED`` is the class of its last bytes; of words never
+    seen the id is -1 - class and c is 0. start: the number of the disturbance it starts with."""
+    listed = coded.filter("rare is not null").select("block", F.posexplode("rare").alias("slot", "word"))
+    numbered = counts.withColumn("number", F.monotonically_increasing_id() * SHARED)
+    kind = (F.crc32(F.substring("word", -2, 2)) % SHARED).cast("long")
+    found = listed.join(numbered.hint("shuffle_hash"), "word", "left")
+    return found.select("block", "slot", F.coalesce(F.col("number") + kind, -1 - kind).alias("id"), F.coalesce("c", F.lit(0)).alias("c"), (F.crc32("word") % STARTS).cast("int").alias("start"))
+
+
+def _first_counts(places: DataFrame, shares: np.ndarray) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column("c").to_numpy()[:, None] * shares[b.column("start").to_numpy()]
+            yield pa.record_batch([*b.columns[:4], _packed(rows)], names=["block", "slot", "id", "c", "counts"])
 
+    return places.mapInArrow(run, PLACES)
 
-def baum_welch(coded: DataFrame, rare: DataFrame, counts: DataFrame, vocabulary: Vocabulary, distinct: int, states: int = STATES, rounds: int = ROUNDS) -> tuple[Hmm, DataFrame, Emissions]:
-    """Train on ``coded(row, symbols)`` and its ``rare(row, word)``; counts: training counts of words outside the vocabulary. -> the model with the known words' emissions, the rare words' counts by
-    state, and what makes emissions of them. Each round is one pass; counts are added across partitions by word."""
-    names, symbols = [f"s{k}" for k in range(states)], len(vocabulary.words)
-    shares = _first_shares(states)
+
+def _first_by_class(counts: DataFrame, shares: np.ndarray) -> np.ndarray:
+    """First counts of all words by class and state."""
+    names = [f"s{k}" for k in range(shares.shape[1])]
     start = counts.sparkSession.createDataFrame([(i, *map(float, x)) for i, x in enumerate(shares)], ", ".join(["place long", *(f"{c} double" for c in names)]))
-    table = counts.withColumn("place", F.crc32("word") % STARTS).join(F.broadcast(start), "place").select("word", *((F.col("c") * F.col(c)).alias(c) for c in names))
+    of = counts.select("c", (F.crc32("word") % STARTS).alias("place"), (F.crc32(F.substring("word", -2, 2)) % SHARED).alias("class")).join(F.broadcast(start), "place")
+    sums = of.groupBy("class").agg(*(F.sum(F.col("c") * F.col(c)).alias(c) for c in names)).toPandas()
+    out = np.zeros((SHARED, len(names)))
+    out[sums["class"]] = sums[names].to_numpy()
+    return out
+
+
+def baum_welch(coded: DataFrame, places: DataFrame, by_class: np.ndarray, vocabulary: Vocabulary, distinct: int, tasks: int, shares: np.ndarray, rounds: int = ROUNDS) -> tuple[Hmm, DataFrame, Emissions]:
+    """Train on ``coded(block, held_out, symbols)`` and its ``rare_places``, by_class being all words' first counts. -> the model with the known words' emissions, the rare words' counts by state at all
+    places of texts, held out or not, and what makes emissions of them. Each round is one pass; counts are added across partitions by word."""
+    states, symbols = shares.shape[1], len(vocabulary.words)
+    kinds = np.array([_shared_class(w) for w in vocabulary.words])
     known = vocabulary.counts[:, None] * shares[[zlib.crc32(w) % STARTS for w in vocabulary.words]]
     r = np.random.default_rng(1)
     starts, moves = np.full(states, 1 / states), r.dirichlet(np.full(states, 2.0), states) * 0.3 + np.eye(states) * 0.7
-    sums_before = None
+    trained = coded.filter("not held_out and symbols is not null").select("block", "n_tokens", "symbols")
+    others, table = places.filter("block % 2 = 1").drop("start"), _first_counts(places.filter("block % 2 = 0") if rounds else places, shares)
+    zero = F.lit(bytes(4 * states)).alias("counts")
+    before = None
     for n in range(rounds + 1):
-        emissions = Emissions(_by_class(table, known, vocabulary), distinct)
+        emissions = Emissions(by_class, distinct)
         model = Hmm(starts, moves, emissions.of(known))
         if n == rounds:
             return model, table, emissions
 
-        def run(batches: Iterator[pa.RecordBatch], model: Hmm = model, emissions: Emissions = emissions) -> Iterator[pa.RecordBatch]:
-            total = None
-
-            def out(places: np.ndarray, found: pa.Array, rows: np.ndarray) -> pa.RecordBatch:
-                return pa.record_batch([pa.array(places, pa.int32()), found, *(pa.array(rows[:, k]) for k in range(states))], names=["place", "word", *names])
-
-            for _, sequences, found, counts in _together(batches, symbols, states):
-                here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_words(found.to_pylist(), counts)]))
+        def run(batches: Iterator[pa.RecordBatch], model: Hmm = Hmm(starts, moves, model.emit.astype(np.float32)), emissions: Emissions = emissions) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((symbols + states + 1 + SHARED, states))  # a row for each known word, then each state's moves, the starts, the rare words by class
+            for _, sequences, rare, ids, counts in _blocks(batches, states):
+                here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_places(ids, counts).astype(np.float32)]))
                 begin, move, emit = here.expected(Packed(sequences), len(here.emit))
-                got = begin, move, emit[:symbols]
-                total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
-                if len(found):
-                    yield out(np.full(len(found), -1), found, emit[symbols:])
-            if total is not None:
-                rows = np.concatenate([total[2], total[1], total[0][None]])  # a row for each known word, then each state's moves, then the starts
-                some = np.flatnonzero(rows.any(axis=1))
-                yield out(some, pa.nulls(len(some), pa.binary()), rows[some])
-
-        joined = _with_rare(coded.select("row", "symbols"), rare, table, states)
-        sums = joined.mapInArrow(run, "place int, word binary, " + ", ".join(f"{c} double" for c in names)).groupBy("place", "word").agg(*(F.sum(c).alias(c) for c in names))
-        sums = materialize(sums, "expected-counts")
-        if sums_before is not None:
-            discard(sums_before)
-        sums_before = sums
-        table = sums.filter("place = -1").drop("place")
-        few = sums.filter("place >= 0").drop("word").toPandas()  # no more than the known words
-        rows = np.zeros((symbols + states + 1, states))
-        rows[few["place"]] = few[names]
-        known, moves, starts = rows[:symbols], rows[symbols:-1] + 1 / states, rows[-1] + 1 / states
+                total[:symbols] += emit[:symbols]
+                total[symbols : symbols + states] += move
+                total[symbols + states] += begin
+                np.add.at(total[symbols + states + 1 :], ids % SHARED, emit[symbols:])
+                if len(ids):
+                    yield _with_counts(rare.drop_columns("counts"), emit[symbols:])
+            total = np.concatenate([total, np.zeros((-len(total) % SHELF, states))]).reshape(-1, SHELF * states)
+            some = np.flatnonzero(total.any(axis=1))
+            if len(some):
+                task, no = TaskContext.get().partitionId(), np.zeros(len(some), np.int64)
+                yield _with_counts(pa.table({"block": no - 1, "slot": (no + task).astype(np.int32), "id": -1 - some, "c": no}), total[some])
+
+        found = materialize(_at_blocks(trained, table, tasks).mapInArrow(run, PLACES), "block-counts", "zstd")
+        if before is not None:
+            discard(before)
+        rows = found
+        if n == rounds - 1:  # the texts held out need the sums as well
+            rows = found.union(others.filter("id >= 0").select("block", "slot", "id", "c", zero))
+        before = sums = materialize(rows.repartition("id").sortWithinPartitions("id", "block", "slot").mapInArrow(lambda batches: _added(batches, states), PLACES), "expected-counts", "zstd")
+        discard(found)
+        table = sums.filter("block >= 0")
+        if n == rounds - 1:
+            table = table.union(others.filter("id < 0").select("block", "slot", "id", "c", zero))
+        few = sums.filter("block < 0").select("id", "counts").toArrow()  # no more than the known words
+        rows = np.zeros((-(-(symbols + states + 1 + SHARED) // SHELF), SHELF * states))
+        rows[-1 - few.column("id").to_numpy()] = _unpacked(few.column("counts"), states * SHELF)
+        rows = rows.reshape(-1, states)[: symbols + states + 1 + SHARED]
+        known, moves, starts, by_class = rows[:symbols], rows[symbols : symbols + states] + 1 / states, rows[symbols + states] + 1 / states, rows[symbols + states + 1 :]
+        np.add.at(by_class, kinds, known)
         starts, moves = starts / starts.sum(), moves / moves.sum(axis=1, keepdims=True)
 
 
@@ -284,31 +416,34 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", held_out_rows(F.col("doc_id")))
-    counts = materialize(token_counts(d.filter("not held_out")), "token-counts")
+    counts = materialize(token_counts(d.filter("not held_out")), "token-counts", "zstd")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     is_end = F.col("word") == F.lit(END)
     ends = counts.filter(is_end).first()
-    top = [(bytes(r.word), r.c) for r in counts.filter(~is_end).orderBy(F.desc("c"), "word").limit(known).collect()]  # at most ``known`` words
+    top = counts.filter(~is_end).orderBy(F.desc("c"), "word").limit(known).toArrow()  # at most ``known`` words
+    top = list(zip(top.column("word").to_pylist(), top.column("c").to_pylist(), strict=True))
     top.append((END, ends.c if ends else 0))
     vocabulary = Vocabulary(top)
-    coded = materialize(code_texts(d.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", "held_out", "text"), vocabulary), "coded")
-    rare = coded.select("row", "held_out", F.explode("rare").alias("r")).select("row", "held_out", "r.word", "r.n")
-    coded = coded.drop("rare")
-    outside = counts.join(F.broadcast(counts.sparkSession.createDataFrame([(w,) for w in vocabulary.words], "word binary")), "word", "left_anti")
-    model, table, emissions = baum_welch(coded.filter("not held_out"), rare.filter("not held_out").select("row", "word"), outside, vocabulary, distinct, states, rounds)
+    # The known words' sums are a row for each task and word, so tasks have several blocks.
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, int(total) // (4 * TOGETHER))
+    coded = materialize(code_texts(d.coalesce(4 * tasks), vocabulary), "coded", "zstd")
+    shares = _first_shares(states)
+    by_class = _first_by_class(counts, shares)
+    places = materialize(rare_places(coded, counts), "rare-places", "zstd")
+    discard(counts)
+    model, table, emissions = baum_welch(coded, places, by_class, vocabulary, distinct, tasks, shares, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, sequences, found, by_state in _together(batches, len(vocabulary.words), states):
-            here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_words(found.to_pylist(), by_state)]))
-            keep = [n for n in part.schema.names if n not in ("symbols", "extra")]
-            yield pa.record_batch([*(part.column(c) for c in keep), pa.array(here.forward(Packed(sequences))[2])], names=[*keep, "score"])
-
-    scored = _with_rare(coded, rare.select("row", "word"), table, states).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, log_known double, score double")
-    seen = rare.select("row", "word", "n").join(counts, "word")
-    seen = seen.groupBy("row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more"), F.sum("n").alias("also"))
-    out = scored.join(seen, "row", "left")
-    more = F.coalesce("more", F.lit(0.0))
-    return out.select(
-        "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("log_known") + more - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"), "score",
-    )
+        for texts, sequences, rare, ids, by_state in _blocks(batches, states):
+            here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_places(ids, by_state)]))
+            c = rare.column("c").to_numpy()
+            also, more = np.zeros(len(sequences), np.int64), np.zeros(len(sequences))
+            for i, x in enumerate(sequences):
+                of = c[x[x >= len(vocabulary.words)] - len(vocabulary.words)]
+                also[i], more[i] = (of > 0).sum(), np.log10(of + 1).sum()
+            texts = texts.select(["doc_id", "held_out", "n_tokens", "n_known", "log_known"]).combine_chunks()
+            columns = [pa.array(texts.column("n_known").to_numpy() + also), pa.array(texts.column("log_known").to_numpy() + more), pa.array(here.forward(Packed(sequences))[2])]
+            yield pa.record_batch([*(texts.column(k).chunk(0) for k in range(3)), *columns], names=["doc_id", "held_out", "n_tokens", "n_known", "log_sum", "score"])
+
+    scored = _at_blocks(coded.filter("symbols is not null").drop("rare"), table, tasks).mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, log_sum double, score double")
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("log_sum") - F.col("n_tokens") * F.lit(log10(total + distinct + 1))).alias("base_score"), "score")

@@ -6,6 +6,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pixelspark.llm import hmm
 
@@ -73,3 +74,23 @@ def test_the_end_counts_though_other_words_are_more_frequent(spark):
         w = [*hmm.words(t), b""]
         assert got[i].n_known == sum(count[x] > 0 for x in w) and abs(got[i].base_score - sum(log10((count[x] + 1) / (n + v + 1)) for x in w)) < 1e-6 * len(w)
         assert np.isfinite(got[i].score)
+
+
+def test_a_rare_word_has_one_row_for_each_block_that_holds_it(spark, monkeypatch):
+    monkeypatch.setattr(hmm, "TOGETHER", 400)
+    rows = [(i, " ".join(["many", "words"] * 10 + [f"rare{i // 3}"] * 4)) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("held_out", hmm.held_out_rows(F.col("doc_id"))).coalesce(1).cache()
+    counts = hmm.token_counts(df.filter("not held_out"))
+    vocabulary = hmm.Vocabulary([(b"many", 1), (b"words", 1), (b"", 1)])
+    coded = hmm.code_texts(df, vocabulary).cache()
+    held = [r for r in coded.filter("symbols is not null").collect()]
+    assert len(held) == 120 and all(r.held_out == r.block % 2 for r in held) and len({r.block for r in held}) > 2
+    listed = {(r.block, w) for r in coded.filter("rare is not null").collect() for w in map(bytes, r.rare)}
+    word = {(r.block, f"rare{r.doc_id // 3}".encode()) for r in held}
+    places = hmm.rare_places(coded, counts).collect()
+    assert listed == word and len(places) == len({(r.block, r.slot) for r in places}) == len(word) < 120
+    for r in held:
+        assert sorted(Counter(hmm._symbols(r.symbols, r.n_tokens).tolist()).values()) == [1, 4, 10, 10]
+    whole = {x.doc_id: x.score for x in hmm.language_model_scores(df.select("doc_id", "text"), known=1000).collect()}
+    small = {x.doc_id: x.score for x in hmm.language_model_scores(df.select("doc_id", "text"), known=2).collect()}
+    assert all(abs(whole[i] - small[i]) < 1e-3 for i, _ in rows)
