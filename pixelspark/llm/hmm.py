@@ -2,8 +2,8 @@
 
 Tokens are a text's words and one end. Every training word has emissions of its own. Latent states are trained by Baum-Welch over all training texts: every task
 sums its expected counts by word and state, and the sums are added across partitions. Those of the ``KNOWN`` most frequent words reach the driver and go to every task;
-those of all rarer words stay a distributed table. Texts form blocks of about ``TOGETHER`` tokens when their words are numbered; a rare word has a place in each block that holds it, and one row for each
-such place, the counts packed into bytes, goes to the block and back to the word in each round. Each word's counts get one token, shared among the states as all tokens
+those of all rarer words stay a distributed table. Texts form blocks of about ``TOGETHER`` tokens when their words are numbered; a rare word has a place in each block that holds it, and belongs to
+a bucket of words. The places of a block in a bucket form a tile, one row of packed bytes, which goes to the block and back to the bucket in each round. Each word's counts get one token, shared among the states as all tokens
 are, so that the states' mean is (c + 1) / (N + V + 1). Only a word never seen in training is smoothed by a class, named by a hash of its last two bytes: it has 1 / (N + V + 1), weighted by
 how far the state's share of its class exceeds the state's share of all tokens. The score of a text is its exact log10 likelihood by the scaled forward recursion.
 
@@ -245,25 +245,34 @@ def _first_shares(states: int, seed: int = 0) -> np.ndarray:
     return g / g.sum(axis=1, keepdims=True)
 
 
-def _packed(rows: np.ndarray) -> pa.Array:
-    """A row's counts as the bytes of single-precision numbers."""
-    width = rows.shape[1] * 4
-    data = pa.py_buffer(np.ascontiguousarray(rows, "<f4").tobytes())
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32).tobytes()), data])
+TILES = "block long, bucket int, slots binary, ids binary, c binary, counts binary"
+#: Known words whose sums share a row.
+SHELF = 256
 
 
-def _unpacked(column: pa.ChunkedArray, width: int) -> np.ndarray:
-    rows = [np.empty((0, width), np.float32)]
-    for x in column.chunks:
-        _, ends, data = x.buffers()
-        if len(x):
-            rows.append(np.frombuffer(data, "<f4", len(x) * width, int(np.frombuffer(ends, np.int32)[x.offset])).reshape(-1, width))
-    return np.concatenate(rows)
+def _joined(column: pa.ChunkedArray, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
 
-PLACES = "block long, slot int, id long, c long, counts binary"
-#: Known words whose sums share a row.
-SHELF = 256
+def _counts_of(tiles: pa.Table, states: int) -> np.ndarray:
+    """Counts by place and state; of tiles without counts they are 0."""
+    sizes = pyarrow.compute.binary_length(tiles.column("slots")).to_pylist()
+    data = [bytes(n * states) if x is None else x for x, n in zip(tiles.column("counts").to_pylist(), sizes, strict=True)]
+    return np.frombuffer(b"".join(data), "<f4").reshape(-1, states)
+
+
+def _with_counts(tiles: pa.Table, counts: np.ndarray) -> pa.RecordBatch:
+    """The tiles with the counts of their places, one after another, in single precision; a row without places is a shelf."""
+    tiles = tiles.combine_chunks()
+    sizes = pyarrow.compute.fill_null(pyarrow.compute.binary_length(tiles.column("slots")), 4 * SHELF).to_numpy() // 4
+    data = pa.array([x.astype("<f4").tobytes() for x in np.split(counts, np.cumsum(sizes)[:-1])], pa.binary())
+    return pa.record_batch([*(c.chunk(0) for c in tiles.columns), data], names=[*tiles.column_names, "counts"])
+
+
+def _edges(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of equal neighbours."""
+    edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+    return list(zip(edges, edges[1:], strict=False))
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -283,44 +292,41 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[tuple[pa.Table, list[np.ndarray], pa.Table, np.ndarray, np.ndarray]]:
-    """For each block its texts, their symbols, its rare words' rows by place, these words' ids and counts by state."""
+def _blocks(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[tuple[pa.Table, list[np.ndarray], pa.Table, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each block its texts, their symbols, its tiles, their places; and the ids, counts in training and counts by state of its rare words, by place."""
     for run in _runs(batches, "block"):
-        of = run.column("block").to_numpy()
-        edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
-        for a, b in zip(edges, edges[1:], strict=False):
+        for a, b in _edges(run.column("block").to_numpy()):
             table = run.slice(a, b - a)
-            n = len(table) - table.column("symbols").null_count  # texts have no place and come first
-            texts, rare = table.slice(0, n), table.slice(n).select(["block", "slot", "id", "c", "counts"])
+            n = len(table) - table.column("symbols").null_count  # texts have no bucket and come first
+            texts, tiles = table.slice(0, n), table.slice(n).select(["block", "bucket", "slots", "ids", "c", "counts"])
             sequences = [_symbols(x, k) for x, k in zip(texts.column("symbols").to_pylist(), texts.column("n_tokens").to_pylist(), strict=True)]
-            yield texts, sequences, rare, rare.column("id").to_numpy(), _unpacked(rare.column("counts"), states).astype(np.float64)
+            slots = _joined(tiles.column("slots"), "<i4")
+            ids, c, counts = np.empty(len(slots), np.int64), np.empty(len(slots), np.int64), np.empty((len(slots), states))
+            ids[slots], c[slots], counts[slots] = _joined(tiles.column("ids"), "<i8"), _joined(tiles.column("c"), "<i8"), _counts_of(tiles, states)
+            yield texts, sequences, tiles, slots, ids, c, counts
 
 
-def _at_blocks(texts: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
-    """Texts and rare words of a block together, the words in the order of their places."""
-    return texts.unionByName(places, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "slot").coalesce(tasks)
+def _at_blocks(texts: DataFrame, tiles: DataFrame, tasks: int) -> DataFrame:
+    """Texts and tiles of a block together."""
+    return texts.unionByName(tiles, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "bucket").coalesce(tasks)
 
 
 def _added(batches: Iterator[pa.RecordBatch], states: int) -> Iterator[pa.RecordBatch]:
-    """Rows in the order of id -> the same, each with its id's sums; of ids below 0, whose rows belong to no block and hold a shelf each, one row."""
-    for run in _runs(batches, "id"):
-        below = int(np.searchsorted(run.column("id").to_numpy(), 0))
-        for part, width in ((run.slice(0, below), states * SHELF), (run.slice(below), states)):
-            if len(part):
-                ids = part.column("id").to_numpy()
-                at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-                sums = np.add.reduceat(_unpacked(part.column("counts"), width), at, axis=0, dtype=np.float64)
-                rest = part.drop_columns("counts")
-                if width == states:
-                    sums = sums[np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))]
-                else:
-                    rest = rest.take(pa.array(at))
-                yield _with_counts(rest, sums)
-
-
-def _with_counts(places: pa.Table, counts: np.ndarray) -> pa.RecordBatch:
-    places = places.combine_chunks()
-    return pa.record_batch([*(c.chunk(0) for c in places.columns), _packed(counts)], names=[*places.column_names, "counts"])
+    """Tiles in the order of bucket and block -> the same, each place with its id's sums; of buckets below 0, whose rows hold a shelf of known words each, one row."""
+    for run in _runs(batches, "bucket"):
+        below = int(np.searchsorted(run.column("bucket").to_numpy(), 0))
+        if below:
+            part = run.slice(0, below)
+            at = np.array([a for a, _ in _edges(part.column("bucket").to_numpy())])
+            sums = np.add.reduceat(_joined(part.column("counts"), "<f4").reshape(below, -1), at, axis=0, dtype=np.float64)
+            yield _with_counts(part.drop_columns("counts").take(pa.array(at)), sums.reshape(-1, states))
+        tiles = run.slice(below)
+        for a, b in _edges(tiles.column("bucket").to_numpy()) if len(tiles) else []:
+            part = tiles.slice(a, b - a)
+            used, of = np.unique(_joined(part.column("ids"), "<i8"), return_inverse=True)
+            counts = _counts_of(part, states)
+            sums = np.stack([np.bincount(of, counts[:, k], len(used)) for k in range(states)], axis=1).astype(np.float32)
+            yield _with_counts(part.drop_columns("counts"), sums[of])
 
 
 def rare_places(coded: DataFrame, counts: DataFrame) -> DataFrame:
@@ -333,13 +339,32 @@ def rare_places(coded: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("block", "slot", F.coalesce(F.col("number") + kind, -1 - kind).alias("id"), F.coalesce("c", F.lit(0)).alias("c"), (F.crc32("word") % STARTS).cast("int").alias("start"))
 
 
-def _first_counts(places: DataFrame, shares: np.ndarray) -> DataFrame:
+def rare_tiles(places: DataFrame, buckets: int, tasks: int) -> DataFrame:
+    """``rare_places`` -> ``block, bucket, slots, ids, c, starts``: one row for each block and bucket of words, with the bytes of its places' numbers. All places of an id that is not negative are in
+    one bucket; those of words never seen, which share ids, are spread."""
+    key = F.when(F.col("id") < 0, F.hash("block", "slot")).otherwise(F.hash("id"))
+    kinds = {"slots": ("slot", "<i4"), "ids": ("id", "<i8"), "c": ("c", "<i8"), "starts": ("start", "<i2")}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _runs(batches, "block"):
+            block, bucket = table.column("block").to_numpy(), table.column("bucket").to_numpy()
+            order = np.lexsort((table.column("slot").to_numpy(), bucket, block))
+            block, bucket = block[order], bucket[order]
+            at = [a for a, _ in _edges(block * buckets + bucket)]
+            data = [pa.array([x.tobytes() for x in np.split(table.column(c).to_numpy()[order].astype(k), at[1:])], pa.binary()) for c, k in kinds.values()]
+            yield pa.record_batch([pa.array(block[at]), pa.array(bucket[at]), *data], names=["block", "bucket", *kinds])
+
+    dealt = places.withColumn("bucket", F.pmod(key, F.lit(buckets))).repartition("block").sortWithinPartitions("block").coalesce(tasks)
+    return dealt.mapInArrow(run, "block long, bucket int, slots binary, ids binary, c binary, starts binary")
+
+
+def _first_counts(tiles: DataFrame, shares: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = b.column("c").to_numpy()[:, None] * shares[b.column("start").to_numpy()]
-            yield pa.record_batch([*b.columns[:4], _packed(rows)], names=["block", "slot", "id", "c", "counts"])
+            if len(b):
+                yield _with_counts(pa.Table.from_batches([b]).drop_columns("starts"), _joined(b.column("c"), "<i8")[:, None] * shares[_joined(b.column("starts"), "<i2")])
 
-    return places.mapInArrow(run, PLACES)
+    return tiles.mapInArrow(run, TILES)
 
 
 def _first_by_class(counts: DataFrame, shares: np.ndarray) -> np.ndarray:
@@ -353,17 +378,16 @@ def _first_by_class(counts: DataFrame, shares: np.ndarray) -> np.ndarray:
     return out
 
 
-def baum_welch(coded: DataFrame, places: DataFrame, by_class: np.ndarray, vocabulary: Vocabulary, distinct: int, tasks: int, shares: np.ndarray, rounds: int = ROUNDS) -> tuple[Hmm, DataFrame, Emissions]:
-    """Train on ``coded(block, held_out, symbols)`` and its ``rare_places``, by_class being all words' first counts. -> the model with the known words' emissions, the rare words' counts by state at all
-    places of texts, held out or not, and what makes emissions of them. Each round is one pass; counts are added across partitions by word."""
+def baum_welch(coded: DataFrame, tiles: DataFrame, by_class: np.ndarray, vocabulary: Vocabulary, distinct: int, tasks: int, shares: np.ndarray, rounds: int = ROUNDS) -> tuple[Hmm, DataFrame, Emissions]:
+    """Train on ``coded(block, held_out, symbols)`` and its ``rare_tiles``, by_class being all words' first counts. -> the model with the known words' emissions, the tiles of all blocks, held out or not,
+    with the rare words' counts by state, and what makes emissions of them. Each round is one pass; counts are added across partitions by word."""
     states, symbols = shares.shape[1], len(vocabulary.words)
     kinds = np.array([_shared_class(w) for w in vocabulary.words])
     known = vocabulary.counts[:, None] * shares[[zlib.crc32(w) % STARTS for w in vocabulary.words]]
     r = np.random.default_rng(1)
     starts, moves = np.full(states, 1 / states), r.dirichlet(np.full(states, 2.0), states) * 0.3 + np.eye(states) * 0.7
     trained = coded.filter("not held_out and symbols is not null").select("block", "n_tokens", "symbols")
-    others, table = places.filter("block % 2 = 1").drop("start"), _first_counts(places.filter("block % 2 = 0") if rounds else places, shares)
-    zero = F.lit(bytes(4 * states)).alias("counts")
+    others, table = tiles.filter("block % 2 = 1").drop("starts"), _first_counts(tiles.filter("block % 2 = 0") if rounds else tiles, shares)
     before = None
     for n in range(rounds + 1):
         emissions = Emissions(by_class, distinct)
@@ -373,35 +397,33 @@ def baum_welch(coded: DataFrame, places: DataFrame, by_class: np.ndarray, vocabu
 
         def run(batches: Iterator[pa.RecordBatch], model: Hmm = Hmm(starts, moves, model.emit.astype(np.float32)), emissions: Emissions = emissions) -> Iterator[pa.RecordBatch]:
             total = np.zeros((symbols + states + 1 + SHARED, states))  # a row for each known word, then each state's moves, the starts, the rare words by class
-            for _, sequences, rare, ids, counts in _blocks(batches, states):
+            for _, sequences, here_tiles, slots, ids, _, counts in _blocks(batches, states):
                 here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_places(ids, counts).astype(np.float32)]))
                 begin, move, emit = here.expected(Packed(sequences), len(here.emit))
                 total[:symbols] += emit[:symbols]
                 total[symbols : symbols + states] += move
                 total[symbols + states] += begin
-                np.add.at(total[symbols + states + 1 :], ids % SHARED, emit[symbols:])
+                total[symbols + states + 1 :] += np.stack([np.bincount(ids % SHARED, emit[symbols:, k], SHARED) for k in range(states)], axis=1)
                 if len(ids):
-                    yield _with_counts(rare.drop_columns("counts"), emit[symbols:])
+                    yield _with_counts(here_tiles.drop_columns("counts"), emit[symbols:][slots])
             total = np.concatenate([total, np.zeros((-len(total) % SHELF, states))]).reshape(-1, SHELF * states)
             some = np.flatnonzero(total.any(axis=1))
             if len(some):
-                task, no = TaskContext.get().partitionId(), np.zeros(len(some), np.int64)
-                yield _with_counts(pa.table({"block": no - 1, "slot": (no + task).astype(np.int32), "id": -1 - some, "c": no}), total[some])
+                task, none = np.full(len(some), TaskContext.get().partitionId(), np.int64), pa.nulls(len(some), pa.binary())
+                yield _with_counts(pa.table({"block": task, "bucket": (-1 - some).astype(np.int32), "slots": none, "ids": none, "c": none}), total[some].reshape(-1, states))
 
-        found = materialize(_at_blocks(trained, table, tasks).mapInArrow(run, PLACES), "block-counts", "zstd")
+        found = materialize(_at_blocks(trained, table, tasks).mapInArrow(run, TILES), "block-counts", "zstd")
         if before is not None:
             discard(before)
         rows = found
         if n == rounds - 1:  # the texts held out need the sums as well
-            rows = found.union(others.filter("id >= 0").select("block", "slot", "id", "c", zero))
-        before = sums = materialize(rows.repartition("id").sortWithinPartitions("id", "block", "slot").mapInArrow(lambda batches: _added(batches, states), PLACES), "expected-counts", "zstd")
+            rows = found.unionByName(others, allowMissingColumns=True)
+        before = sums = materialize(rows.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(lambda batches: _added(batches, states), TILES), "expected-counts", "zstd")
         discard(found)
-        table = sums.filter("block >= 0")
-        if n == rounds - 1:
-            table = table.union(others.filter("id < 0").select("block", "slot", "id", "c", zero))
-        few = sums.filter("block < 0").select("id", "counts").toArrow()  # no more than the known words
+        table = sums.filter("bucket >= 0")
+        few = sums.filter("bucket < 0").select("bucket", "counts").toArrow()  # no more than the known words
         rows = np.zeros((-(-(symbols + states + 1 + SHARED) // SHELF), SHELF * states))
-        rows[-1 - few.column("id").to_numpy()] = _unpacked(few.column("counts"), states * SHELF)
+        rows[-1 - few.column("bucket").to_numpy()] = _joined(few.column("counts"), "<f4").reshape(-1, states * SHELF)
         rows = rows.reshape(-1, states)[: symbols + states + 1 + SHARED]
         known, moves, starts, by_class = rows[:symbols], rows[symbols : symbols + states] + 1 / states, rows[symbols + states] + 1 / states, rows[symbols + states + 1 :]
         np.add.at(by_class, kinds, known)
@@ -429,14 +451,13 @@ def language_model_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str
     coded = materialize(code_texts(d.coalesce(4 * tasks), vocabulary), "coded", "zstd")
     shares = _first_shares(states)
     by_class = _first_by_class(counts, shares)
-    places = materialize(rare_places(coded, counts), "rare-places", "zstd")
+    tiles = materialize(rare_tiles(rare_places(coded, counts), 2 * tasks, tasks), "rare-tiles", "zstd")
     discard(counts)
-    model, table, emissions = baum_welch(coded, places, by_class, vocabulary, distinct, tasks, shares, rounds)
+    model, table, emissions = baum_welch(coded, tiles, by_class, vocabulary, distinct, tasks, shares, rounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for texts, sequences, rare, ids, by_state in _blocks(batches, states):
+        for texts, sequences, _, _, ids, c, by_state in _blocks(batches, states):
             here = Hmm(model.start, model.move, np.concatenate([model.emit, emissions.of_places(ids, by_state)]))
-            c = rare.column("c").to_numpy()
             also, more = np.zeros(len(sequences), np.int64), np.zeros(len(sequences))
             for i, x in enumerate(sequences):
                 of = c[x[x >= len(vocabulary.words)] - len(vocabulary.words)]

@@ -94,3 +94,27 @@ def test_a_rare_word_has_one_row_for_each_block_that_holds_it(spark, monkeypatch
     whole = {x.doc_id: x.score for x in hmm.language_model_scores(df.select("doc_id", "text"), known=1000).collect()}
     small = {x.doc_id: x.score for x in hmm.language_model_scores(df.select("doc_id", "text"), known=2).collect()}
     assert all(abs(whole[i] - small[i]) < 1e-3 for i, _ in rows)
+
+
+def test_rare_words_travel_in_one_row_for_each_block_and_bucket(spark, monkeypatch):
+    rows = [(i, " ".join([*(f"rare{i}x{j}" for j in range(40)), *(f"both{j}" for j in range(i % 7, 40, 7))])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    written, write = {}, hmm.materialize
+    monkeypatch.setattr(hmm, "materialize", lambda table, name, *rest: written.setdefault(name, []).append(write(table, name, *rest)) or written[name][-1])
+    monkeypatch.setattr(hmm, "discard", lambda *tables: None)
+    got = {x.doc_id: x.score for x in hmm.language_model_scores(df, known=20).collect()}
+    blocks = written["coded"][0].select("block").distinct().count()
+    buckets, shelves = 2 * spark.sparkContext.defaultParallelism, 1
+    for table in [*written["block-counts"], *written["expected-counts"]]:
+        assert 0 < table.count() <= blocks * buckets + shelves * spark.sparkContext.defaultParallelism
+    # each rare word once a block, with one sum wherever it is
+    tiles = written["rare-tiles"][0].collect()
+    held = sum(len(np.frombuffer(t.slots, "<i4")) for t in tiles)
+    assert held == sum(len(r.rare) for r in written["coded"][0].filter("rare is not null").collect()) > 60 * 40
+    bucket_of: dict = {}
+    for t in tiles:
+        for i in np.frombuffer(t.ids, "<i8").tolist():
+            assert i < 0 or bucket_of.setdefault(i, t.bucket) == t.bucket
+    monkeypatch.undo()
+    whole = {x.doc_id: x.score for x in hmm.language_model_scores(df, known=10_000).collect()}
+    assert all(abs(got[i] - whole[i]) < 1e-3 for i, _ in rows)
