@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows of a batch that goes back to Spark, or one larger group.
 ROWS = 65_536
@@ -58,7 +59,10 @@ def scanline_array(plane: np.ndarray) -> pa.Array:
 
 
 def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.RecordBatch], list[pa.RecordBatch]], schema: str, dealt: bool = False) -> DataFrame:
-    """``fn(rows of a group) -> batches`` for every group of ``keys``, its rows in ``order``. ``dealt``: the plan below keeps a group's rows in one partition already, as a window over some of the keys does."""
+    """``fn(rows of a group) -> batches`` for every group of ``keys``, its rows in ``order``. ``dealt``: the plan below keeps a group's rows in one partition already, as a window over some of the keys does.
+
+    The literal keeps the exchange. Spark leaves one out that a join by the same keys below makes needless, but does not keep that join's partitions where it then broadcasts a side, so groups came in pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0
@@ -72,7 +76,7 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[p
         if done:
             yield from pa.Table.from_batches(done).combine_chunks().to_batches()
 
-    return (df if dealt else df.repartition(*keys)).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return (df if dealt else df.repartition(*keys, F.lit(0))).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def repeated(group: pa.RecordBatch, column: str, n: int) -> pa.Array:

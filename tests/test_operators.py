@@ -318,6 +318,22 @@ def plain_haar(a, levels):
     return a
 
 
+def test_groups_keep_an_exchange_above_a_join_by_their_keys(spark):
+    """Without it they came in pieces where the join became a broadcast one at run time (seen on 17,094 images)."""
+    import pyarrow as pa
+
+    from pixelspark.operators.planes import map_groups
+
+    a, b = spark.range(64).selectExpr("id % 8 image_id", "id y"), spark.range(8).selectExpr("id image_id", "id n")
+    made = map_groups(a.join(b.hint("merge"), "image_id"), ["image_id"], ["y"], lambda g: [pa.record_batch([g.column("image_id").slice(0, 1), pa.array([g.num_rows])], names=["image_id", "n"])], "image_id long, n long")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert made._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 3
+        assert sorted((r.image_id, r.n) for r in made.collect()) == [(i, 8) for i in range(8)]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 @pytest.mark.parametrize("levels", [1, 3, 8])
 def test_haar_equals_loops_with_one_exchange(spark, levels):
     rng = np.random.default_rng(levels)
