@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,6 +55,20 @@ def to_gray8(pixels: DataFrame) -> DataFrame:
     return quantize(pixels).select(*CELL, color.gray8().alias("v"))
 
 
+def gray8_lines(lines: DataFrame) -> DataFrame:
+    """``image_id, y, v``: the gray bytes of each image line, from ``image_id, y, r, g, b`` of arrays. Nothing is shuffled, and no sample becomes a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            r, g, b = (np.rint(np.clip(batch.column(c).flatten().to_numpy(zero_copy_only=False), 0, 255)).astype(np.int32) for c in "rgb")
+            gray = ((r * 9798 + g * 19235 + b * 3735 + 16384) >> 15).astype(np.uint8)
+            offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(batch.column("r")).to_numpy(zero_copy_only=False))]).astype(np.int32)
+            yield pa.record_batch([batch.column("image_id"), batch.column("y"), pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(offsets), pa.py_buffer(gray)])], names=["image_id", "y", "v"])
+
+    doubles = (F.col(c).cast("array<double>").alias(c) for c in "rgb")
+    return lines.select("image_id", "y", *doubles).mapInArrow(run, "image_id long, y int, v binary")
+
+
 def rgb_to_lab8(pixels: DataFrame) -> DataFrame:
     level, a, b = color.lab8()
     return pixels.select(*CELL, level.alias("l"), a.alias("a"), b.alias("b"))

@@ -529,7 +529,7 @@ def _stripes(of: str, threshold: int) -> str:
 @query(f"{S3}, p3 as (select image_id, y, x, max(case when channel = 'R' then v end)::int r, max(case when channel = 'G' then v end)::int g, max(case when channel = 'B' then v end)::int b from s3 group by all), "
        f"g3 as (select image_id, y, x, (r*9798 + g*19235 + b*3735 + 16384) >> 15 v from p3), {_stripes('g3', 4)} select image_id, y, x from ws")
 def w13_white_stripe_mask(spark, d):
-    return mo.white_stripe_mask(ch.to_gray8(ch.merge_channels(im.to_samples(fx.document_scanlines(spark, d)))), 4)
+    return mo.white_stripe_mask_lines(ch.gray8_lines(fx.document_pixel_lines(spark, d)), 4)
 
 
 @query(f"{GRAY}, {_stripes('g8', 20)} select image_id, y, x from ws")

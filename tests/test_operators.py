@@ -421,6 +421,26 @@ def test_stripe_mask_equals_opening_by_every_offset(spark):
         assert len(got) == len(set(got)) and set(got) == want and want
 
 
+def test_stripe_mask_of_lines_equals_that_of_pixels_with_one_exchange(spark, sf_dir):
+    """Images of several bands, with stripes across their ends and at the borders; and the registered query shuffles lines once."""
+    from pixelspark.plans.queries import QUERIES
+
+    rng, rows = np.random.default_rng(8), []
+    for i, (h, w) in enumerate([(1, 20), (9, 3), (30, 64), (2 * mo.BAND + 9, 40), (40, 420)]):
+        a = rng.integers(0, 40, (h, w)) + 200 * (rng.random((h, w)) < 0.3)
+        for y in (0, 3, h - 1, mo.BAND - 1, mo.BAND, 2 * mo.BAND - 2):
+            if y < h:
+                a[y, : w - 2] = 250
+        rows += [(i, y, [float(v) for v in a[y]]) for y in range(h)]
+    lines = spark.createDataFrame(rows, "image_id long, y int, v array<double>").repartition(3)
+    pixels = lines.select("image_id", "y", F.posexplode("v").alias("x", "v")).withColumn("v", F.col("v").cast("int"))
+    key = lambda df: sorted((r.image_id, r.y, r.x) for r in df.collect())
+    got = key(mo.white_stripe_mask_lines(ch.gray8_lines(lines.selectExpr("image_id", "y", "v r", "v g", "v b")), 50))
+    assert got == key(mo.white_stripe_mask(pixels, 50)) and {r[0] for r in got} >= {2, 3, 4}
+    plan = QUERIES["w13_white_stripe_mask"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_energy_cuts_equal_a_whole_sort(spark):
     rng = np.random.default_rng(12)
     pairs = []
