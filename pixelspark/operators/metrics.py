@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.color import quantized
+from .planes import lines_of, scanline_array
 
 CELL = ["image_id", "channel", "y", "x"]
 
@@ -143,6 +149,45 @@ def area_resize(samples: DataFrame, max_side: int = 128) -> DataFrame:
     return s.groupBy("image_id", "channel", F.col("ty").alias("y"), F.col("tx").alias("x")).agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("v"))
 
 
+def _thumbnail_rows(batch: pa.RecordBatch, max_side: int) -> Iterator[pa.RecordBatch]:
+    """What the lines of a batch add to each line of their thumbnails: ``image_id, channel, y, sums, n``, the sums of values by covered area and the area."""
+    height, width = batch.column("height").to_numpy().astype(np.int64), pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False).astype(np.int64)
+    scale = np.minimum(1.0, max_side / np.maximum(height, width))
+    th, tw = (np.maximum(1, np.rint(n * scale)).astype(np.int64) for n in (height, width))
+    image, channel = (pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in ("image_id", "channel"))
+    plane = np.cumsum(np.concatenate([[0], (np.diff(image) != 0) | (np.diff(channel) != 0)]))
+    for w, t in np.unique(np.stack([width, tw], 1), axis=0).tolist():
+        rows = np.flatnonzero((width == w) & (tw == t))
+        own, h, n = batch.take(pa.array(rows)), height[rows], th[rows]
+        x, to = np.arange(w)[:, None], np.arange(t)
+        across = lines_of(own) @ np.maximum(0, np.minimum((x + 1) * t, (to + 1) * w) - np.maximum(x * t, to * w)).astype(float)
+        y = own.column("y").to_numpy().astype(np.int64)
+        first, last = y * n // h, ((y + 1) * n - 1) // h  # a line lies in one line of the thumbnail or in two
+        line, ty = np.concatenate([np.arange(len(y)), np.flatnonzero(last > first)]), np.concatenate([first, last[last > first]])
+        part = np.minimum((y[line] + 1) * n[line], (ty + 1) * h[line]) - np.maximum(y[line] * n[line], ty * h[line])
+        order = np.lexsort((ty, plane[rows][line]))
+        line, ty, part = line[order], ty[order], part[order]
+        at = np.flatnonzero(np.concatenate([[True], (np.diff(ty) != 0) | (np.diff(plane[rows][line]) != 0)]))
+        pick, sums = pa.array(line[at]), np.add.reduceat(across[line] * part[:, None], at, axis=0)
+        yield pa.record_batch([own.column("image_id").take(pick), own.column("channel").take(pick), pa.array(ty[at].astype(np.int32)), scanline_array(sums), pa.array(np.add.reduceat(part, at) * w)], names=["image_id", "channel", "y", "sums", "n"])
+
+
+def area_resize_lines(scanlines: DataFrame, max_side: int = 128) -> DataFrame:
+    """``area_resize`` of whole lines, as samples. Where lines carry their image's ``height``, only lines of thumbnails are shuffled: lines are summed where they lie, once a batch."""
+    if "height" not in scanlines.columns:
+        scanlines = scanlines.join(scanlines.groupBy("image_id").agg((F.max("y") + 1).alias("height")), "image_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _thumbnail_rows(batch, max_side)
+
+    parts = scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>").alias("v"), F.col("height").cast("int").alias("height")).mapInArrow(run, "image_id long, channel string, y int, sums array<double>, n long")
+    s = parts.groupBy("image_id", "channel", "y").agg(F.collect_list("sums").alias("s"), F.sum("n").alias("n"))
+    total = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), lambda a, b: F.zip_with(a, b, lambda p, q: p + q))
+    return s.select("image_id", "channel", "y", F.posexplode(total).alias("x", "t"), "n").select(*CELL, (F.col("t") / F.col("n")).alias("v"))
+
+
 def spectrum_previews(samples: DataFrame, max_side: int = 128, center: bool = False) -> DataFrame:
     """Thumbnails for spectra on one scale: ``image_id, channel, y, x, v, bound``. With ``center`` every plane loses its mean; ``bound``, shared by an image's planes, is the greatest sum of absolute values of a plane, 1 at least."""
     from .channels import remove_mean

@@ -296,7 +296,7 @@ def j3_kernel_terms(spark, d):
        "c as (select s3.*, h, w, th, tw, unnest(range(y*th//h, ((y+1)*th-1)//h+1)) ty, x*tw//w a, ((x+1)*tw-1)//w b from s3 join t using (image_id)), e as (select *, unnest(range(a, b+1)) tx from c), "
        "f as (select *, (least((y+1)*th, (ty+1)*h)-greatest(y*th, ty*h))*(least((x+1)*tw, (tx+1)*w)-greatest(x*tw, tx*w)) wt from e) select image_id, channel, ty::int y, tx::int x, floor(sum(v*wt)/sum(wt)*10000 + 0.5)/10000 v from f group by all")
 def j4_area_resize(spark, d):
-    return me.area_resize(im.to_samples(fx.document_scanlines(spark, d)), 16).withColumn("v", F.floor(F.col("v") * 10000 + 0.5) / 10000)
+    return me.area_resize_lines(fx.document_scanlines(spark, d, heights=True), 16).withColumn("v", F.floor(F.col("v") * 10000 + 0.5) / 10000)
 
 
 @query(f"""{S2}, t as (select image_id, channel, y//2 y, x//2 x, avg(v) v from s2 group by all), c as (select *, v - avg(v) over (partition by image_id, channel) d from t), b as (select image_id, max(s) s from (select image_id, channel, sum(abs(d)) s from c group by all) group by 1)

@@ -441,6 +441,21 @@ def test_stripe_mask_of_lines_equals_that_of_pixels_with_one_exchange(spark, sf_
     assert plan.count("Exchange") == 1
 
 
+def test_thumbnails_of_lines_equal_those_of_samples_and_only_they_are_shuffled(spark, sf_dir):
+    from pixelspark.plans.queries import QUERIES
+
+    _, pixels = images(spark, 4, [(1, 1), (1, 19), (17, 1), (15, 17), (50, 8), (7, 40)])
+    samples = ch.split_channels(pixels)
+    lines = im.to_scanlines(samples)
+    heights = lines.groupBy("image_id").agg((F.max("y") + 1).alias("height"))
+    want = planes(me.area_resize(samples, 6))
+    for given in (lines, lines.join(heights, "image_id").repartition(7)):
+        got = planes(me.area_resize_lines(given, 6))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], rtol=1e-12) and got[k].shape == want[k].shape for k in want)
+    plan = QUERIES["j4_area_resize"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
 def test_energy_cuts_equal_a_whole_sort(spark):
     rng = np.random.default_rng(12)
     pairs = []
