@@ -3,14 +3,20 @@
 from __future__ import annotations
 
 import json
-import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.histograms import bin_of
+from ..operators.planes import lines_of
+
+#: Columns of a row of the state of a growing plane, and products that a task holds at a time.
+BLOCK, PRODUCTS = 8, 1 << 20
 
 
 def stream_histogram(samples: DataFrame, sign: str | None = None, total: tuple[str, ...] = ()) -> DataFrame:
@@ -23,18 +29,51 @@ def stream_histogram(samples: DataFrame, sign: str | None = None, total: tuple[s
     return d.groupBy("image_id", "channel", "bin").agg(F.sum("n").alias("n"))
 
 
+def _turned(batch: pa.RecordBatch, index: str, lines: np.ndarray, height: int, to: str, sign: int, kinds: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """What complex ``lines`` (a row each of ``batch``, at the place ``index``) add to the ``height`` lines ``to`` of their planes, in blocks of ``BLOCK`` columns: parts ``re0, re1, ..., im0, ...`` of ``kinds``, null beyond the width.
+
+    Lines of a plane are summed first, so a batch sends on each of its planes once as a rule.
+    """
+    n, width = lines.shape
+    image, channel = (pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy() for c in ("image_id", "channel"))
+    order = np.lexsort((channel, image))
+    place, turns = batch.column(index).to_numpy().astype(np.int64), np.exp(sign * 2j * np.pi * np.arange(height) / height)
+    wide = -(-width // BLOCK) * BLOCK
+    for at in range(0, n, step := max(1, PRODUCTS // (height * width))):
+        some = order[at : at + step]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(image[some]) != 0) | (np.diff(channel[some]) != 0)]))
+        sums = np.full((len(first), height, wide), np.nan, complex)
+        sums[:, :, :width] = np.add.reduceat(lines[some][:, None, :] * turns[np.outer(place[some], np.arange(height)) % height][:, :, None], first, axis=0)
+        beyond = np.tile((np.arange(wide) >= width).reshape(-1, BLOCK), (len(first) * height, 1))
+        keys = pa.array(np.repeat(some[first], height * (wide // BLOCK)))
+        y, block = (np.tile(a.ravel().astype(np.int32), len(first)) for a in np.indices((height, wide // BLOCK)))
+        columns = [batch.column("image_id").take(keys), batch.column("channel").take(keys), pa.array(y), pa.array(block), *(pa.array(part[:, k], mask=beyond[:, k]) for kind in kinds for part in [(sums.real if kind == "re" else sums.imag).reshape(-1, BLOCK)] for k in range(BLOCK))]
+        yield pa.record_batch(columns, names=["image_id", "channel", to, "block", *_parts(kinds)])
+
+
+def _parts(kinds: tuple[str, ...]) -> list[str]:
+    return [f"{kind}{k}" for kind in kinds for k in range(BLOCK)]
+
+
+def _summed(lines: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], to: str, along: str, kinds: tuple[str, ...]) -> DataFrame:
+    """Running ``image_id, channel, to, along`` and ``kinds``. The state has a row for ``BLOCK`` columns of a line."""
+    parts = lines.mapInArrow(run, f"image_id long, channel string, {to} int, block int, " + ", ".join(f"{c} double" for c in _parts(kinds)))
+    sums = parts.groupBy("image_id", "channel", to, "block").agg(*(F.sum(c).alias(c) for c in _parts(kinds)))
+    cells = F.inline(F.array(*(F.struct((F.col("block") * BLOCK + k).alias(along), *(F.col(f"{kind}{k}").alias(kind) for kind in kinds)) for k in range(BLOCK))))
+    return sums.select("image_id", "channel", to, cells).filter("re is not null")
+
+
 def stream_spectrum(scanlines: DataFrame, height: int) -> DataFrame:
     """Running DFT of planes of a known height: an arriving row's own transform, turned by its place, is added to every bin; order does not matter. Meant for previews, as the state is a whole plane."""
 
-    @F.pandas_udf("array<struct<re:double,im:double>>")
-    def row_dft(rows: pd.Series) -> pd.Series:
-        return pd.Series([[{"re": c.real, "im": c.imag} for c in np.fft.fft(np.asarray(r, float))] for r in rows])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("v")).to_numpy(zero_copy_only=False)
+            for width in np.unique(sizes[sizes > 0]).tolist():
+                of = batch.take(pa.array(np.flatnonzero(sizes == width)))
+                yield from _turned(of, "y", np.fft.fft(lines_of(of), axis=1), height, "ky", -1, ("re", "im"))
 
-    d = scanlines.select("image_id", "channel", "y", F.posexplode(row_dft("v")).alias("kx", "c"))
-    d = d.withColumn("ky", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("a", -2 * math.pi / height * (F.col("ky") * F.col("y") % height))
-    re = F.col("c.re") * F.cos("a") - F.col("c.im") * F.sin("a")
-    im = F.col("c.re") * F.sin("a") + F.col("c.im") * F.cos("a")
-    return d.groupBy("image_id", "channel", "ky", "kx").agg(F.sum(re).alias("re"), F.sum(im).alias("im"))
+    return _summed(scanlines.select("image_id", "channel", "y", F.col("v").cast("array<double>").alias("v")), run, "ky", "kx", ("re", "im"))
 
 
 def stream_reconstruct(rows: DataFrame, height: int, width: int) -> DataFrame:
@@ -44,13 +83,15 @@ def stream_reconstruct(rows: DataFrame, height: int, width: int) -> DataFrame:
     width times as many.
     """
 
-    @F.pandas_udf("array<struct<re:double,im:double>>")
-    def inverse(re: pd.Series, im: pd.Series) -> pd.Series:
-        return pd.Series([[{"re": c.real, "im": c.imag} for c in np.fft.ifft(np.asarray(a, float) + 1j * np.asarray(b, float), n=width)] for a, b in zip(re, im, strict=True)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("re")).to_numpy(zero_copy_only=False)
+            for n in np.unique(sizes[sizes > 0]).tolist():
+                of = batch.take(pa.array(np.flatnonzero(sizes == n)))
+                yield from _turned(of, "ky", np.fft.ifft(lines_of(of, "re") + 1j * lines_of(of, "im"), n=width, axis=1), height, "y", 1, ("re",))
 
-    d = rows.select("image_id", "channel", "ky", F.posexplode(inverse("re", "im")).alias("x", "c"))
-    d = d.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("a", 2 * math.pi / height * (F.col("ky") * F.col("y") % height))
-    return d.groupBy("image_id", "channel", "y", "x").agg((F.sum(F.col("c.re") * F.cos("a") - F.col("c.im") * F.sin("a")) / height).alias("v"))
+    doubles = (F.col(c).cast("array<double>").alias(c) for c in ("re", "im"))
+    return _summed(rows.select("image_id", "channel", "ky", *doubles), run, "y", "x", ("re",)).select("image_id", "channel", "y", "x", (F.col("re") / height).alias("v"))
 
 
 def stream_progress(rows: DataFrame, height: int, watermark: tuple[str, str] | None = None) -> DataFrame:

@@ -1,5 +1,6 @@
 """Accumulators over several micro-batches: rows that come again, are taken back, or come late."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from pixelspark.streaming import accumulators as acc
@@ -18,6 +19,29 @@ def test_retraction_over_batches(spark, tmp_path):
     assert {(r.image_id, r.channel, r.bin): r.n for r in got.collect()} == {(1, "R", 5): 1, (1, "G", 7): 0, (2, "R", 0): 1, (2, "R", 255): 1}
 
 
+def test_growing_spectrum_and_its_inverse_keep_a_row_for_eight_columns(spark, tmp_path):
+    """Planes of 5 x 19 and 5 x 8 in batches of some lines each: NumPy's transform, back again, and the size of the state."""
+    rng = np.random.default_rng(3)
+    planes = {(1, "R"): rng.normal(size=(5, 19)), (1, "G"): rng.normal(size=(5, 19)), (2, "R"): rng.normal(size=(5, 8))}
+    lines = [(*k, y, v[y].tolist()) for k, v in planes.items() for y in range(5)]
+    schema = "image_id long, channel string, y int, v array<double>"
+    for k in range(3):
+        spark.createDataFrame(lines[k::3], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spectrum = acc.run_to_end(acc.stream_spectrum(_arriving(spark, tmp_path / "in", schema), 5), f"file://{tmp_path}/state")
+    got = {(r.image_id, r.channel, r.ky, r.kx): complex(r.re, r.im) for r in spectrum.collect()}
+    want = {(*k, ky, kx): z for k, v in planes.items() for (ky, kx), z in np.ndenumerate(np.fft.fft2(v))}
+    assert got.keys() == want.keys() and all(np.isclose(got[k], want[k]) for k in want)
+    state = spark.read.format("statestore").load(f"{tmp_path}/state/state").count()
+    assert state == 5 * (3 + 3 + 1)
+    schema = "image_id long, channel string, ky int, re array<double>, im array<double>"
+    rows = [(*k, y, np.fft.fft2(v)[y].real.tolist(), np.fft.fft2(v)[y].imag.tolist()) for k, v in planes.items() if v.shape[1] == 19 for y in range(5)]
+    for k in range(2):
+        spark.createDataFrame(rows[k::2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "rows"))
+    back = acc.run_to_end(acc.stream_reconstruct(_arriving(spark, tmp_path / "rows", schema), 5, 19), f"file://{tmp_path}/state2")
+    got = {(r.image_id, r.channel, r.y, r.x): r.v for r in back.collect()}
+    assert len(got) == 2 * 95 and all(np.isclose(v, planes[k[:2]][k[2:]]) for k, v in got.items())
+
+
 def test_rows_that_arrive_again_count_once(spark, tmp_path):
     schema = "image_id long, y int, at timestamp"
     for rows in ([(1, 0), (1, 1)], [(1, 1), (1, 2), (2, 0)], [(1, 0), (2, 0)]):
