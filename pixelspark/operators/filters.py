@@ -174,7 +174,7 @@ def _lab(rgb: np.ndarray) -> np.ndarray:
     c = rgb / 255
     c = np.where(c > 0.04045, ((c + 0.055) / 1.055) ** 2.4, c / 12.92)
     m = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
-    xyz = np.tensordot(m, c, 1) / np.array([0.950456, 1, 1.088754])[:, None, None]
+    xyz = np.tensordot(m, c, 1) / np.array([0.950456, 1, 1.088754]).reshape(3, *[1] * (rgb.ndim - 1))
     f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
     return np.stack([116 * f[1] - 16, 500 * (f[0] - f[1]), 200 * (f[1] - f[2])])
 
@@ -182,7 +182,7 @@ def _lab(rgb: np.ndarray) -> np.ndarray:
 def _rgb(lab: np.ndarray) -> np.ndarray:
     fy = (lab[0] + 16) / 116
     f = np.stack([fy + lab[1] / 500, fy, fy - lab[2] / 200])
-    xyz = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * np.array([0.950456, 1, 1.088754])[:, None, None]
+    xyz = np.where(f > 0.206893, f**3, (f - 16 / 116) / 7.787) * np.array([0.950456, 1, 1.088754]).reshape(3, *[1] * (lab.ndim - 1))
     m = np.array([[3.240479, -1.537150, -0.498535], [-0.969256, 1.875991, 0.041556], [0.055648, -0.204043, 1.057311]])
     c = np.maximum(np.tensordot(m, xyz, 1), 0)
     return np.where(c > 0.0031308, 1.055 * c ** (1 / 2.4) - 0.055, 12.92 * c) * 255
@@ -197,25 +197,26 @@ def nl_means(scanlines: DataFrame, h: float, patch: int = 7, search: int = 21) -
     pr, sr = patch // 2, search // 2
 
     def smooth(planes: np.ndarray, scale: float) -> np.ndarray:
-        rows, cols = planes.shape[1] - 2 * (pr + sr), planes.shape[2] - 2 * (pr + sr)
-        base = planes[:, sr : sr + rows + 2 * pr, sr : sr + cols + 2 * pr]
-        total, out = np.zeros((rows, cols)), np.zeros((len(planes), rows, cols))
+        rows, cols = planes.shape[-2] - 2 * (pr + sr), planes.shape[-1] - 2 * (pr + sr)
+        base = planes[..., sr : sr + rows + 2 * pr, sr : sr + cols + 2 * pr]
+        s = np.zeros((*base.shape[1:-2], rows + 2 * pr + 1, cols + 2 * pr + 1))
+        total, out = np.zeros((*base.shape[1:-2], rows, cols)), np.zeros((*base.shape[:-2], rows, cols))
         for dy in range(2 * sr + 1):
             for dx in range(2 * sr + 1):
-                moved = planes[:, dy : dy + rows + 2 * pr, dx : dx + cols + 2 * pr]
+                moved = planes[..., dy : dy + rows + 2 * pr, dx : dx + cols + 2 * pr]
                 d = ((base - moved) ** 2).mean(axis=0)
-                s = np.pad(d.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-                near = (s[patch:, patch:] - s[:-patch, patch:] - s[patch:, :-patch] + s[:-patch, :-patch]) / patch**2
+                d.cumsum(-2).cumsum(-1, out=s[..., 1:, 1:])
+                near = (s[..., patch:, patch:] - s[..., :-patch, patch:] - s[..., patch:, :-patch] + s[..., :-patch, :-patch]) / patch**2
                 w = np.exp(-np.maximum(near, 0) / (scale * scale))
                 total += w
-                out += w * moved[:, pr : pr + rows, pr : pr + cols]
+                out += w * moved[..., pr : pr + rows, pr : pr + cols]
         return out / total
 
     def run(b: np.ndarray) -> np.ndarray:
         lab = _lab(np.rint(np.clip(b, 0, 255)))
         return np.rint(np.clip(_rgb(np.concatenate([smooth(lab[:1] * 2.55, h) / 2.55, smooth(lab[1:], h)])), 0, 255))
 
-    return halo_map(scanlines, run, pr + sr, band=52, joint=("R", "G", "B"))
+    return halo_map(scanlines, run, pr + sr, band=52, joint=("R", "G", "B"), stacked=True)
 
 
 def channel_filter(samples: DataFrame, only: str, fn) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ..functions.color import reflected
 from .planes import lines_of, map_groups, repeated, scanline_array
 
+#: Bytes of padded bands' rows that are stacked.
+STACK = 1 << 20
 #: How NumPy names the two borders.
 PAD = {"reflect": "reflect", "replicate": "edge"}
 
@@ -33,10 +35,11 @@ def padded_columns(block: np.ndarray, radius: int, border: str) -> np.ndarray:
     return block[:, i]
 
 
-def halo_map(scanlines: DataFrame, fn: Callable[[np.ndarray], np.ndarray], radius: int, border: str = "reflect", band: int | None = None, joint: tuple[str, ...] | None = None) -> DataFrame:
+def halo_map(scanlines: DataFrame, fn: Callable[[np.ndarray], np.ndarray], radius: int, border: str = "reflect", band: int | None = None, joint: tuple[str, ...] | None = None, stacked: bool = False) -> DataFrame:
     """``fn(padded band) -> central rows`` on every plane of ``image_id, channel, y, v``.
 
-    The padded band has ``radius`` more rows and columns on each side. With ``joint`` (channel names) fn gets and returns arrays of shape (channels, rows, columns).
+    The padded band has ``radius`` more rows and columns on each side. With ``joint`` (channel names) fn gets and returns arrays of shape (channels, rows, columns), and with ``stacked`` many bands of
+    one size at once, of shape (channels, bands, rows, columns): small images cost a share of a call.
     """
     band = band or max(64, 4 * radius)
     keys = ["image_id"] if joint else ["image_id", "channel"]
@@ -53,25 +56,42 @@ def halo_map(scanlines: DataFrame, fn: Callable[[np.ndarray], np.ndarray], radiu
 
     names = list(joint) if joint else None
 
-    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+    def cut(group: pa.RecordBatch) -> tuple[int, int, np.ndarray]:
         at = group.column("band")[0].as_py() * band
         n = min(band, group.column("height")[0].as_py() - at)
         p, v = group.column("p").to_numpy(), lines_of(group)
         inside = (p >= at - radius) & (p < at + n + radius)
         if names:
             channel = np.array(group.column("channel").to_pylist(), object)
-            blocks = [padded_columns(v[inside & (channel == name)], radius, border) for name in names]
-        else:
-            blocks = [padded_columns(v[inside], radius, border)]
-        out = np.asarray(fn(np.stack(blocks) if names else blocks[0]), np.float64)
+            return at, n, np.stack([padded_columns(v[inside & (channel == name)], radius, border) for name in names])
+        return at, n, padded_columns(v[inside], radius, border)
+
+    def shown(group: pa.RecordBatch, at: int, n: int, out: np.ndarray) -> list[pa.RecordBatch]:
         made = []
         for i, plane in enumerate(out if names else out[None]):
             channel = pa.repeat(names[i], n) if names else repeated(group, "channel", n)
             made.append(pa.record_batch([repeated(group, "image_id", n), channel, pa.array(np.arange(at, at + n, dtype=np.int32)), scanline_array(plane)], names=["image_id", "channel", "y", "v"]))
         return made
 
+    def run(group: pa.RecordBatch) -> list[pa.RecordBatch]:
+        at, n, block = cut(group)
+        return shown(group, at, n, np.asarray(fn(block), np.float64))
+
+    def run_stacked(groups: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        made, sizes = [], {}
+        for group in groups:
+            at, n, block = cut(group)
+            sizes.setdefault(block.shape, []).append((group, at, n, block))
+        for same in sizes.values():
+            out = np.asarray(fn(np.stack([block for *_, block in same], axis=1)), np.float64)
+            for k, (group, at, n, _) in enumerate(same):
+                made += shown(group, at, n, out[:, k])
+        return made
+
+    if stacked and not names:
+        raise ValueError("bands are stacked by channels")
     rows = rows.select("image_id", "channel", "height", "band", "p", F.col("v").cast("array<double>"))
-    return map_groups(rows, [*keys, "band"], ["channel", "p"], run, "image_id long, channel string, y int, v array<double>")
+    return map_groups(rows, [*keys, "band"], ["channel", "p"], run_stacked if stacked else run, "image_id long, channel string, y int, v array<double>", together=STACK * stacked)
 
 
 def apply_channels(scanlines: DataFrame, fn: Callable[..., np.ndarray], **kw) -> DataFrame:

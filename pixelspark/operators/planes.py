@@ -58,16 +58,30 @@ def scanline_array(plane: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, (h + 1) * w, w, dtype=np.int32) if w else np.zeros(h + 1, np.int32)), pa.array(np.ascontiguousarray(plane, np.float64).reshape(-1)))
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[[pa.RecordBatch], list[pa.RecordBatch]], schema: str, dealt: bool = False) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Callable[..., list[pa.RecordBatch]], schema: str, dealt: bool = False, together: int = 0) -> DataFrame:
     """``fn(rows of a group) -> batches`` for every group of ``keys``, its rows in ``order``. ``dealt``: the plan below keeps a group's rows in one partition already, as a window over some of the keys does.
+    ``together``: ``fn`` gets a list of groups that have that many bytes or were the last, for functions that treat many small ones at once.
 
     The literal keeps the exchange. Spark leaves one out that a join by the same keys below makes needless, but does not keep that join's partitions where it then broadcasts a side, so groups came in pieces.
     """
 
+    def made_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        held, weight = [], 0
+        for group in groups(batches, keys):
+            if not together:
+                yield fn(group)
+                continue
+            held.append(group)
+            weight += group.nbytes
+            if weight >= together:
+                yield fn(held)
+                held, weight = [], 0
+        if held:
+            yield fn(held)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0
-        for group in groups(batches, keys):
-            made = fn(group)
+        for made in made_of(batches):
             done += made
             size += sum(b.num_rows for b in made)
             if size >= ROWS:

@@ -238,6 +238,21 @@ def test_nl_means_equals_plain_loops(spark):
     assert max(np.abs(got[0, c] - rgb["RGB".index(c)]).max() for c in "RGB") <= 1
 
 
+def test_small_images_are_filtered_many_at_a_time(spark):
+    """Bands of one size come stacked, of several sizes apart, and every image gets its own result."""
+    arrays, pixels = images(spark, 6, [(4, 4), (5, 7)] * 20)
+    lines = im.to_scanlines(ch.split_channels(pixels)).coalesce(1)
+    # The red plane as it is, and in the green one how many came together.
+    fn = lambda b: np.stack([b[0, :, 1:-1, 1:-1], np.full(b[1, :, 1:-1, 1:-1].shape, b.shape[1]), b[2, :, 1:-1, 1:-1]])
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        got = planes(im.to_samples(halo.halo_map(lines, fn, 1, joint=("R", "G", "B"), stacked=True)))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(got) == 120 and all(np.array_equal(got[i, c], a[:, :, "RGB".index(c)]) for i, a in arrays.items() for c in "RB")
+    assert all((got[i, "G"] == 20).all() for i in arrays)
+
+
 def test_histogram_of_lines_and_of_samples_agree(spark):
     rows = [(1, "R", 0, [0.0, 255.9, 256.0, float("nan")]), (1, "R", 1, [3.5, 3.0, -1.0, 300.0]), (1, None, 0, [7.0]), (2, "G", 0, []), (2, "G", 1, None), (None, "B", 0, [1.0, 1.0])]
     lines = spark.createDataFrame(rows, "image_id long, channel string, y int, v array<double>")
